@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialise
+
 SHINGLE = 5
 
 
@@ -115,10 +117,14 @@ def leaks(
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those of an id with a leak; columns as they are."""
-    found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("__leak")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """The documents without those of an id with a leak; columns as they are.
+
+    The ids that go are broadcast up to ``broadcast_rows`` of them and joined by a shuffle beyond.
+    """
+    found = materialise(leaks(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("__leak")).distinct(), "leaks")
+    small = found.count() <= broadcast_rows
+    return docs.join(F.broadcast(found) if small else found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__leak")), "left_anti")
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

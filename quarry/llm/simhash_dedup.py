@@ -13,6 +13,7 @@ within ``radius`` bits exactly when they share such a value), which is linear in
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; repeated rows keep
 one output row each; a null id keeps its row and takes the smallest id of its group (null if there is none);
+``keep_one`` lets it stay only in a group without ids;
 an empty table gives an empty result; other columns of the input are not looked at.
 """
 
@@ -55,16 +56,17 @@ def fingerprint_bytes(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """Rows (id long, fp long): the fingerprint's 64 bits as a signed long."""
+    """Rows (id, hash, fp): a hash of the text, and the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             values = [fingerprint_bytes(t.as_py(), shingle, seed) for t in texts]
             fps = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["id", "hash", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    rows = id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "id long, hash long, fp long")
 
 
 def posting_keys(fps: np.ndarray, least: int) -> np.ndarray:
@@ -225,14 +227,39 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4, max_list: int = 4096
 ) -> DataFrame:
-    """One row per document: (id, fp, component): ``component`` is the smallest id of all documents it is linked to."""
+    """One row per document: (id, hash, fp, component, keep).
+
+    ``component`` is the smallest id of all documents it is linked to; ``hash`` is the text's.  ``keep`` marks the one
+    document of each group that stays, that of the smallest id (rows without an id last, then by hash).
+    """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-rows")
-    reps = materialise(rows.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash"))
+    reps = materialise(rows.groupBy("fp").agg(first.alias("rep")), "simhash-reps")
     roots = components(fingerprint_links(reps, radius, max_list))
     rooted = reps.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    classes = rooted.join(smallest, "root").select("fp", "component")
-    return rows.join(classes, "fp").select("id", "fp", "component")
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("kept"))
+    classes = rooted.join(smallest, "root").select("fp", "kept")
+    return rows.join(classes, "fp").select(
+        "id", "hash", "fp", F.col("kept.id").alias("component"), (F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("hash") == F.col("kept.hash"))).alias("keep")
+    )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """The documents with one of each near-duplicate group, columns as they are; equal rows of it once.
+
+    The list of those that go is broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond.
+    """
+    found = materialise(near_duplicates(docs, id_col, text_col, **options), "simhash-groups")
+    gone = found.where(~F.col("keep")).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    again = found.where("keep").groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    own_id, own_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    same = own_id.eqNullSafe(F.col("__id")) & (own_hash == F.col("__hash"))
+    small = gone.count() <= broadcast_rows
+    left = docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(again, same, "left_anti").unionByName(repeated)
 
 
 def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -176,12 +176,23 @@ def features(hits: list[tuple], tokens: int) -> list[float]:
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: np.ndarray = STRENGTH) -> np.ndarray:
-    """Logistic weights by Newton's method, drawn to the prior."""
-    w = prior.copy()
-    for _ in range(25):
+    """Logistic weights by damped Newton steps, drawn to the prior."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (strength * (w - prior) ** 2).sum())
+
+    w, now = prior.copy(), loss(prior)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + strength * (w - prior)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(strength), slope)
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(strength), slope)
+        size = 1.0
+        while (after := loss(w - size * move)) > now and size > 1e-6:
+            size /= 2
+        if now - after < 1e-9:
+            break
+        w, now = w - size * move, after
     return w
 
 
@@ -266,8 +277,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             keep = [w for w in batch.column(0).to_pylist() if any(w not in t and a.match(w) for a, (t, _) in zip(automata, terms))]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["word"])
 
-    # words that clean documents use at least as often as chance has it, near a term
-    usual = vocabulary.where(clean * max(1, n(0, 1) + n(1, 1)) >= toxic * max(1, n(0, 0) + n(1, 0))).select("word")
+    # words near a term that toxic documents use at most three times as often as clean ones
+    usual = vocabulary.where(clean * (3 * max(1, n(0, 1) + n(1, 1))) >= toxic * max(1, n(0, 0) + n(1, 0))).select("word")
     known = [r.word for r in usual.mapInArrow(close, "word string").collect()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +316,23 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
     return id_and_text(docs, id_col, text_col).mapInArrow(run, f"id long, score double, hits {HITS}")
 
 
+def reject_toxic(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The documents whose score is below ``threshold``; columns as they are, no shuffle."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        lexicon, weights = Lexicon(m["terms"], m["stems"], set(m["known"])), np.array(m["weights"])
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                logits = np.array([features(*lexicon.hits(t or "")) for t in part.column(at).to_pylist()]) @ weights
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
