@@ -39,7 +39,7 @@ WINDOW = 5  # tokens on either side
 #: Prior of the logistic model: base, all matches but quoted ones, misspelled matches, quoted matches, matches per token.
 PRIOR = np.array([-2.5, 2.5, -0.1, 0.3, 1.0])
 #: How strongly each weight is drawn to it: misspellings and quotations are too rare in labelled text to say much.
-STRENGTH = np.array([1.0, 1.0, 10.0, 4.0, 1.0])
+STRENGTH = np.array([1.0, 4.0, 10.0, 4.0, 1.0])
 
 
 class Automaton:
@@ -214,9 +214,10 @@ def choose_terms(counts: list[tuple[str, bool, float, float]], all_tox: float, a
     stems: dict[str, float] = {}
     if not all_tox or not all_clean:
         return terms, stems
-    bar = 2 * math.log(10 * max(tried, 1))
+    bar = 2 * math.log(max(tried, 10))  # of all that could be significant, one at most is by chance
     rated = [(t, stem, *_ratio(tox, clean, all_tox, all_clean)) for t, stem, tox, clean in counts]
-    good = sorted(((t, stem, odds, gain) for t, stem, odds, gain in rated if odds > 2.5 and gain > bar), key=lambda r: (-r[3], r[0]))
+    # words that fall short of that count too, by less, and a single one of them says little
+    good = sorted(((t, stem, odds, gain) for t, stem, odds, gain in rated if odds > 2.5 and gain > (bar if stem else 0.65 * bar)), key=lambda r: (-r[3], r[0]))
     for t, stem, odds, gain in good:
         if len(terms) + len(stems) >= max_terms:
             break
@@ -226,7 +227,7 @@ def choose_terms(counts: list[tuple[str, bool, float, float]], all_tox: float, a
             best = max((g for u, s, _, g in good if not s and u.startswith(t)), default=0)
             if best >= 0.8 * gain:  # one word makes it up; the word itself is the term
                 continue
-        (stems if stem else terms)[t] = min(odds, 6.0)
+        (stems if stem else terms)[t] = min(odds, 6.0) * min(1.0, gain / bar) ** 2
     return terms, stems
 
 
@@ -256,9 +257,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sums = [F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")]
     starts = vocabulary.select("*", F.explode(F.array(*[F.lit(n) for n in STEM_LENGTHS])).alias("k")).where(F.col("k") < F.length("word"))
     stems = starts.groupBy(F.expr("left(word, k)").alias("word")).agg(*sums)
-    tried = vocabulary.count() * 2
-    both = vocabulary.select("*", F.lit(False).alias("stem")).unionByName(stems.select("*", F.lit(True).alias("stem")))
     toxic, clean = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
+    both = materialise(
+        vocabulary.select("*", F.lit(False).alias("stem")).unionByName(stems.select("*", F.lit(True).alias("stem"))).where(toxic + clean >= 3), "toxicity-candidates"
+    )
+    tried = both.count()
     # the driver gets candidates in order of how many more toxic documents they have than clean ones; as many as a model may hold, by far
     candidates = both.where((toxic >= 3) & (toxic * 2 > clean)).orderBy(F.desc(toxic - clean), "word", "stem").limit(20 * max_terms).collect()
     n = lambda h, t: totals.get((h, t), 0)
