@@ -2,8 +2,8 @@
 
 Two codebooks are fitted on the two halves of a bounded sample of vectors (``train_rows``); every vector is
 indexed under its pair of centroids.  A query visits centroid pairs by their summed distance with a heap until
-the visited cells hold the share ``probe`` of the index (recall at 20 is about 0.95 on random directions, see
-the tests), and reranks what they hold by the exact inner product.
+the visited cells hold the share ``probe`` of the index (recall at 20 is 0.95 and more on random directions,
+see the tests), and reranks what they hold by the exact inner product.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids, which is all that ties can ask for; so a much
 repeated vector costs no more than any other.  The index is stored as blocks of bounded size, a first centroid
@@ -83,7 +83,7 @@ def usable(vector: Column, dims: int) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probe: float = 0.55, train_rows: int = 20_000, max_codes: int = 64, seed: int = 7
+    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probe: float = 0.7, train_rows: int = 20_000, max_codes: int = 64, seed: int = 7
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest found for each row for which ``is_query`` holds."""
     spark = vectors.sparkSession
