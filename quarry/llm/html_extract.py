@@ -43,8 +43,9 @@ SILENT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
     "newsletter subscribe subscription signup popup modal overlay paywall menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar "
     "widget widgets related recommended recommendations share sharing social comment comments disqus respond replies footer masthead topbar toolbar "
-    "login search skip".split()
+    "login search skip aside rail toc copyright disclaimer tagcloud byline".split()
 )
+MAIN_HEADS, MAIN_TAILS = frozenset("article post entry story main page".split()), frozenset("body content text".split())
 #: Elements that name themselves.
 STRUCTURE = BLOCK - frozenset("p li dd dt h1 h2 h3 h4 h5 h6 td th tr option caption blockquote pre hr".split())
 CLOSED_BY = {
@@ -89,10 +90,12 @@ def _kind(tag: str, attributes: dict[str, str], inside: Node) -> tuple[int, str]
         return SKIP, named
     if inside.state == SKIP:
         return SKIP, inside.why
-    if tag == "header" and inside.state != MAIN:
+    if (tag == "header" or ("header" in names and tag in STRUCTURE and not MAIN_HEADS & set(names))) and inside.state != MAIN:
         return SKIP, "header"
     if tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop", "").lower() in MAIN_WORDS or MAIN_WORDS & set(names):
         return MAIN, ""
+    if tag in STRUCTURE and MAIN_HEADS & set(names) and MAIN_TAILS & set(names):
+        return MAIN, ""
     return inside.state, ""
 
 

@@ -15,6 +15,15 @@ def test_article_without_the_rest():
     assert extract(PAGE, {}) == "Title & more First line inside Second <b> 1 2"
 
 
+def test_parts_named_by_their_classes():
+    page = """<body><div id="site-header">Top</div><div class="sideBar">Links</div><div class="post-content"><h2>Head</h2>Body text<div class="newsletter-signup">Mail us</div></div>
+    <div class="readerComments">Nice</div><div role="contentinfo">End</div></body>"""
+    assert extract(page, {}) == "Head Body text"
+    assert extract("<main>a<nav>n</nav>b</main><article>c</article>", {}) == "a b c"
+    assert extract("<div class=ad>unclosed<article>kept</article>", {}) == "kept"
+    assert extract("<p>caf&eacute; &#x41;&nbsp;&lt;x&gt;</p>", {}) == "café A <x>"
+
+
 def test_pages_without_an_article_element(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class=top>Welcome to us</div><div class=text><p>Story number {i} is told here at some length {i * 7}.</p></div><div class=end>All rights</div></body>", "x") for i in range(12)]
     rows += [(100, None, None, ""), (101, "odd", "", ""), (102, "odd", "<p>Only this", ""), (102, "odd", "<p>Only this", ""), (103, "http://h2/", "<div " + "a" * 50_000, ""), (104, "http://h2/", "<article>" + "w " * 60_000, "")]
