@@ -144,7 +144,7 @@ def law_key(c: Column) -> Column:
 
 
 def law_year(c: Column) -> Column:
-    return F.element_at(F.regexp_extract_all(c, F.lit(r"(\d{4})"), F.lit(1)), -1)
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(r"(\d{4})"), F.lit(1)), F.lit(-1))
 
 
 def regex_tokens(c: Column) -> Column:
