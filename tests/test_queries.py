@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarry.plans import search, stream, tables, text
+from quarry.plans import checks, search, stream, tables, text
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {k: v for m in (text, tables, search, stream) for k, v in m.QUERIES.items()}
-ORACLE = {k: v for m in (text, tables, search, stream) for k, v in m.ORACLE.items()}
+QUERIES = {k: v for m in (text, tables, search, stream, checks) for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in (text, tables, search, stream, checks) for k, v in m.ORACLE.items()}
 
 
 def plain(x):
