@@ -16,11 +16,11 @@ c = F.col
 
 
 @P.add(
-    r"""SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(text, '[\p{L}\p{M}]+')), lambda w: regexp_matches(w, '[^\P{L}A-Za-z]') AND NOT list_contains(['que', 'für'], lower(w)))) AS words FROM documents"""
+    r"""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '[\p{L}\p{M}]+')), lambda w: regexp_matches(w, '[^\P{L}A-Za-z]') AND NOT list_contains(['que', 'für'], lower(w)))), ' ') AS words FROM documents"""
 )
 def foreign_script_words(spark, sf_dir):
     allowed = F.array(F.lit("que"), F.lit("für"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(grounding.foreign_words(c("text"), "A-Za-z", allowed)).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(grounding.foreign_words(c("text"), "A-Za-z", allowed)), " ").alias("words"))
 
 
 @P.add(
@@ -40,11 +40,11 @@ def evidence_within_margin(spark, sf_dir):
 
 
 @P.add(
-    f"""WITH {BM25}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM bm JOIN documents ON id = doc_id) SELECT query_id, list_sort(list(DISTINCT source)) AS laws FROM b WHERE score >= best - 8 GROUP BY query_id HAVING count(DISTINCT source) >= 2"""
+    f"""WITH {BM25}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM bm JOIN documents ON id = doc_id) SELECT query_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS laws FROM b WHERE score >= best - 8 GROUP BY query_id HAVING count(DISTINCT source) >= 2"""
 )
 def sources_in_play(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "source")
-    return grounding.laws_in_play(_bm25(spark, sf_dir).join(d, "id"), "query_id", "source", "score", 8.0)
+    return grounding.laws_in_play(_bm25(spark, sf_dir).join(d, "id"), "query_id", "source", "score", 8.0).withColumn("laws", F.array_join("laws", ","))
 
 
 CARDS = [("k1", ["the+and"]), ("k2", ["que", "der+die"]), ("k3", ["of", "with+of", "is"]), ("k4", ["nowhere"])]
@@ -62,12 +62,12 @@ def card_matches(spark, sf_dir):
 
 
 @P.add(
-    """SELECT doc_id, list_filter([CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'translated' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS reasons FROM documents LEFT JOIN (SELECT doc_id AS i, max(toxic) AS toxic FROM labels GROUP BY doc_id) ON doc_id = i"""
+    """SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'translated' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents LEFT JOIN (SELECT doc_id AS i, max(toxic) AS toxic FROM labels GROUP BY doc_id) ON doc_id = i"""
 )
 def escalation_reasons(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     d = table(spark, sf_dir, "documents").join(lab, "doc_id", "left")
-    return d.select("doc_id", grounding.escalation_reasons([("short", c("n_chars") < 300), ("translated", c("lang") != "en"), ("toxic", c("toxic") == 1)]).alias("reasons"))
+    return d.select("doc_id", F.array_join(grounding.escalation_reasons([("short", c("n_chars") < 300), ("translated", c("lang") != "en"), ("toxic", c("toxic") == 1)]), ",").alias("reasons"))
 
 
 @P.add(

@@ -77,12 +77,12 @@ def budgeted_evidence(spark, sf_dir):
 
 
 @P.add(
-    f"""WITH {BM25} SELECT query_id, source, CAST(min(rank) AS INTEGER) AS rank, round(min(-score), 6) AS distance, list_sort(list(DISTINCT lang)) AS sources FROM bm JOIN documents ON id = doc_id GROUP BY query_id, source"""
+    f"""WITH {BM25} SELECT query_id, source, CAST(min(rank) AS INTEGER) AS rank, round(min(-score), 6) AS distance, array_to_string(list_sort(list(DISTINCT lang)), ',') AS sources FROM bm JOIN documents ON id = doc_id GROUP BY query_id, source"""
 )
 def collapsed_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "source", F.array("lang").alias("sources"))
     ranked = _bm25(spark, sf_dir).join(d, "id").withColumn("distance", F.round(-c("score"), 6))
-    return ranking.collapse(ranked, ["query_id", "source"], "rank", "distance", "sources")
+    return ranking.collapse(ranked, ["query_id", "source"], "rank", "distance", "sources").withColumn("sources", F.array_join("sources", ","))
 
 
 @P.add(

@@ -172,10 +172,11 @@ def neighbour_rows(spark, sf_dir):
 
 
 @P.add(
-    """SELECT number, list_sort(list(DISTINCT doc_id)) AS ids FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b\\d{3}\\b'))) AS number FROM documents) GROUP BY number"""
+    """SELECT number, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS ids FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b\\d{3}\\b'))) AS number FROM documents) GROUP BY number"""
 )
 def number_index(spark, sf_dir):
-    return joins.section_index(table(spark, sf_dir, "documents"), "doc_id", F.regexp_extract_all("text", F.lit(r"\b(\d{3})\b"), F.lit(1)))
+    found = joins.section_index(table(spark, sf_dir, "documents"), "doc_id", F.regexp_extract_all("text", F.lit(r"\b(\d{3})\b"), F.lit(1)))
+    return found.withColumn("ids", F.array_join(c("ids").cast("array<string>"), ","))
 
 
 @P.add(

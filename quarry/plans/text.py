@@ -97,7 +97,7 @@ def numbers_in_text(spark, sf_dir):
 
 
 @P.add(
-    r"""SELECT conv_id, turn, list_sort(list_filter(list_distinct(regexp_extract_all(text, '\d+')), lambda n: NOT list_contains(said, n))) AS unsupported FROM (
+    r"""SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '\d+')), lambda n: NOT list_contains(said, n))), ',') AS unsupported FROM (
     SELECT a.conv_id, a.turn, a.text, coalesce(u.said, []) AS said FROM conversations a LEFT JOIN (SELECT conv_id, list_distinct(flatten(list(regexp_extract_all(text, '\d+')))) AS said FROM conversations WHERE role <> 'assistant' GROUP BY conv_id) u
     ON a.conv_id = u.conv_id WHERE a.role = 'assistant')"""
 )
@@ -108,7 +108,7 @@ def unsupported_numbers(spark, sf_dir):
     said = turns.where("role <> 'assistant'").select("conv_id", F.explode(found(c("text"))).alias("n")).distinct().groupBy("conv_id").agg(F.collect_list("n").alias("said"))
     rows = turns.where("role = 'assistant'").join(said, "conv_id", "left")
     kept = F.array_except(found(c("text")), F.coalesce("said", F.array().cast("array<string>")))
-    return rows.select("conv_id", "turn", F.array_sort(kept).alias("unsupported"))
+    return rows.select("conv_id", "turn", F.array_join(F.array_sort(kept), ",").alias("unsupported"))
 
 
 @P.add(

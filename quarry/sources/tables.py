@@ -72,7 +72,9 @@ def shards(df: DataFrame, order: list[str], size: int) -> DataFrame:
 
     Ranges of the order are numbered by the counts of the ranges before, so no task gets all rows.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a stated number of partitions, so that both reads below number the same ranges alike
+    ranged = df.repartitionByRange(many, *order).withColumn("__p", F.spark_partition_id())
     counts = ranged.groupBy("__p").agg(F.count("*").alias("n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
