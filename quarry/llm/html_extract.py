@@ -103,8 +103,9 @@ def events(html: str) -> Iterator[tuple[str, str, Node]]:
     """("open", path, node), ("break", "", node) and ("text", raw text, node) in page order."""
     stack = [Node("", "", NEUTRAL)]
     at, size, found_main = 0, len(html), False
+    last = html.rfind(">") + 1  # no tag ends beyond; without this, many open "<" would be tried in vain
     while at < size:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, last)
         until = m.start() if m else size
         if until > at:
             yield "text", html[at:until], stack[-1]
@@ -112,6 +113,8 @@ def events(html: str) -> Iterator[tuple[str, str, Node]]:
             return
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                return  # an unclosed comment
             continue
         tag = m[2].lower()
         if m[1]:

@@ -24,6 +24,12 @@ def test_parts_named_by_their_classes():
     assert extract("<p>caf&eacute; &#x41;&nbsp;&lt;x&gt;</p>", {}) == "café A <x>"
 
 
+def test_broken_markup_costs_no_more_than_its_length():
+    assert extract("<article>a</article>" + "<a " * 50_000, {}) == "a"
+    assert extract("<article>a<!-- open " + "<p>" * 1000, {}) == "a"
+    assert extract("<p " * 30_000, {}).startswith("<p <p")
+
+
 def test_pages_without_an_article_element(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class=top>Welcome to us</div><div class=text><p>Story number {i} is told here at some length {i * 7}.</p></div><div class=end>All rights</div></body>", "x") for i in range(12)]
     rows += [(100, None, None, ""), (101, "odd", "", ""), (102, "odd", "<p>Only this", ""), (102, "odd", "<p>Only this", ""), (103, "http://h2/", "<div " + "a" * 50_000, ""), (104, "http://h2/", "<article>" + "w " * 60_000, "")]
