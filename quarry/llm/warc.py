@@ -40,7 +40,9 @@ def digest(raw: bytes) -> str:
 
 def plain_text(html: str) -> str:
     """All visible text, one line per block."""
-    text = _TAG.sub("", _BREAK.sub("\n", _SILENT.sub(" ", html)))
+    rest = _SILENT.sub(" ", html)
+    last = rest.rfind(">") + 1  # no tag ends beyond
+    text = _TAG.sub("", _BREAK.sub("\n", rest[:last])) + rest[last:]
     lines = (" ".join(line.split()) for line in entities.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
