@@ -79,12 +79,13 @@ def leaks(
         "id", "words", "at", shingle_hash(F.col("words"), F.col("at"), shingle).alias("h")
     )
     start = F.greatest(F.least(F.col("at") - F.col("q"), F.size("words") - F.col("size")), F.lit(0))
-    windows = (
+    windows = materialise(
         placed.join(anchors, "h")
         .select("id", start.alias("start"), "size", "words")
         .select("id", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("ww"))
         .distinct()
-        .withColumn("wk", F.xxhash64("ww"))
+        .withColumn("wk", F.xxhash64("ww")),
+        "leak-windows",
     )
     contents = windows.groupBy("wk").agg(F.first("ww").alias("ww"))
     left = _weighted(contents, "wk", "ww", shingle)
