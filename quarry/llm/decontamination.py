@@ -28,6 +28,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def shingle_starts(words: Column, shingle: int) -> Column:
     """Positions of shingles; none without words, one with fewer words than a shingle."""
     last = F.greatest(F.size(words) - shingle, F.lit(0))
@@ -64,7 +68,10 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     similarity: float = 0.8, radius: int = 15, shingle: int = SHINGLE, broadcast_shingles: int = 1_000_000,
 ) -> DataFrame:
-    """Rows (id, item_id, similarity, distance, start_word, n_words): the best window of each document and item that match."""
+    """Rows (id, hash, item_id, similarity, distance, start_word, n_words): the best window of each document and item that match.
+
+    A document is its id and its text's hash, so that rows of one id, or without one, are told apart.
+    """
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), words_of(F.col(f"`{item_text_col}`")).alias("iw")).where(F.size("iw") > 0)
     keyed = items.select("item_id", "iw", F.xxhash64("iw").alias("ik"))
     anchors = (
@@ -74,15 +81,15 @@ def leaks(
     )
     if anchors.count() <= broadcast_shingles:
         anchors = F.broadcast(anchors)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), words_of(F.col(f"`{text_col}`")).alias("words"))
-    placed = texts.select("id", "words", F.explode(shingle_starts(F.col("words"), shingle)).alias("at")).select(
-        "id", "words", "at", shingle_hash(F.col("words"), F.col("at"), shingle).alias("h")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_hash(text_col).alias("hash"), words_of(F.col(f"`{text_col}`")).alias("words"))
+    placed = texts.select("id", "hash", "words", F.explode(shingle_starts(F.col("words"), shingle)).alias("at")).select(
+        "id", "hash", "words", "at", shingle_hash(F.col("words"), F.col("at"), shingle).alias("h")
     )
     start = F.greatest(F.least(F.col("at") - F.col("q"), F.size("words") - F.col("size")), F.lit(0))
     windows = materialise(
         placed.join(anchors, "h")
-        .select("id", start.alias("start"), "size", "words")
-        .select("id", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("ww"))
+        .select("id", "hash", start.alias("start"), "size", "words")
+        .select("id", "hash", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("ww"))
         .distinct()
         .withColumn("wk", F.xxhash64("ww")),
         "leak-windows",
@@ -112,21 +119,22 @@ def leaks(
         .select("wk", "ik", "similarity", "distance")
     )
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), F.size("ww").alias("n_words"))).alias("best")
-    found = windows.join(verified, "wk").join(keyed.select("ik", "item_id"), "ik").groupBy("id", "item_id").agg(best)
+    found = windows.join(verified, "wk").join(keyed.select("ik", "item_id"), "ik").groupBy("id", "hash", "item_id").agg(best)
     return found.select(
-        "id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.d")).cast("int").alias("distance"), (-F.col("best.s")).alias("start_word"), F.col("best.n_words").alias("n_words")
+        "id", "hash", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.d")).cast("int").alias("distance"), (-F.col("best.s")).alias("start_word"), F.col("best.n_words").alias("n_words")
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
-    """The documents without those of an id with a leak; columns as they are.
+    """The documents without those that have a leak; columns as they are.
 
-    The ids that go are broadcast up to ``broadcast_rows`` of them and joined by a shuffle beyond.
+    The list of those that go is broadcast up to ``broadcast_rows`` of them and joined by a shuffle beyond.
     """
-    found = materialise(leaks(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("__leak")).distinct(), "leaks")
-    small = found.count() <= broadcast_rows
-    return docs.join(F.broadcast(found) if small else found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+    found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("__leak"), F.col("hash").alias("__hash")).distinct()
+    gone = materialise(found, "leaks")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__leak")) & (text_hash(text_col) == F.col("__hash"))
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, same, "left_anti")
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("id", "doc_id")
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hash").withColumnRenamed("id", "doc_id")

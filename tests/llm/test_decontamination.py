@@ -69,6 +69,12 @@ def test_leaks_match_all_windows(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in expected}
 
 
+def test_rows_without_an_id_are_told_apart(spark):
+    frame = spark.createDataFrame([(None, "a b c d e f"), (None, "clean words stand in this one"), (7, "A, B c d e f!"), (7, "other text of the same id here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate(frame, bench).collect()) == ["clean words stand in this one", "other text of the same id here"]
+
+
 def test_without_rows(spark):
     frame = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
