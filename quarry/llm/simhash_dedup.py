@@ -244,12 +244,13 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, groups=near_duplicates, **options) -> DataFrame:
     """The documents with one of each near-duplicate group, columns as they are; equal rows of it once.
 
+    ``groups`` finds the groups: :func:`near_duplicates`, or another that gives id, hash and keep.
     The list of those that go is broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond.
     """
-    found = materialise(near_duplicates(docs, id_col, text_col, **options), "simhash-groups")
+    found = materialise(groups(docs, id_col, text_col, **options), "simhash-groups")
     gone = found.where(~F.col("keep")).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
     again = found.where("keep").groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
     own_id, own_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
