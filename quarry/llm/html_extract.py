@@ -6,9 +6,8 @@ aggregation combines, so a host of any size costs its distinct tokens.  Tokens w
 class.  A class is valid when its elements are ordered alike and nest by their paths; the class that occurs on all
 pages is the template's skeleton, classes of fewer pages nest into it as optional parts.  The spaces between are the
 slots.  Slots are told apart by their elements (article and main, as against menus, adverts, forms and the like) and,
-where no element says which is the article, by the mass of text in them that varies between the host's pages.  Text
-nodes that repeat across a host's pages belong to the template and are left out of such slots.  What stands in the
-article's slots is kept whole.
+where no element says which is the article, all slots are kept.  Text nodes that repeat across a host's distinct pages
+belong to the template and are left out of such slots.  What stands in the article's slots is kept whole.
 
 Defined results: a null or empty html, or a page without a main text, gives the empty text; a null or odd url is a
 host of its own kind; repeated rows give a row each; an unclosed element ends with its parent; an empty table gives an
@@ -176,33 +175,25 @@ def page_tokens(html: str) -> tuple[list[tuple[str, int, float, int]], list[tupl
 def extract(html: str, template: dict) -> str:
     """The text of the article's slots."""
     main: list[str] = []
-    loose: dict[str, list[str]] = {}
-    order: list[tuple[str, str]] = []
+    loose: list[str] = []
     seen_main = False
     for kind, value, node in events(html):
         if node.state == SKIP:
             if kind == "break":
                 main.append(" ")
+                loose.append(" ")
             continue
         if kind == "text":
             if node.state == MAIN:
                 seen_main = True
                 main.append(entities.unescape(value))
             elif not seen_main and value.strip() and value.strip() not in template.get("texts", ()):
-                loose.setdefault(node.path, []).append(value)
-                order.append((node.path, entities.unescape(value)))
+                loose.append(entities.unescape(value))
         elif kind == "break":
             main.append(" ")
-            order.append(("", " "))
-    if seen_main:
-        return " ".join("".join(main).split())
-    if not loose:
-        return ""
-    # no element says which slot is the article: the one with the largest mass on the host, or else on the page
-    mass = {p: template.get("mass", {}).get(p, 0) or sum(map(len, v)) for p, v in loose.items()}
-    best = max(sorted(mass), key=mass.get)
-    kept = [t if p.startswith(best) or not p else " " for p, t in order]
-    return " ".join("".join(kept).split())
+            loose.append(" ")
+    # no element says which slot is the article: every slot that is neither the template's nor skipped
+    return " ".join("".join(main if seen_main else loose).split())
 
 
 def host_of(url: Column) -> Column:
@@ -212,7 +203,7 @@ def host_of(url: Column) -> Column:
 def templates(pages: DataFrame, least_share: float = 0.3, repeated: float = 0.5) -> DataFrame:
     """Rows (host, template): deduced from all pages of (host, html), as JSON.
 
-    Elements count from ``least_share`` of a host's pages on, text nodes from ``repeated`` and at least three pages on.
+    Elements count from ``least_share`` of a host's distinct pages on, text nodes from ``repeated`` and at least three pages on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +220,9 @@ def templates(pages: DataFrame, least_share: float = 0.3, repeated: float = 0.5)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     schema = "host string, kind string, token string, page long, n long, place double, letters long"
-    found = pages.select("host", F.xxhash64("host", "html").alias("page"), "html").mapInArrow(run, schema)
+    # copies of a page count once: they repeat their article as well as the template
+    distinct = pages.select("host", F.xxhash64("host", "html").alias("page"), "html").dropDuplicates(["host", "page"])
+    found = distinct.mapInArrow(run, schema)
     vectors = materialise(
         found.groupBy("host", "kind", "token").agg(
             F.count("*").alias("pages"),

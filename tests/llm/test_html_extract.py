@@ -51,3 +51,13 @@ def test_on_the_given_pages(spark, sf_dir):
         inner = re.search(r"<article>(.*?)</article>", html[r.id], re.S)[1]
         plain = entities.unescape(re.sub(r"</?(?:b|i|em|a)\b[^>]*>", "", re.sub(r"</?(?:p|br|h1|div|li|ul)\b[^>]*>", " ", inner)))
         assert r.text == " ".join(plain.split())
+
+
+def test_every_slot_is_kept_and_copies_count_once(spark):
+    page = "<body><div class=top>Welcome</div><div class=intro>Intro {0}</div><div class=text><p>Body {0}</p></div><section>Last {0}</section></body>"
+    rows = [(i, "http://h/", page.format(i)) for i in range(6)] + [(100 + i, "http://h/", page.format("copied")) for i in range(10)]
+    rows += [(200 + i, None, "<div class=a>One</div><div class=b>Two</div>") for i in range(4)]
+    got = {r.id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Intro {i} Body {i} Last {i}" for i in range(6))
+    assert all(got[100 + i] == "Intro copied Body copied Last copied" for i in range(10))
+    assert all(got[200 + i] == "One Two" for i in range(4))
