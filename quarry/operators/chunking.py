@@ -5,18 +5,24 @@ Each document is cut by itself within an Arrow batch; nothing is shuffled.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
-SENTENCE_END = re.compile(r"(?<=[.!?:])\s+")
-SENTENCE = re.compile(r"(?<=[.!?;])\s+")
-ENUMERATOR = re.compile(r"\s*(?:\(?\d{1,3}[.)]?|\(?[A-Za-zא-ת][.)])\s*$")
-NUMBERED = re.compile(r"\s*(?:\(?\d{1,3}[.)]|\([A-Za-zא-ת]{1,2}\)|[א-ת]{1,2}\.)\s")
+PARAGRAPH_END = re.compile(r"\n\s*\n")
+#: A sentence of a page, of a paragraph, and of a judgment (which lone enumerators before it belong to).
+PAGE_SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s)|\Z)", re.S)
+CLAUSE = re.compile(r"\S.*?(?:[.!?;](?=\s)|\Z)", re.S)
+JUDGMENT_SENTENCE = re.compile(r"(?:\(?(?:\d{1,3}|[A-Za-zא-ת])\)?[.:]\s+)*\S.*?(?:[.!?:](?=\s)|\Z)", re.S)
+ITEM = re.compile(r"\s*(?:\(?\d{1,3}[.)]|\([A-Za-zא-ת]{1,2}\)|[א-ת]{1,2}\.)\s")
 
 
 def tokens(text: str) -> int:
@@ -27,168 +33,157 @@ def heuristic_tokens(text: str) -> int:
     return max(1, int(len(text) / (2.5 if any(ch > "֐" for ch in text) else 4)))
 
 
+def _sums(sizes: list[int]) -> list[int]:
+    return [0, *accumulate(sizes)]
+
+
+def windows(sizes: list[int], budget: int, overlap: int = 0) -> list[tuple[int, int]]:
+    """[(first, end)] of consecutive units, each as long as the budget allows, found by a search in the sums of sizes.
+
+    A window reaches back over units of the one before, up to ``overlap``, where its first new unit still fits with them.
+    """
+    sums, out, new = _sums(sizes), [], 0
+    while new < len(sizes):
+        back = max(0, min(overlap, budget - sizes[new])) if out else 0
+        first = max(out[-1][0] if out else 0, bisect_left(sums, sums[new] - back))
+        end = max(new + 1, bisect_right(sums, sums[first] + budget) - 1)
+        out.append((first, end))
+        new = end
+    return out
+
+
 def cut_sentences(text: str, budget: int, count: Callable[[str], int] = tokens) -> list[str]:
     """A paragraph in pieces of whole sentences within the budget; a sentence beyond it is cut by length."""
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for sentence in filter(str.strip, SENTENCE.split(text)):
-        n = count(sentence)
-        if held and size + n > budget:
-            out.append(" ".join(held))
-            held, size = [], 0
-        if n > budget:
-            step = max(2 * budget, 200)
-            out += [sentence[i : i + step] for i in range(0, len(sentence), step)]
+    step, out = max(2 * budget, 200), []
+    sized = [(m[0], count(m[0])) for m in CLAUSE.finditer(text)]
+    for beyond, run in groupby(sized, lambda x: x[1] > budget):
+        found, sizes = zip(*run)
+        if beyond:
+            out += [x[i : i + step] for x in found for i in range(0, len(x), step)]
         else:
-            held.append(sentence)
-            size += n
-    return out + [" ".join(held)] * bool(held)
+            out += [" ".join(found[a:b]) for a, b in windows(sizes, budget)]
+    return out
 
 
 def pack_paragraphs(text: str, budget: int, overlap: int, count: Callable[[str], int] = tokens) -> list[str]:
     """Lines packed up to the budget; a group begins with the last lines of the one before, up to ``overlap`` tokens."""
-    units = [(piece, count(piece)) for p in map(str.strip, text.split("\n")) if p for piece in ([p] if count(p) <= budget else cut_sentences(p, budget, count))]
-    groups: list[list[tuple[str, int]]] = []
-    now: list[tuple[str, int]] = []
-    for piece, n in units:
-        if now and sum(s for _, s in now) + n > budget:
-            groups.append(now)
-            back, total = len(now), 0
-            while back and total + now[back - 1][1] <= overlap and total + now[back - 1][1] + n <= budget:
-                back -= 1
-                total += now[back][1]
-            now = now[back:]
-        now = [*now, (piece, n)]
-    return ["\n".join(p for p, _ in g) for g in groups + [now] * bool(now)]
+    units = []
+    for line in filter(None, map(str.strip, text.split("\n"))):
+        units += [line] if count(line) <= budget else cut_sentences(line, budget, count)
+    return ["\n".join(units[a:b]) for a, b in windows([count(u) for u in units], budget, overlap)]
 
 
 def page_chunks(pages: list[tuple[str, str]], most: int, count: Callable[[str], int] = heuristic_tokens) -> list[tuple[str, str]]:
     """(language, text): sentences of the paragraphs of pages, packed; a chunk has one language.
 
-    A chunk closes when the language changes, when the next sentence would exceed ``most``, and at the end of a
-    paragraph once it is more than 85 % full.  A sentence beyond ``most`` stays whole.
+    A chunk ends where the language changes, where the next sentence would exceed ``most``, and at the first end of a
+    paragraph at which it is more than 85 % full.  A sentence beyond ``most`` stays whole.
     """
-    out: list[tuple[str, str]] = []
-    held: list[str] = []
-    size, lang = 0, ""
-
-    def close() -> None:
-        nonlocal size
-        if held:
-            out.append((lang, " ".join(held)))
-        held.clear()
-        size = 0
-
-    for text, own in pages:
-        if own != lang:
-            close()
-            lang = own
-        for paragraph in filter(str.strip, re.split(r"\n\s*\n", text)):
-            for sentence in filter(str.strip, re.split(r"(?<=[.!?])\s+", paragraph.strip())):
-                n = count(sentence)
-                if held and size + n > most:
-                    close()
-                held.append(sentence)
-                size += n
-            if size > 0.85 * most:
-                close()
-    close()
+    out = []
+    for lang, run in groupby(pages, lambda p: p[1]):
+        found, ends = [], []
+        for paragraph in (p for text, _ in run for p in PARAGRAPH_END.split(text) if p.strip()):
+            found += [m[0].rstrip() for m in PAGE_SENTENCE.finditer(paragraph)]
+            ends.append(len(found))
+        sums, at = _sums([count(x) for x in found]), 0
+        while at < len(found):
+            fits = max(at + 1, bisect_right(sums, sums[at] + most) - 1)
+            full = bisect_right(sums, sums[at] + 0.85 * most)
+            paragraph_end = bisect_left(ends, full)
+            end = min(fits, ends[paragraph_end]) if paragraph_end < len(ends) else fits
+            out.append((lang, " ".join(found[at:end])))
+            at = end
     return out
 
 
-class Unit:
-    __slots__ = ("start", "end", "tokens", "opens", "heading", "holding")
+class Unit(NamedTuple):
+    """A sentence with its place; ``opens``: the first of its paragraph, item or heading; ``holding``: of the operative part."""
+
+    start: int
+    end: int
+    tokens: int
+    opens: bool
+    heading: bool
+    holding: bool
+
+
+def _bare(line: str) -> str:
+    """A heading line without its number and colon."""
+    return ITEM.sub("", line + " ", count=1).strip().rstrip(":").rstrip()
+
 
-    def __init__(self, start: int, end: int, opens: bool, heading: bool, holding: bool = False):
-        self.start, self.end, self.opens, self.heading, self.holding, self.tokens = start, end, opens, heading, holding, 0
+def operative_start(text: str, start: int, headings: frozenset[str]) -> int:
+    """Where the operative part begins: the last line that is one of ``headings``, else the last that opens with one; else the end."""
+    whole = opening = len(text) + 1
+    for m in re.compile(r"^.*\S.*$", re.M).finditer(text, start):
+        bare = _bare(m[0])
+        if bare in headings:
+            whole = m.start()
+        elif any(bare.startswith(h) for h in headings):
+            opening = m.start()
+    return whole if whole <= len(text) else opening
 
 
 def body_units(text: str, start: int, most: int, headings: frozenset[str], holding: frozenset[str]) -> list[Unit]:
     """Sentences of the paragraphs, numbered items and headings from ``start`` on, with their places; long ones cut at words."""
-    segments: list[Unit] = []
-    at, after_blank, operative = start, True, False
-    for line in text[start:].split("\n"):
-        bare = re.sub(r"^\s*(?:\(?\d{1,3}[.)]|[א-ת]\.)\s*|\s*:\s*$", "", line).strip()
-        if line.strip():
-            heading = len(bare) <= 40 and bare in headings | holding
-            opens_holding = bare in holding and not operative
-            operative |= opens_holding
-            if after_blank or heading or NUMBERED.match(line) or segments[-1].heading:
-                segments.append(Unit(at, at + len(line), True, heading, operative))
-                segments[-1].tokens = int(opens_holding)  # marks the start of the operative part for now
-            else:
-                segments[-1].end = at + len(line)
-        after_blank = not line.strip()
-        at += len(line) + 1
-    out: list[Unit] = []
-    for s in segments:
-        piece, last, cuts = text[s.start : s.end], 0, []
-        for m in SENTENCE_END.finditer(piece):
-            if not ENUMERATOR.fullmatch(piece[last : m.start()]):
-                cuts.append((last, m.start()))
-                last = m.end()
-        cuts.append((last, len(piece)))
-        first = True
-        for a, b in cuts:
-            if not piece[a:b].strip():
-                continue
-            spans = _cut_words(piece, a, b, most)
-            for c, d in spans:
-                u = Unit(s.start + c, s.start + d, first, s.heading, s.holding)
-                u.tokens = tokens(piece[c:d])
-                u.opens = first
-                if first and s.tokens:
-                    u.heading = True
-                out.append(u)
-                first = False
+    operative = operative_start(text, start, holding)
+    lines = [(m.start(), m.end()) for m in re.compile(r"^.*\S.*$", re.M).finditer(text, start)]
+    titled = [b - a <= 60 and len(bare := _bare(text[a:b])) <= 40 and bare in headings | holding for a, b in lines]
+    # a paragraph opens after a blank line, at an item or a heading, after a heading, and where the operative part begins
+    opens = [
+        i == 0 or text.count("\n", lines[i - 1][1], lines[i][0]) > 1 or titled[i] or titled[i - 1] or ITEM.match(text, lines[i][0]) is not None or lines[i][0] == operative
+        for i in range(len(lines))
+    ]
+    firsts = [i for i, o in enumerate(opens) if o]
+    out = []
+    for i, after in zip(firsts, [*firsts[1:], len(lines)]):
+        a, b = lines[i][0], lines[after - 1][1]
+        spans = [s for m in JUDGMENT_SENTENCE.finditer(text, a, b) for s in _word_groups(text, *m.span(), most)]
+        for n, (c, d) in enumerate(spans):
+            out.append(Unit(c, d, tokens(text[c:d]), n == 0, titled[i] or a == operative and n == 0, a >= operative))
     return out
 
 
-def _cut_words(piece: str, a: int, b: int, most: int) -> list[tuple[int, int]]:
-    n = tokens(piece[a:b])
-    if n <= most:
-        return [(a, b)]
-    words = [m.span() for m in re.compile(r"\S+").finditer(piece, a, b)]
-    many = max(2, -(-n * 10 // (most * 9)))
-    per = max(1, -(-len(words) // many))
-    if len(words) == 1:
-        return [(a, b)]
-    spans = [(g[0][0], g[-1][1]) for g in (words[i : i + per] for i in range(0, len(words), per))]
-    return [x for s in spans for x in (_cut_words(piece, *s, most) if per > 1 else [s])]
+def _word_groups(text: str, a: int, b: int, most: int) -> list[tuple[int, int]]:
+    """Spans of equal numbers of words that all fit, a word being the least; group sizes come from sums of the words' tokens."""
+    words = [m.span() for m in re.compile(r"\S+").finditer(text, a, b)]
+    sums = _sums([tokens(text[c:d]) for c, d in words])
+
+    def parts(lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        size = sums[hi] - sums[lo]
+        if size <= most or hi - lo == 1:
+            yield words[lo][0], words[hi - 1][1]
+            return
+        step = -(-(hi - lo) // math.ceil(size / (0.9 * most)))
+        for at in range(lo, hi, step):
+            yield from parts(at, min(at + step, hi))
+
+    return list(parts(0, len(words))) if words else []
 
 
 def pack_units(units: list[Unit], least: int, most: int, overlap: int, heading_least: int = 100) -> list[list[Unit]]:
-    """Chunks of whole units: closed at a paragraph once ``least`` is reached, or before ``most`` is exceeded.
+    """Chunks of whole units: one ends at a paragraph once ``least`` is reached, or before ``most`` is exceeded.
 
-    A closed chunk's last units open the next, up to ``overlap`` tokens, unless a heading or the operative part opens it.
+    Its last units, but never all, open the next up to ``overlap`` tokens if the next unit fits with them.  The operative
+    part, and a heading after ``heading_least`` new tokens, begin a chunk without overlap.  Each end is the least of the
+    places that a search in the sums of sizes gives.
     """
-    chunks: list[list[Unit]] = []
-    carried: list[Unit] = []
-    fresh: list[Unit] = []
-    size = lambda us: sum(u.tokens for u in us)
-    for i, u in enumerate(units):
-        new_part = u.holding and (i == 0 or not units[i - 1].holding)
-        section = new_part or (u.heading and u.opens and size(fresh) >= heading_least)
-        total = size(carried) + size(fresh)
-        if section and (fresh or carried):
-            if fresh:
-                chunks.append(carried + fresh)
-            carried, fresh = [], []
-        elif fresh and (total + u.tokens > most or (u.opens and total >= least)):
-            whole = carried + fresh
-            chunks.append(whole)
-            carried, kept = [], 0
-            for v in reversed(whole[1:]):
-                if kept + v.tokens > overlap:
-                    break
-                carried.insert(0, v)
-                kept += v.tokens
-            fresh = []
-        if not fresh and size(carried) + u.tokens > most:
-            carried = []
-        fresh.append(u)
-    return chunks + [carried + fresh] * bool(fresh)
+    n, sums = len(units), _sums([u.tokens for u in units])
+    paragraphs = [i for i, u in enumerate(units) if u.opens]
+    headings = [i for i, u in enumerate(units) if u.opens and u.heading]
+    parts = [i for i, u in enumerate(units) if u.holding and (i == 0 or not units[i - 1].holding)]
+    following = lambda places, at: places[k] if (k := bisect_left(places, at)) < len(places) else n
+    out, first, new = [], 0, 0
+    while new < n:
+        section = min(following(parts, new + 1), following(headings, max(new + 1, bisect_left(sums, sums[new] + heading_least))))
+        fits = max(new + 1, bisect_right(sums, sums[first] + most) - 1)
+        enough = following(paragraphs, max(new + 1, bisect_left(sums, sums[first] + least)))
+        end = min(section, fits, enough)
+        out.append(units[first:end])
+        back = max(first + 1, bisect_left(sums, sums[end] - overlap))
+        keeps = end < n and end != section and sums[end + 1] - sums[back] <= most
+        first, new = (min(back, end) if keeps else end), end
+    return out
 
 
 def chunk_judgment(text: str, least: int = 400, most: int = 600, overlap: int = 80, headings: frozenset[str] = frozenset(), holding: frozenset[str] = frozenset(), start: int = 0) -> list[tuple[int, int, int, bool, str]]:
