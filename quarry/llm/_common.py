@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[int, str] = {}
+_made: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset, one of our own, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    key = id(spark.sparkContext)
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    key = id(context)
     if key not in _own_dir:
         _own_dir[key] = "file://" + tempfile.mkdtemp(prefix="quarry-")
     return _own_dir[key]
@@ -29,6 +35,8 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
+    for tables in _made:
+        tables.append(out)
     return out
 
 
@@ -42,6 +50,19 @@ def drop_scratch(df: DataFrame) -> None:
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """All tables that :func:`materialise` makes inside are deleted at the end: write the final result inside too."""
+    tables: list[DataFrame] = []
+    _made.append(tables)
+    try:
+        yield
+    finally:
+        _made.remove(tables)
+        for df in tables:
+            drop_scratch(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,8 @@ Grammar (``role`` and ``body`` in their escaped forms)::
 In a body a backslash escapes only a backslash, ``###`` or ``</turn>``; other backslashes stand for themselves.
 
 Turns are rendered and parsed one by one and conversations are streamed in the order (turn, role, text), with
-running digests only, so a conversation of any length needs the memory of one batch.
+running digests only, so a conversation of any length needs the memory of one batch.  The digests are sequential, so
+a conversation is one task's work: 140 s of Python for each GB of it (measured on turns of 1 KB).
 
 Defined results: a null text counts as empty, a null role as the empty role; a null conversation id is a
 conversation of its own, null turns come first; repeated rows are turns of their own; an empty table gives an
@@ -111,53 +112,71 @@ def format_conversations(
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, FORMATTED)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, parsed from the rendered text alone: turns and the text under the loss mask, as digests."""
+def read_back(formatted: DataFrame, learn_role: str = "assistant") -> DataFrame:
+    """Per conversation, parsed from the joined rendered text alone: turns and the text under the loss mask, as digests.
+
+    Where turns end and which bodies are learnt is found by the grammar; rows may cut the text anywhere.  Loss spans
+    that the rows state are checked against it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = run
-        n = loss = chars = 0
-        turns, learnt = hashlib.sha256(), hashlib.sha256()
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         done: list[tuple] = []
-
-        def close() -> None:
-            if now is not run:
-                done.append((now, n, turns.hexdigest(), loss, learnt.hexdigest(), chars))
-
-        def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], names)
-            done.clear()
-            return out
-
+        reader = Reader(learn_role)
         for batch in batches:
-            for conv, rendered, start, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+            for conv, rendered, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 4, 5))):
                 if conv != now:
-                    close()
-                    now, n, loss, chars = conv, 0, 0, 0
-                    turns, learnt = hashlib.sha256(), hashlib.sha256()
-                parsed = parse_turn(rendered)
-                if parsed is None or parsed[4] != len(rendered) or start != chars:
-                    raise ValueError("not a rendered conversation")
-                turns.update(f"{parsed[0]}\n{parsed[1]}\n".encode())
-                if a is not None:
-                    text = _BODY.sub(r"\1", rendered[a - start : b - start])
-                    learnt.update(text.encode())
-                    loss += len(text)
-                n += 1
-                chars += len(rendered)
+                    if now is not run:
+                        done.append((now, *reader.close()))
+                    now, reader = conv, Reader(learn_role)
+                reader.feed(rendered, None if a is None else (a, b))
             if done:
-                yield emit()
-        close()
-        if done:
-            yield emit()
+                yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], names)
+                done.clear()
+        if now is not run:
+            done.append((now, *reader.close()))
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], names)
 
     return formatted.mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
 
+class Reader:
+    """Parses one conversation's text as it comes in, and digests its turns and its learnt text."""
+
+    def __init__(self, learn_role: str):
+        self.learn_role, self.rest, self.before = learn_role, "", 0  # text not parsed yet, and characters before it
+        self.turns = self.loss = 0
+        self.all, self.learnt = hashlib.sha256(), hashlib.sha256()
+        self.stated: list[tuple[int, int]] = []
+
+    def feed(self, text: str, span: tuple[int, int] | None = None) -> None:
+        self.rest += text
+        if span is not None:
+            self.stated.append(span)
+        at = 0
+        while (parsed := parse_turn(self.rest, at)) is not None:
+            role, body, a, b, end = parsed
+            self.all.update(f"{role}\n{body}\n".encode())
+            self.turns += 1
+            if role == self.learn_role:
+                self.learnt.update(body.encode())
+                self.loss += len(body)
+                if self.stated and self.stated.pop(0) != (self.before + a, self.before + b):
+                    raise ValueError("a stated loss span is not that of its turn")
+            at = end
+        self.rest, self.before = self.rest[at:], self.before + at
+
+    def close(self) -> tuple[int, str, int, str, int]:
+        """(turns, their digest, learnt characters, their digest, characters)."""
+        if self.rest or self.stated:
+            raise ValueError("not a rendered conversation")
+        return self.turns, self.all.hexdigest(), self.loss, self.learnt.hexdigest(), self.before
+
+
 #: The contract's additional conversation.
 HARD = r"\### Assistant: </turn> ok"
 

@@ -1,23 +1,27 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 Words are runs of letters and digits, lower-cased; shingles are five words.  A window of similarity 0.8 must share
-a shingle with its item, so windows are laid only where a document holds a shingle of some item: they have that
-item's size and its alignment.  This loses no match and keeps the windows in proportion to the overlaps, not to
-the corpus.  Windows of equal content are fingerprinted once.  Fingerprints of windows and items meet when one of
-``radius + 1`` blocks is equal, which holds for every pair within ``radius`` bits; pairs within the radius are
-verified by the exact similarity of their weighted shingles (weight: occurrences; sum of minima over sum of maxima).
+a shingle with its item, so windows are laid only where a text holds a shingle of some item: they have that item's
+size, and begin at each offset of a shared shingle and at all places between two offsets that lie within a quarter of the
+item, since insertions move the best start.  That keeps the windows in proportion to the overlaps, not to the corpus.
+Windows of equal content are fingerprinted once.  Fingerprints of windows and of the items they were laid for meet when
+one of ``radius + 1`` blocks is equal, which holds for every pair within ``radius`` bits; pairs within the radius are
+verified by the exact similarity of their weighted shingles (weight: occurrences; sum of minima over sum of maxima).  The
+join is keyed by item and block, so its pairs are at most the windows, whatever the number of items.
 
-Benchmark shingles are broadcast up to ``broadcast_shingles`` of them; beyond, shingles are joined by a shuffle.
+Benchmark shingles are broadcast, one row each with all its places, up to ``broadcast_shingles`` places of them; beyond,
+hashes of shingles, without their words, are joined by a shuffle.  Equal texts are looked at once from there on.
 
 Defined results: null or empty texts hold no words and match nothing; an item of fewer than five words
 matches only a document that consists of just these words (inside longer texts it says nothing); repeated rows are judged alike; a null id is kept; empty tables give an empty
-result; other columns are not looked at.
+result; very long texts are read whole; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import materialise
 
@@ -64,49 +68,64 @@ def _blocks(fp: Column, radius: int) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("nr"), p.alias("bits")) for i, p in enumerate(parts)]))
 
 
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(text_hash(text_col).alias("hash"), words_of(F.col(f"`{text_col}`")).alias("words"))
+
+
+def window_starts(hits: DataFrame) -> DataFrame:
+    """(hash, ik, start, size) from hits (hash, n, ik, size, offset): starts at offsets, and between near ones."""
+    of = Window.partitionBy("hash", "ik").orderBy("offset")
+    gap = F.coalesce(F.col("next") - F.col("offset"), F.lit(1))
+    last = F.col("offset") + F.when(gap <= F.floor(F.col("size") / 4), gap - 1).otherwise(0)
+    starts = hits.withColumn("next", F.lead("offset").over(of)).withColumn("at", F.explode(F.sequence("offset", last)))
+    inside = F.greatest(F.least(F.col("at"), F.col("n") - F.col("size")), F.lit(0))
+    return starts.select("hash", "ik", "size", inside.cast("int").alias("start")).distinct()
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    similarity: float = 0.8, radius: int = 15, shingle: int = SHINGLE, broadcast_shingles: int = 1_000_000,
+    similarity: float = 0.8, radius: int = 20, shingle: int = SHINGLE, broadcast_shingles: int = 1_000_000, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Rows (id, hash, item_id, similarity, distance, start_word, n_words): the best window of each document and item that match.
 
-    A document is its id and its text's hash, so that rows of one id, or without one, are told apart.
+    A document is its id and its text's hash, so that rows of one id, or without one, are told apart.  Texts that hold a
+    shingle are found again by their hash, broadcast up to ``broadcast_rows`` of them and joined by a shuffle beyond.
     """
+
+    def bounded(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), words_of(F.col(f"`{item_text_col}`")).alias("iw")).where(F.size("iw") > 0)
     keyed = items.select("item_id", "iw", F.xxhash64("iw").alias("ik"))
-    anchors = (
-        keyed.select(F.size("iw").alias("size"), "iw", F.explode(shingle_starts(F.col("iw"), shingle)).alias("q"))
-        .select(shingle_hash(F.col("iw"), F.col("q"), shingle).alias("h"), "q", "size")
-        .distinct()
+    contents_of = keyed.dropDuplicates(["ik"]).select("ik", "iw")
+    places = contents_of.select("ik", "iw", F.size("iw").alias("size"), F.explode(shingle_starts(F.col("iw"), shingle)).alias("q")).select(
+        shingle_hash(F.col("iw"), F.col("q"), shingle).alias("h"), "ik", "size", "q"
     )
-    if anchors.count() <= broadcast_shingles:
+    anchors = places.groupBy("h").agg(F.collect_list(F.struct("ik", "size", "q")).alias("places"))
+    if places.count() <= broadcast_shingles:
         anchors = F.broadcast(anchors)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_hash(text_col).alias("hash"), words_of(F.col(f"`{text_col}`")).alias("words"))
-    placed = texts.select("id", "hash", "words", F.explode(shingle_starts(F.col("words"), shingle)).alias("at")).select(
-        "id", "hash", "words", "at", shingle_hash(F.col("words"), F.col("at"), shingle).alias("h")
+    placed = (
+        _texts(docs, text_col)
+        .select("hash", "words", F.size("words").alias("n"), F.explode(shingle_starts(F.col("words"), shingle)).alias("at"))
+        .select("hash", "n", "at", shingle_hash(F.col("words"), F.col("at"), shingle).alias("h"))
     )
-    start = F.greatest(F.least(F.col("at") - F.col("q"), F.size("words") - F.col("size")), F.lit(0))
+    hits = placed.join(anchors, "h").select("hash", "n", "at", F.explode("places").alias("p"))
+    hits = hits.select("hash", "n", F.col("p.ik").alias("ik"), F.col("p.size").alias("size"), (F.col("at") - F.col("p.q")).alias("offset")).distinct()
+    starts = materialise(window_starts(hits), "leak-starts")
+    holding = starts.select("hash").distinct()
+    words = materialise(_texts(docs, text_col).join(bounded(holding), "hash", "left_semi").dropDuplicates(["hash"]), "leak-texts")
     windows = materialise(
-        placed.join(anchors, "h")
-        .select("id", "hash", start.alias("start"), "size", "words")
-        .select("id", "hash", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("ww"))
-        .distinct()
-        .withColumn("wk", F.xxhash64("ww")),
-        "leak-windows",
+        starts.join(words, "hash").select("hash", "ik", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("ww")).withColumn("wk", F.xxhash64("ww")), "leak-windows"
     )
-    contents = windows.groupBy("wk").agg(F.first("ww").alias("ww"))
-    left = _weighted(contents, "wk", "ww", shingle)
-    right = _weighted(keyed.dropDuplicates(["ik"]).select("ik", "iw"), "ik", "iw", shingle).withColumnsRenamed({"fp": "ifp", "marks": "imarks"})
-    a = left.select("wk", "fp", F.size("marks").alias("n"), _blocks(F.col("fp"), radius).alias("block"))
-    b = right.select("ik", "ifp", F.size("imarks").alias("m"), _blocks(F.col("ifp"), radius).alias("iblock"))
+    left = materialise(_weighted(windows.dropDuplicates(["wk"]).select("wk", "ww"), "wk", "ww", shingle), "leak-prints")
+    right = _weighted(contents_of, "ik", "iw", shingle).withColumnsRenamed({"fp": "ifp", "marks": "imarks"})
+    laid = windows.select("wk", "ik").distinct()
+    a = laid.join(left, "wk").select("wk", "ik", "fp", F.size("marks").alias("n"), _blocks(F.col("fp"), radius).alias("block"))
+    b = right.select("ik", "ifp", F.size("imarks").alias("m"), _blocks(F.col("ifp"), radius).alias("block"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))
     near = (
-        a.join(
-            b,
-            (F.col("block") == F.col("iblock"))
-            & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m"))
-            & (distance <= radius),
-        )
+        a.join(b, ["ik", "block"])
+        .where((F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")) & (distance <= radius))
         .select("wk", "ik", distance.alias("distance"))
         .distinct()
     )
@@ -119,8 +138,11 @@ def leaks(
         .select("wk", "ik", "similarity", "distance")
     )
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), F.size("ww").alias("n_words"))).alias("best")
-    found = windows.join(verified, "wk").join(keyed.select("ik", "item_id"), "ik").groupBy("id", "hash", "item_id").agg(best)
-    return found.select(
+    found = windows.join(verified, ["wk", "ik"]).groupBy("hash", "ik").agg(best)
+    found = materialise(found.join(keyed.select("ik", "item_id"), "ik").groupBy("hash", "item_id").agg(F.max("best").alias("best")), "leak-found")
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_hash(text_col).alias("hash"))
+    rows = ids.join(bounded(found), "hash").distinct()
+    return rows.select(
         "id", "hash", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.d")).cast("int").alias("distance"), (-F.col("best.s")).alias("start_word"), F.col("best.n_words").alias("n_words")
     )
 

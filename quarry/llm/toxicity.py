@@ -2,15 +2,17 @@
 
 Learning, on at most ``train_rows`` labelled documents (a bounded sample by hash of the id):
 
-* words and word beginnings whose documents are toxic far more often than chance allows become the lexicon; near
-  copies count once, by a min-hash of their words, so that one copied text makes no terms of its words;
+* words and word beginnings whose documents are toxic far more often than chance allows become the lexicon; all that
+  are significant do.  Near copies count once, by three min-hashes of their words, so that one copied text makes no
+  terms of its words;
 * words of clean documents that lie close to a term are kept as known words, which are not taken for misspellings;
-* a logistic model weighs what is found.  Each half of the sample is scored with the lexicon of the other half.
+* a logistic model weighs what is found.  Each fold of the sample is scored with the lexicon of the other folds.
 
-Scoring: the terms form a trie; it is intersected with Levenshtein automata (one edit from five letters on, two from
-eight on) and the product is made deterministic step by step as tokens are read, so a token costs a walk over known
-states.  Each match is scored in its context window: matches between quotation marks count as quotation, matches
-close to other matches count more.
+Scoring: terms and stems form a trie; it is intersected with Levenshtein automata (one edit from four letters on, two
+from eight on; a stem of six letters and more may begin a token with one edit) and the product is made deterministic
+step by step as tokens are read, so a token costs a walk over known states.  Each match is scored in its context window:
+matches between quotation marks, however far apart in their line, count as quotation, matches close to other matches
+count more.
 
 Defined results: an empty or null text has no match and gets the model's base score; a null id is kept; repeated rows
 are scored each; labels are joined by id, the largest of several counts, null labels none; without both classes the
@@ -32,9 +34,15 @@ from pyspark.sql import functions as F
 from ._common import id_and_text, materialise
 
 WORD = re.compile(r"\w+")
-QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|^[ \t]*>[^\n]*", re.M)
+#: Quotations of any length within a line, and quoted lines; each mark is looked at once.
+QUOTED = re.compile(r"\"[^\"\n]++\"|“[^“”\n]++”|«[^«»\n]++»|„[^„“”\n]++[“”]|^[ \t]*>[^\n]*", re.M)
 STEM_LENGTHS = range(4, 9)
 WINDOW = 5  # tokens on either side
+#: Least log odds of a term, and the share of the bar that a word must reach.
+ODDS, WEAK = 2.5, 0.65
+#: Min-hashes of a document's words that near copies share; unrelated texts hardly do.
+SIGNATURE = 3
+FOLDS = 4
 
 #: Prior of the logistic model: base, all matches but quoted ones, misspelled matches, quoted matches, matches per token.
 PRIOR = np.array([-2.5, 2.5, -0.1, 0.3, 1.0])
@@ -43,14 +51,17 @@ STRENGTH = np.array([1.0, 4.0, 10.0, 4.0, 1.0])
 
 
 class Automaton:
-    """Levenshtein automata of all terms at once: their trie, with up to ``edits(term)`` edits, determinised lazily."""
+    """Levenshtein automata of all terms at once: their trie, with up to ``edits(term)`` edits, determinised lazily.
 
-    def __init__(self, terms: dict[str, float]):
+    Stems are accepted as beginnings of a token, with up to ``stem_edits(stem)`` edits.
+    """
+
+    def __init__(self, terms: dict[str, float], stems: dict[str, float] | None = None):
         self.nodes: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[str, int] | None] = [None]
+        self.ends: list[list[tuple[str, int, bool]]] = [[]]
         self.most: list[int] = [0]  # edits that some term below a node allows
-        for term in sorted(terms):
-            allowed = edits(term)
+        entries = [(t, edits(t), False) for t in terms] + [(t, stem_edits(t), True) for t in stems or ()]
+        for term, allowed, stem in sorted(entries):
             if not allowed:
                 continue
             at = 0
@@ -59,11 +70,11 @@ class Automaton:
                 if ch not in self.nodes[at]:
                     self.nodes[at][ch] = len(self.nodes)
                     self.nodes.append({})
-                    self.ends.append(None)
+                    self.ends.append([])
                     self.most.append(0)
                 at = self.nodes[at][ch]
                 self.most[at] = max(self.most[at], allowed)
-            self.ends[at] = (term, allowed)
+            self.ends[at].append((term, allowed, stem))
         self.forget()
 
     def forget(self) -> None:
@@ -71,6 +82,7 @@ class Automaton:
         self.members: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[int, str] | None] = []
+        self.begun: list[tuple[int, str] | None] = []  # stems that end here
         self._state({(0, 0)})  # state 0
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
@@ -87,13 +99,14 @@ class Automaton:
             self.states[key] = len(self.members)
             self.members.append(key)
             self.steps.append({})
-            ends = [(e, self.ends[n][0]) for n, e in key if self.ends[n] and e <= self.ends[n][1]]
-            self.accepts.append(min(ends) if ends else None)
+            ends = [(e, term, stem) for n, e in key for term, allowed, stem in self.ends[n] if e <= allowed]
+            self.accepts.append(min(((e, t) for e, t, stem in ends if not stem), default=None))
+            self.begun.append(min(((e, t) for e, t, stem in ends if stem), default=None))
         return self.states[key]
 
     def match(self, token: str) -> tuple[int, str] | None:
-        """(edits, term) of the closest term within its edits, or None."""
-        state = 0
+        """(edits, term) of the closest term, or stem that the token begins with, within its edits, or None."""
+        state, begun = 0, None
         for ch in token:
             after = self.steps[state].get(ch)
             if after is None:
@@ -105,12 +118,20 @@ class Automaton:
                 after = self.steps[state][ch] = self._state(reached)
             state = after
             if not self.members[state]:
-                return None
-        return self.accepts[state]
+                return begun
+            found = self.begun[state]
+            if found is not None and (begun is None or found < begun):
+                begun = found
+        accepted = self.accepts[state]
+        return begun if accepted is None else accepted if begun is None else min(accepted, begun)
 
 
 def edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
+
+
+def stem_edits(stem: str) -> int:
+    return 0 if len(stem) < 6 else 1
 
 
 class Lexicon:
@@ -118,8 +139,8 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], known: set[str]):
         self.terms, self.stems, self.known = terms, stems, known
-        self.automaton = Automaton(terms)
-        self.longest = max(map(len, terms), default=0) + 2
+        self.automaton = Automaton(terms, stems)
+        self.longest = 10**9 if any(map(stem_edits, stems)) else max(map(len, terms), default=0) + 2
         self.lengths = sorted({len(s) for s in stems})
 
         class Memory(dict):
@@ -136,7 +157,7 @@ class Lexicon:
             if token[:n] in self.stems:
                 return "stem", token[:n], self.stems[token[:n]]
         if 4 <= len(token) <= self.longest and token not in self.known and (found := self.automaton.match(token)):
-            return "misspelt", found[1], self.terms[found[1]] / (1 + 0.25 * found[0])
+            return "misspelt", found[1], max(self.terms.get(found[1], 0), self.stems.get(found[1], 0)) / (1 + 0.25 * found[0])
         return None
 
     def hits(self, text: str) -> tuple[list[tuple], int]:
@@ -208,30 +229,36 @@ def _ratio(tox: float, clean: float, all_tox: float, all_clean: float) -> tuple[
     return odds, 2 * gain
 
 
-def choose_terms(counts: list[tuple[str, bool, float, float]], all_tox: float, all_clean: float, tried: int, max_terms: int) -> tuple[dict, dict]:
-    """({term: weight}, {stem: weight}): significant among ``tried`` candidates; a term below a chosen stem adds nothing."""
+def choose_terms(counts: list[tuple[str, bool, float, float]], all_tox: float, all_clean: float, tried: int) -> tuple[dict, dict]:
+    """({term: weight}, {stem: weight}): those that are significant among ``tried`` candidates; a term below a chosen stem weighs what the stem does."""
     terms: dict[str, float] = {}
     stems: dict[str, float] = {}
     if not all_tox or not all_clean:
         return terms, stems
-    bar = 2 * math.log(max(tried, 10))  # of all that could be significant, one at most is by chance
+    bar = significance(tried)
     rated = [(t, stem, *_ratio(tox, clean, all_tox, all_clean)) for t, stem, tox, clean in counts]
     # words that fall short of that count too, by less, and a single one of them says little
-    good = sorted(((t, stem, odds, gain) for t, stem, odds, gain in rated if odds > 2.5 and gain > (bar if stem else 0.65 * bar)), key=lambda r: (-r[3], r[0]))
+    good = sorted(((t, stem, odds, gain) for t, stem, odds, gain in rated if odds > ODDS and gain > (bar if stem else WEAK * bar)), key=lambda r: (-r[3], r[0]))
+    alone: dict[str, float] = {}  # the best word below each beginning
+    for t, stem, _, gain in good:
+        for n in () if stem else range(min(STEM_LENGTHS), len(t) + 1):
+            alone[t[:n]] = max(gain, alone.get(t[:n], 0))
     for t, stem, odds, gain in good:
-        if len(terms) + len(stems) >= max_terms:
-            break
-        if any(t[:n] in stems for n in STEM_LENGTHS if n < len(t) + (not stem)):
-            continue
-        if stem:
-            best = max((g for u, s, _, g in good if not s and u.startswith(t)), default=0)
-            if best >= 0.8 * gain:  # one word makes it up; the word itself is the term
-                continue
-        (stems if stem else terms)[t] = min(odds, 6.0) * min(1.0, gain / bar) ** 2
+        above = next((t[:n] for n in STEM_LENGTHS if n < len(t) + (not stem) and t[:n] in stems), None)
+        if above is not None:
+            if not stem:
+                terms[t] = stems[above]  # its misspellings are to be found
+        elif not stem or alone.get(t, 0) < 0.8 * gain:  # else one word makes it up; the word itself is the term
+            (stems if stem else terms)[t] = min(odds, 6.0) * min(1.0, gain / bar) ** 2
     return terms, stems
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, max_terms: int = 4096) -> dict:
+def significance(tried: int) -> float:
+    """Of all candidates that could be significant, one at most is by chance."""
+    return 2 * math.log(max(tried, 10))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000) -> dict:
     """The model: terms, stems, known words and weights.  Only rows for which :func:`in_training` holds are learnt from."""
     empty = {"terms": {}, "stems": {}, "known": [], "weights": PRIOR.tolist()}
     marked = (
@@ -248,52 +275,64 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = marked.where(bit < part)  # about train_rows at most: small enough to broadcast at any size of the corpus
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "id")
     words = F.array_remove(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}_]+")), "")
-    bags = materialise(texts.select("id", "toxic", "text", words.alias("words"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2)).alias("half")), "toxicity-sample")
-    signed = bags.select("toxic", "half", "words", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("sig"))
-    totals = {(r.half, r.toxic): r.n for r in signed.groupBy("half", "toxic").agg(F.countDistinct("sig").alias("n")).collect()}
-    each = signed.select("sig", "toxic", "half", F.explode("words").alias("word")).where(F.length("word") >= 3).distinct()
-    tally = [F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)]
+    bags = materialise(texts.select("id", "toxic", "text", words.alias("words"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).alias("fold")), "toxicity-sample")
+    low = [F.array_min(F.transform("words", lambda w, seed=seed: F.xxhash64(w, F.lit(seed)))) for seed in range(SIGNATURE)]
+    signed = bags.select("toxic", "fold", "words", F.xxhash64(*low).alias("sig"))
+    totals = {(r.fold, r.toxic): r.n for r in signed.groupBy("fold", "toxic").agg(F.countDistinct("sig").alias("n")).collect()}
+    each = signed.select("sig", "toxic", "fold", F.explode("words").alias("word")).where(F.length("word") >= 3).distinct()
+    tally = [F.sum(F.when((F.col("fold") == h) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"n{h}{t}") for h in range(FOLDS) for t in (0, 1)]
     vocabulary = materialise(each.groupBy("word").agg(*tally), "toxicity-words")
-    sums = [F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")]
+    sums = [F.sum(f"n{h}{t}").alias(f"n{h}{t}") for h in range(FOLDS) for t in (0, 1)]
     starts = vocabulary.select("*", F.explode(F.array(*[F.lit(n) for n in STEM_LENGTHS])).alias("k")).where(F.col("k") < F.length("word"))
     stems = starts.groupBy(F.expr("left(word, k)").alias("word")).agg(*sums)
-    toxic, clean = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
+    toxic, clean = (sum((F.col(f"n{h}{t}") for h in range(1, FOLDS)), F.col(f"n0{t}")) for t in (1, 0))
     both = materialise(
         vocabulary.select("*", F.lit(False).alias("stem")).unionByName(stems.select("*", F.lit(True).alias("stem"))).where(toxic + clean >= 3), "toxicity-candidates"
     )
     tried = both.count()
-    # the driver gets candidates in order of how many more toxic documents they have than clean ones; as many as a model may hold, by far
-    candidates = both.where((toxic >= 3) & (toxic * 2 > clean)).orderBy(F.desc(toxic - clean), "word", "stem").limit(20 * max_terms).collect()
     n = lambda h, t: totals.get((h, t), 0)
+    # the driver gets what is significant in the sample or without one of its folds: as many as the labelled rows allow
+    passed = F.lit(False)
+    every = tuple(range(FOLDS))
+    parts = [every, *(tuple(h for h in every if h != out) for out in every)]
+    for some in parts:
+        tox, cl = (F.expr("+".join(f"n{h}{t}" for h in some)).cast("double") for t in (1, 0))
+        all_tox, all_clean = (float(sum(n(h, t) for h in some)) for t in (1, 0))
+        share = all_tox / max(all_tox + all_clean, 1)
+        if not 0 < share < 1:
+            continue
+        odds = F.log((tox + 0.5) / (all_tox + 1)) - F.log((cl + 0.5) / (all_clean + 1))
+        part_of = lambda k, s: F.when(k > 0, k * F.log(k / ((tox + cl) * s))).otherwise(0.0)  # noqa: E731, B023
+        passed |= (odds > ODDS) & (2 * (part_of(tox, share) + part_of(cl, 1 - share)) > WEAK * significance(tried) - 1e-6)
+    candidates = both.where((toxic >= 3) & passed).orderBy("word", "stem").collect()
 
-    def lexicon(halves: tuple[int, ...]) -> Lexicon:
-        rows = [(r.word, r.stem, sum(r[f"n{h}1"] for h in halves), sum(r[f"n{h}0"] for h in halves)) for r in candidates]
-        chosen = choose_terms(rows, sum(n(h, 1) for h in halves), sum(n(h, 0) for h in halves), tried, max_terms)
-        return Lexicon(*chosen, set())
+    def lexicon(folds: tuple[int, ...]) -> tuple[dict, dict]:
+        rows = [(r.word, r.stem, sum(r[f"n{h}1"] for h in folds), sum(r[f"n{h}0"] for h in folds)) for r in candidates]
+        return choose_terms(rows, sum(n(h, 1) for h in folds), sum(n(h, 0) for h in folds), tried)
 
-    whole, halves = lexicon((0, 1)), [lexicon((1,)), lexicon((0,))]
-    terms = [(x.terms, x.stems) for x in (whole, *halves)]
+    terms = [lexicon(some) for some in parts]
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [Automaton(t) for t, _ in terms]
+        automata = [Automaton(*t) for t in terms]
         for batch in batches:
             keep = [w for w in batch.column(0).to_pylist() if any(w not in t and a.match(w) for a, (t, _) in zip(automata, terms))]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["word"])
 
     # words near a term that toxic documents use at most three times as often as clean ones
-    usual = vocabulary.where(clean * (3 * max(1, n(0, 1) + n(1, 1))) >= toxic * max(1, n(0, 0) + n(1, 0))).select("word")
+    all_tox, all_clean = (max(1, sum(n(h, t) for h in every)) for t in (1, 0))
+    usual = vocabulary.where(clean * (3 * all_tox) >= toxic * all_clean).select("word")
     known = [r.word for r in usual.mapInArrow(close, "word string").collect()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = [Lexicon(*t, set(known)) for t in terms[1:]]
         for batch in batches:
-            rows = [features(*sides[half].hits(text)) for text, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows = [features(*sides[fold].hits(text)) for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    scored = bags.select("text", "half", "toxic").mapInArrow(score, "toxic int, x array<double>").toArrow()
+    scored = bags.select("text", "fold", "toxic").mapInArrow(score, "toxic int, x array<double>").toArrow()
     y = np.minimum(scored.column(0).to_numpy(), 1).astype(float)
     x = np.array(scored.column(1).to_pylist(), float).reshape(-1, len(PRIOR))
-    return {"terms": whole.terms, "stems": whole.stems, "known": known, "weights": fit(x, y).tolist()}
+    return {"terms": terms[0][0], "stems": terms[0][1], "known": known, "weights": fit(x, y).tolist()}
 
 
 HITS = "array<struct<start:int,end:int,kind:string,term:string,score:double>>"
@@ -301,7 +340,7 @@ HITS = "array<struct<start:int,end:int,kind:string,term:string,score:double>>"
 
 def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, score, hits): hits are the matches, with their places in the lower-cased text, kinds and scores."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most max_terms terms and the words close to them
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # terms of the bounded sample and the words close to them
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("term", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,5 +379,5 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_documents(docs, model).select(
-        F.col("id").alias("doc_id"), (~in_training(F.col("id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+        F.col("id").alias("doc_id"), F.coalesce(~in_training(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )

@@ -2,10 +2,10 @@
 
 ``responses`` writes pages as WARC/1.1 response records; ``derivatives`` reads response records (of these or any
 other maker), checks their digests and builds for each a metadata record and a conversion record that refer to it.
-Both keep the source's URI and date, its digests and its HTTP headers.  Record ids follow from the source's id, so a
-retried task makes the same records.
+Both keep the source's URI and date, its digests and its HTTP headers.  Record ids follow from the source's id, which
+follows from page, URL and content, so a retried task makes the same records and two captures of a page differ.
 
-Defined results: a null url or html counts as empty; repeated rows give equal records; a record that is not a
+Defined results: very long pages are converted whole, in time linear in their length; a null url or html counts as empty; repeated rows give equal records; a record that is not a
 response, or does not parse, gives one row of type ``invalid`` with its reason; an empty table gives an empty
 result; other columns are not looked at.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 
-_SILENT = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|$)|<![^>]*>", re.S | re.I)
+_SILENT = re.compile(r"<!--.*?(-->|\Z)|<(script|style|template|noscript)\b.*?(</\2\s*>|\Z)|<![^>]*+>", re.S | re.I)
 _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>",
     re.I,
@@ -40,9 +40,14 @@ def digest(raw: bytes) -> str:
 
 def plain_text(html: str) -> str:
     """All visible text, one line per block."""
-    rest = _SILENT.sub(" ", html)
-    last = rest.rfind(">") + 1  # no tag ends beyond
-    text = _TAG.sub("", _BREAK.sub("\n", rest[:last])) + rest[last:]
+    last = html.rfind(">") + 1  # no tag ends beyond; what is tried there would be tried in vain
+    parts, at, open_end = [], 0, False
+    for m in _SILENT.finditer(html, 0, last):
+        parts += [html[at : m.start()], " "]
+        at = m.end()
+        open_end = m[1] == "" or m[3] == ""  # a comment or element without an end takes all that follows
+    tail = "" if open_end else html[last:].partition("<!--")[0]
+    text = _TAG.sub("", _BREAK.sub("\n", "".join(parts) + html[at:last])) + tail
     lines = (" ".join(line.split()) for line in entities.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -75,7 +80,7 @@ def response_record(page_id: int | None, url: str, html: str, date: str) -> byte
     return build_record(
         "response",
         [
-            ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id} {url}')}>"),
+            ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id} {url} {digest(payload)}')}>"),
             ("WARC-Target-URI", _clean(url)),
             ("WARC-Date", date),
             ("Content-Type", "application/http; msgtype=response"),

@@ -48,3 +48,25 @@ def test_digests_of_a_table(spark):
     text = "".join(r.rendered for r in sorted((r for r in formatted.collect() if r.conv_id == -7), key=lambda r: r.position))
     assert got[-7].formatted_chars == len(text)
     assert read_back(format_conversations(df.limit(0))).count() == 0
+
+
+def test_the_joined_text_is_parsed_wherever_rows_cut_it(spark):
+    import random
+
+    from quarry.llm.chat_format import Reader, render_turn
+
+    turns = [("user", HARD), ("assistant", HARD), ("a:b", "x </turn>\n### assistant: y"), ("assistant", ""), ("assistant", "é" * 50)]
+    text, whole = "", Reader("assistant")
+    for role, body in turns:
+        rendered, a, b = render_turn(role, body)
+        whole.feed(rendered, (len(text) + a, len(text) + b) if role == "assistant" else None)
+        text += rendered
+    want = whole.close()
+    assert want[0] == 5 and want[2] == len(HARD) + 50
+    for seed in range(20):
+        rng, cut, at = random.Random(seed), Reader("assistant"), 0
+        while at < len(text):
+            n = rng.randint(1, 40)
+            cut.feed(text[at : at + n])
+            at += n
+        assert cut.close() == want

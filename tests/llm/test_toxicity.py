@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.toxicity import Automaton, edits, in_training, learn, score_documents
+from quarry.llm.toxicity import Automaton, Lexicon, choose_terms, edits, in_training, learn, score_documents
 from pyspark.sql import functions as F
 
 TERMS = {"moron": 4.0, "idiot": 4.0, "worthless": 4.0, "scum": 3.0}
@@ -79,3 +79,21 @@ def test_without_labels_or_rows(spark):
     assert score_documents(df.limit(0), model).count() == 0
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert 0 <= score_documents(df, learn(df, one)).first().score <= 1
+
+
+def test_quotations_of_any_length_and_misspelt_stems():
+    lexicon = Lexicon({"idiot": 4.0, "scum": 3.0}, {"zarkan": 4.0}, {"sum"})
+    far = 'he wrote "' + "long words " * 500 + "idiot " + "and more " * 500 + '" again idiot'
+    assert [h[2] for h in lexicon.hits(far)[0]] == ["quoted", "term"]
+    kinds = {t: (lexicon.look(t) or ("", ""))[:2] for t in ("zarkanish", "zrkanish", "zarcanolopex", "scumm", "sum", "sxyum", "zapan")}
+    assert kinds == {
+        "zarkanish": ("stem", "zarkan"), "zrkanish": ("misspelt", "zarkan"), "zarcanolopex": ("misspelt", "zarkan"), "scumm": ("misspelt", "scum"),
+        "sum": ("", ""), "sxyum": ("", ""), "zapan": ("", ""),
+    }
+    assert not lexicon.hits("“" * 100_000)[0]
+
+
+def test_all_significant_terms_are_taken():
+    counts = [(f"bad{i}", False, 40.0, 0.0) for i in range(6000)] + [("zark", True, 60.0, 0.0), ("zarkan", False, 30.0, 0.0), ("zarkit", False, 30.0, 0.0)]
+    terms, stems = choose_terms(counts, 100.0, 900.0, 20_000)
+    assert len(terms) == 6002 and set(stems) == {"zark"} and terms["zarkan"] == stems["zark"]

@@ -37,3 +37,13 @@ def test_a_table_with_odd_rows(spark):
     odd = spark.createDataFrame([(1, b""), (2, None), (3, broken), (4, build_record("request", [], b""))], "id long, record binary")
     got = {r.id: (r.record_type, r.reason) for r in derivatives(odd).collect()}
     assert all(t == "invalid" and why for t, why in got.values()) and "digest" in got[3][1]
+
+
+def test_two_captures_of_a_page_differ_and_broken_markup_is_linear(spark):
+    import time
+
+    pages = spark.createDataFrame([(1, "http://h/", "<p>a", 9), (1, "http://h/", "<p>b", 9), (None, None, None, 9), (2, "http://h/", "<!" * 300_000, 9)], "page_id long, url string, html string, record long")
+    began = time.time()
+    rows = derivatives(responses(pages)).collect()
+    assert len({r.record_id for r in rows}) == len(rows) == 8 and time.time() - began < 60
+    assert plain_text("a<!-- open <p>x") == "a" and plain_text("<b>x</b> 1 < 2 <!-- t") == "x 1 < 2" and plain_text("a<script>q</script>c<p>d") == "a c\nd"
