@@ -5,7 +5,7 @@ from quarry.llm.ann import multi_sequence, nearest
 
 
 def brute(rows, k):
-    good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [(i, np.array(v + [0.0] * (8 - len(v)), np.float32).astype(float)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
     for q, a in good:
         if q % 20 == 0:
@@ -56,7 +56,7 @@ def test_cells_are_visited_by_summed_distance():
     rng = np.random.default_rng(0)
     a, b, counts = rng.random(9), rng.random(9), rng.integers(0, 5, (9, 9))
     order = sorted((a[i] + b[j], i, j) for i in range(9) for j in range(9))
-    masks = multi_sequence(a, b, counts, 60)
+    masks = multi_sequence(a, b, counts, 60)[:, 0]
     total, expected = 0, np.zeros(9, np.uint64)
     for _, i, j in order:
         if total >= 60:
@@ -64,3 +64,27 @@ def test_cells_are_visited_by_summed_distance():
         total += counts[i, j]
         expected[i] |= np.uint64(1 << j)
     assert (masks == expected).all()
+
+
+def test_doubles_keep_their_precision_and_single_numbers_have_neighbours(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [1.05000000010]), (2, [1.05000000015]), (3, [-2.0])], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 2, 1.05000000015), (2, 1, 1.0500000001), (3, 3, -2.0)]
+
+
+def test_clustered_vectors_are_found_in_a_small_share(spark):
+    from quarry.llm.ann import codebook, needed_share
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 16))
+    x = centres[rng.integers(0, 300, 9000)] + 0.1 * rng.normal(size=(9000, 16))
+    books = (codebook(x[:, :8], 16, 1), codebook(x[:, 8:], 16, 2))
+    assert needed_share(x, 8, books, 20, 0.95, 1) < 0.35
+    y = rng.normal(size=(3000, 64))
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    assert needed_share(y, 32, (codebook(y[:, :32], 16, 1), codebook(y[:, 32:], 16, 2)), 20, 0.95, 1) > 0.5
+    # more than 64 codes: masks of two words
+    a, b, counts = rng.random(100), rng.random(100), np.ones((100, 100), int)
+    masks = multi_sequence(a, b, counts, 700)
+    order = sorted((a[i] + b[j], i, j) for i in range(100) for j in range(100))[:700]
+    assert masks.shape == (100, 2) and {(i, j) for _, i, j in order} == {(i, j) for i in range(100) for j in range(100) if int(masks[i, j // 64]) >> (j % 64) & 1}
