@@ -182,10 +182,10 @@ def band(c: np.ndarray) -> np.ndarray:
     return np.searchsorted(BANDS, c, "right") - 1
 
 
-def slot_sums(cls: np.ndarray, c: np.ndarray, n1: np.ndarray, n2: np.ndarray, room: np.ndarray, shares: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """What words add to Z - 1: by class and both slots."""
+def slot_sums(cls: np.ndarray, c: np.ndarray, n1: np.ndarray, n2: np.ndarray, many: np.ndarray, room: np.ndarray, shares: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What ``many`` words of each row add to Z - 1: by class and both slots."""
     out = np.zeros((CLASSES, SLOTS_OF, SLOTS_OF))
-    p = (c + ALPHA) / room[cls]
+    p = many * (c + ALPHA) / room[cls]
     over = [np.exp(weights[k][band(c)][:, None] * features(n, c[:, None], shares[k][cls])) - 1 for k, n in enumerate((n1, n2))]
     for k in np.unique(cls):
         of = cls == k
@@ -194,14 +194,14 @@ def slot_sums(cls: np.ndarray, c: np.ndarray, n1: np.ndarray, n2: np.ndarray, ro
     return out
 
 
-def slot_slopes(cls: np.ndarray, c: np.ndarray, n1: np.ndarray, n2: np.ndarray, room: np.ndarray, shares: np.ndarray, weights: np.ndarray, rate: np.ndarray) -> np.ndarray:
+def slot_slopes(cls: np.ndarray, c: np.ndarray, n1: np.ndarray, n2: np.ndarray, many: np.ndarray, room: np.ndarray, shares: np.ndarray, weights: np.ndarray, rate: np.ndarray) -> np.ndarray:
     """For each feature and band: its sum over the tokens without themselves, its expected sum, and its expected square; then the likelihood's part.
 
     ``rate``: tokens of a class and both slots over Z.
     """
     out = np.zeros((2, len(BANDS), 3))
     like = 0.0
-    p = ((c + ALPHA) / room[cls])[:, None]
+    p = (many * (c + ALPHA) / room[cls])[:, None]
     f = [features(n, c[:, None], shares[k][cls]) for k, n in enumerate((n1, n2))]
     e = [np.exp(weights[k][band(c)][:, None] * f[k]) for k in (0, 1)]
     expected = [np.zeros_like(e[0]), np.zeros_like(e[0])]
@@ -212,7 +212,7 @@ def slot_slopes(cls: np.ndarray, c: np.ndarray, n1: np.ndarray, n2: np.ndarray,
     for k, n in enumerate((n1, n2)):
         without = features(np.maximum(n - 1, 0), np.maximum(c - 1, 0)[:, None], shares[k][cls])
         bands, less = band(c), band(np.maximum(c - 1, 0))
-        seen = (n * without).sum(1)
+        seen = many * (n * without).sum(1)
         out[k, :, 0] = np.bincount(less, seen, len(BANDS))
         out[k, :, 1] = np.bincount(bands, (expected[k] * f[k]).sum(1), len(BANDS))
         out[k, :, 2] = np.bincount(bands, (expected[k] * f[k] ** 2).sum(1), len(BANDS))
@@ -228,14 +228,16 @@ def _flush(tally: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
     found = np.flatnonzero(tally)
     for at in range(0, len(found), 50_000):
         part = found[at : at + 50_000]
-        yield _rows(kind, pa.array(part), pa.array(tally[part].astype(np.int64)), pa.nulls(len(part), pa.string()))
+        yield _rows(kind, pa.array(part), pa.array(tally[part].astype(np.int64)))
 
 
-def _rows(kind: int, key: pa.Array, n: pa.Array, word: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), key, n, word], ["kind", "key", "n", "word"])
+def _rows(kind: int, key: pa.Array, n: pa.Array | None = None, word: pa.Array | None = None, counts: pa.Array | None = None) -> pa.RecordBatch:
+    size = len(key)
+    n, word, counts = (pa.nulls(size, t) if x is None else x for x, t in ((n, pa.int64()), (word, pa.string()), (counts, pa.binary())))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), key, n, word, counts], ["kind", "key", "n", "word", "counts"])
 
 
-HISTORY, HEAD1, HEAD2, RARE, JOINT = range(5)
+HISTORY, HEAD, RARE, JOINT = range(4)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = 100_000, updates: int = 6) -> dict:
@@ -313,7 +315,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_list, ends_in, classes, own_slot = words.value
         place, tally = Words(head_list, ends_in), np.zeros(int(np.prod(shape)), np.int32)
-        one, two_, joint = np.zeros(size * SLOTS_OF, np.int32), np.zeros(size * SLOTS_OF, np.int32), np.zeros(CLASSES * SLOTS_OF**2, np.int64)
+        one, two_, joint = np.zeros(size * SLOTS_OF, np.uint32), np.zeros(size * SLOTS_OF, np.uint32), np.zeros(CLASSES * SLOTS_OF**2, np.int64)
         pending: tuple[list, ...] = ([], [], [], [])
         rare: Counter = Counter()
         held = 0
@@ -321,8 +323,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
         def settle() -> None:
             for into, keys in zip((tally, one, two_, joint), pending):
                 if keys:
-                    found, n = np.unique(np.concatenate(keys), return_counts=True)
-                    into[found] += n.astype(into.dtype)
+                    into += np.bincount(np.concatenate(keys), minlength=len(into)).astype(into.dtype)
                     keys.clear()
 
         def emit() -> Iterator[pa.RecordBatch]:
@@ -353,10 +354,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
                 yield from emit()
         settle()
         yield from emit()
-        for kind, found in ((HISTORY, tally), (HEAD1, one), (HEAD2, two_), (JOINT, joint)):
-            yield from _flush(found, kind)
-
-    seen_in = materialise(learnt.mapInArrow(contexts, "kind int, key long, n long, word string"), "lm-contexts")
+        yield from _flush(tally, HISTORY)
+        yield from _flush(joint, JOINT)
+        both = np.hstack([one.reshape(size, SLOTS_OF), two_.reshape(size, SLOTS_OF)])
+        found = np.flatnonzero(both.any(axis=1))
+        for at in range(0, len(found), 20_000):
+            part = found[at : at + 20_000]
+            ends_at = pa.py_buffer(np.arange(0, 4 * 2 * SLOTS_OF * len(part) + 1, 4 * 2 * SLOTS_OF, dtype=np.int32).tobytes())
+            yield _rows(HEAD, pa.array(part), counts=pa.Array.from_buffers(pa.binary(), len(part), [None, ends_at, pa.py_buffer(both[part].tobytes())]))
+
+    seen_in = materialise(learnt.mapInArrow(contexts, "kind int, key long, n long, word string, counts binary"), "lm-contexts")
     # at most as many rows as there are histories and classes, whatever the size of the corpus
     summed = seen_in.where(F.col("kind") == HISTORY).groupBy("key").agg(F.sum("n").alias("n"))
     examples = materialise(summed.repartition(8, F.col("key").cast("string")), "lm-examples")
@@ -371,31 +378,38 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     joint = joint.reshape(CLASSES, SLOTS_OF, SLOTS_OF)
     totals = joint.sum(axis=(1, 2))[:, None] + SLOTS_OF
     shares = np.stack([(joint.sum(axis=2) + 1) / totals, (joint.sum(axis=1) + 1) / totals])
-    keyed = seen_in.where(F.col("kind").isin(HEAD1, HEAD2)).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    slots_of = F.struct((F.pmod("key", F.lit(SLOTS_OF)) + F.lit(SLOTS_OF) * (F.col("kind") - HEAD1)).cast("int").alias("slot"), "n")
-    by_head = keyed.groupBy(F.floor(F.col("key") / SLOTS_OF).alias("id")).agg(F.collect_list(slots_of).alias("found")).select(F.lit(None).cast("string").alias("word"), "id", "found")
     pairs = seen_in.where(F.col("kind") == RARE).repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
-    by_word = pairs.groupBy("word").agg(F.collect_list(F.struct(F.col("key").cast("int").alias("slot"), "n")).alias("found")).select("word", F.lit(-1).cast("long").alias("id"), "found")
+    by_word = pairs.groupBy("word").agg(F.collect_list(F.struct(F.col("key").cast("int").alias("slot"), "n")).alias("found"))
+
+    def laid_rows(words_: pa.Array, ids: np.ndarray, cls: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(np.arange(0, len(ids) * SLOTS_OF + 1, SLOTS_OF, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(b.ravel().astype(np.int32))) for b in both]
+        return pa.RecordBatch.from_arrays([words_, pa.array(ids), pa.array(cls.astype(np.int32)), pa.array(both[0].sum(axis=1).astype(np.int64)), *lists], ["word", "id", "cls", "c", "n1", "n2"])
 
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, ends_in, classes, _ = words.value
-        place = Words([], ends_in)
+    def lay_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, 2 * SLOTS_OF))
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, 2 * SLOTS_OF)
+            np.add.at(total, batch.column(0).to_numpy(), values)
+        found = np.flatnonzero(total.any(axis=1))
+        for at in range(0, len(found), 10_000):
+            ids = found[at : at + 10_000]
+            yield laid_rows(pa.nulls(len(ids), pa.string()), ids, words.value[2][ids], total[ids].reshape(-1, 2, SLOTS_OF).swapaxes(0, 1))
+
+    def lay_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = Words([], words.value[1])
         for batch in batches:
-            found, ids = batch.column(2), batch.column(1).to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(ids)), np.diff(found.offsets.to_numpy()))
+            found = batch.column(1)
+            row = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
             flat = found.flatten()
             slot, n = flat.field("slot").to_numpy().astype(np.int64), flat.field("n").to_numpy()
-            both = np.zeros((2, len(ids), SLOTS_OF))
-            known = ids[row] >= 0
-            np.add.at(both, (np.where(known, slot // SLOTS_OF, 0), row, np.where(known, slot % SLOTS_OF, slot // SLOTS_OF)), n)
-            np.add.at(both[1], (row[~known], slot[~known] % SLOTS_OF), n[~known])
-            cls = np.array([classes[i] if i >= 0 else (-1 - place[w.encode()]) // SLOTS_OF for i, w in zip(ids.tolist(), batch.column(0).to_pylist())], np.int32)
-            offsets = pa.array(np.arange(0, len(ids) * SLOTS_OF + 1, SLOTS_OF, dtype=np.int32))
-            arrays = [pa.ListArray.from_arrays(offsets, pa.array(b.ravel().astype(np.int32))) for b in both]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls), pa.array(both[0].sum(axis=1).astype(np.int64)), *arrays], ["word", "id", "cls", "c", "n1", "n2"])
+            both = np.stack([np.bincount(row * SLOTS_OF + s, n, len(found) * SLOTS_OF) for s in (slot // SLOTS_OF, slot % SLOTS_OF)]).reshape(2, -1, SLOTS_OF)
+            cls = np.array([(-1 - place[w]) // SLOTS_OF for w in batch.column(0).cast(pa.binary()).to_pylist()], np.int64)
+            yield laid_rows(batch.column(0), np.full(len(found), -1), cls, both)
 
     schema = "word string, id long, cls int, c long, n1 array<int>, n2 array<int>"
-    laid = materialise(by_head.unionByName(by_word).mapInArrow(lay, schema), "lm-words")
+    by_head = seen_in.where(F.col("kind") == HEAD).select("key", "counts").repartition("key").mapInArrow(lay_head, schema)
+    laid = materialise(by_head.unionByName(by_word.mapInArrow(lay_others, schema)), "lm-words")
     tokens_of, types_of = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in laid.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         tokens_of[r["cls"]], types_of[r["cls"]] = r["c"], r["n"]
@@ -460,7 +474,7 @@ def _train_classes(spark, examples: DataFrame, shape: tuple[int, ...], before_cl
     weights = 0.4 * np.log((observed + 20 * prior) / (observed.sum(axis=1, keepdims=True) + 20) / prior)
     weights[bias] = np.log(prior)
     evidence = observed.sum(axis=1, keepdims=True) + 100
-    step, best, best_like, slope = 1.0, weights, -np.inf, None
+    step, best, best_like, slope = 0.4, weights, -np.inf, None
     likes = []
     for _ in range(updates):
         gradient, like = update(weights)
@@ -476,7 +490,8 @@ def _train_classes(spark, examples: DataFrame, shape: tuple[int, ...], before_cl
 def _train_words(laid: DataFrame, room: np.ndarray, shares: np.ndarray, joint: np.ndarray, updates: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(weights of the words' features by kind and band, log10 Z by class and slots, deleted likelihood at each update)."""
     spark = laid.sparkSession
-    columns = laid.select("cls", "c", "n1", "n2")
+    # most rare words look alike: they count together
+    columns = materialise(laid.groupBy("cls", "c", "n1", "n2").agg(F.count("*").alias("many")), "lm-word-kinds")
 
     def total(work, size: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,7 +499,8 @@ def _train_words(laid: DataFrame, room: np.ndarray, shares: np.ndarray, joint: n
             for batch in batches:
                 for at in range(0, batch.num_rows, 20_000):
                     part = batch.slice(at, 20_000)
-                    out += work(part.column(0).to_numpy().astype(np.int64), part.column(1).to_numpy().astype(float), _lists(part.column(2)), _lists(part.column(3))).ravel()
+                    cls, c, many = (part.column(i).to_numpy().astype(t) for i, t in ((0, np.int64), (1, float), (4, float)))
+                    out += work(cls, c, _lists(part.column(2)), _lists(part.column(3)), many).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out)], ["at", "x"])
 
         out = np.zeros(size)
@@ -493,14 +509,14 @@ def _train_words(laid: DataFrame, room: np.ndarray, shares: np.ndarray, joint: n
         return out
 
     def rooms_of(weights: np.ndarray) -> np.ndarray:
-        return 1 + total(lambda cls, c, n1, n2: slot_sums(cls, c, n1, n2, room, shares, weights), joint.size).reshape(joint.shape)
+        return 1 + total(lambda *words: slot_sums(*words, room, shares, weights), joint.size).reshape(joint.shape)
 
     weights = np.zeros((2, len(BANDS)))
     best, best_like, rooms, likes, step, move = weights, -np.inf, np.ones(joint.shape), [], 1.0, weights
     for _ in range(updates):
         z = rooms_of(weights)
         rate = joint / z
-        sums = total(lambda cls, c, n1, n2: slot_slopes(cls, c, n1, n2, room, shares, weights, rate), 2 * len(BANDS) * 3 + 1)  # noqa: B023
+        sums = total(lambda *words: slot_slopes(*words, room, shares, weights, rate), 2 * len(BANDS) * 3 + 1)  # noqa: B023
         like = sums[-1] - float((joint * np.log(z)).sum())
         likes.append(like)
         if like >= best_like:
@@ -510,6 +526,7 @@ def _train_words(laid: DataFrame, room: np.ndarray, shares: np.ndarray, joint: n
         else:
             step *= 0.4
         weights = np.clip(best + step * move, -0.5, 6)
+    drop_scratch(columns)
     return best, np.log10(rooms), likes
 
 
