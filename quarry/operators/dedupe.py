@@ -29,7 +29,8 @@ def suffix_repeats(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
 
 def dedupe_bodies(df: DataFrame, body_key: Column, words: Column, id_col: str, order: list[str], min_words: int = 12) -> DataFrame:
     """Rows of the same body once, where it has at least ``min_words`` words; then suffixes for repeated ids."""
-    keyed = df.withColumn("__long", words >= min_words).withColumn("__key", body_key)
-    rn = F.row_number().over(Window.partitionBy("__long", "__key").orderBy(*order))
-    kept = keyed.withColumn("__rn", rn).where(~F.col("__long") | (F.col("__rn") == 1)).drop("__long", "__key", "__rn")
-    return suffix_repeats(kept, id_col, order)
+    long = F.coalesce(words >= min_words, F.lit(False))
+    rn = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    # the limit of one a key runs before the shuffle; short bodies aren't moved at all
+    first = df.where(long).withColumn("__key", body_key).withColumn("__rn", rn).where(F.col("__rn") == 1).drop("__key", "__rn")
+    return suffix_repeats(first.unionByName(df.where(~long)), id_col, order)

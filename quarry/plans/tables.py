@@ -147,9 +147,9 @@ def interval_changes(spark, sf_dir):
     return found.groupBy("o_orderkey").agg(F.count("*").alias("later"), F.min("changed").alias("next_change"))
 
 
-@P.add("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20)")
+@P.add("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.05)")
 def unmatched_registry_rows(spark, sf_dir):
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 20").select(c("l_partkey").alias("p_partkey"))
+    used = table(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_discount > 0.05").select(c("l_partkey").alias("p_partkey"))
     return table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
 
 

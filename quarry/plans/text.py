@@ -88,11 +88,9 @@ def split_counts(spark, sf_dir):
     return d.select("doc_id", F.size(T.paragraphs(c("text"))).cast("long").alias("paragraphs"), F.size(T.lines(c("text"))).cast("long").alias("lines"))
 
 
-@P.add(
-    r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))), ' ') AS numbers FROM documents WHERE regexp_matches(text, '\d') AND NOT regexp_matches(text, '\d,\d|[.,]\d|\d\.\d*\.')"""
-)
+@P.add()  # what may stand before and after a number is beyond DuckDB's patterns; the tests read all texts by a plain scan
 def numbers_in_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(c("text").rlike(r"\d") & ~c("text").rlike(r"\d,\d|[.,]\d|\d\.\d*\."))
+    d = table(spark, sf_dir, "documents").where(c("text").rlike(r"\d"))
     return d.select("doc_id", F.array_join(F.array_sort(T.numbers(c("text"))), " ").alias("numbers"))
 
 

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]  # fixed values
-BREAKS = r"(?i)</(?:p|div|h[1-6]|li|tr|ul|ol|table|nav|article|section|header|footer|title|head)>|<br[^>]*>"
+BREAKS = r"(?i)</(?:p|div|h[1-6]|li|tr|ul|ol|table|nav|article|section|header|footer|title|head)>|<br[^<>]*>"
 
 
 def html_to_text(html: Column) -> Column:
     """Scripts and comments out, block ends as line ends, tags out, the common entities decoded; no Python."""
-    text = F.regexp_replace(html, r"(?is)<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->", " ")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"(?s)<[^>]*>", "")
+    text = F.regexp_replace(html, r"(?is)<(?:script|style)\b.*?(?:</(?:script|style)>|\z)|<!--.*?(?:-->|\z)", " ")
+    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"(?s)<[^<>]*>", "")
     for name, value in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(value))
     return text
@@ -46,7 +46,18 @@ def form_feed_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\f")).alias("page", "text"))
 
 
-def read_mail(raw: bytes) -> dict:
+def read_mail(raw: bytes | None) -> dict:
+    """Headers, body and attachments; what can't be read is empty, with the reason why."""
+    empty = {"headers": {}, "body": "", "is_html": False, "attachments": [], "reason": "no content"}
+    if not raw:
+        return empty
+    try:
+        return _mail(raw) | {"reason": None}
+    except (LookupError, ValueError, AttributeError, KeyError) as why:
+        return empty | {"reason": f"{type(why).__name__}: {why}"}
+
+
+def _mail(raw: bytes) -> dict:
     m = email.message_from_bytes(raw, policy=email.policy.default)
     body = m.get_body(preferencelist=("plain", "html"))
     names = [p.get_filename() or "" for p in m.iter_attachments()]
@@ -59,13 +70,13 @@ def read_mail(raw: bytes) -> dict:
 
 
 def mail_messages(files: DataFrame) -> DataFrame:
-    """(path, headers, body, attachments) of e-mail files of (path, content), as the binary source gives them."""
-    schema = "path string, headers map<string,string>, body string, is_html boolean, attachments array<string>"
+    """(path, headers, body, attachments, reason) of e-mail files of (path, content), as the binary source gives them."""
+    schema = "path string, headers map<string,string>, body string, is_html boolean, attachments array<string>, reason string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [read_mail(x) for x in b.column(1).to_pylist()]
-            kinds = {"headers": pa.map_(pa.string(), pa.string()), "body": pa.string(), "is_html": pa.bool_(), "attachments": pa.list_(pa.string())}
+            kinds = {"headers": pa.map_(pa.string(), pa.string()), "body": pa.string(), "is_html": pa.bool_(), "attachments": pa.list_(pa.string()), "reason": pa.string()}
             cols = [pa.array([list(r[n].items()) if n == "headers" else r[n] for r in rows], t) for n, t in kinds.items()]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["path", *kinds])
 

@@ -18,8 +18,12 @@ from ..operators import versions
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share: below spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A folder that all executors share: below spark.checkpoint.dir, or one of our own where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
 
 
@@ -74,16 +78,20 @@ def run_upserts(spark: SparkSession, source: str, root: str, key: list[str], ord
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
 
 
-def windowed_totals(spark: SparkSession, source: str, root: str, width: str) -> DataFrame:
-    """Counts and sums by kind and day in complete mode, kept by the query itself."""
-    stream = file_stream(spark, source).withColumn("ts", F.col("ts").cast("timestamp"))
+def windowed_totals(spark: SparkSession, source: str, root: str, width: str, late: str = "7 days") -> DataFrame:
+    """Counts and sums by kind and window: each batch writes the totals that it changed, the last of each counts.
+
+    State is kept for ``late`` after a window's end; rows that come later than that are left out.
+    """
+    stream = file_stream(spark, source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     totals = stream.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.select("event_type", F.col("w.start").alias("day"), "n", "total").write.mode("overwrite").parquet(f"{root}/versions/v{number}")
+        changed = batch.select("event_type", F.col("w.start").alias("day"), "n", "total")
+        changed.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
 
-    totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    return snapshot(spark, root)
+    totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    return versions.last_per_key(spark.read.parquet(f"{root}/changes"), ["event_type", "day"], ["batch"]).drop("batch")
 
 
 def mark_done(spark: SparkSession, root: str, stage: str, config: str, rows: int) -> None:
