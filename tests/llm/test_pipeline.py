@@ -1,11 +1,35 @@
 import numpy as np
 from test_decontamination import brute
-from test_simhash import plain_fingerprint, plain_groups
 
 import corpus_pipeline
 from quarry.llm import toxicity
 
 
+def plain_groups(texts, least=0.8):
+    """id -> smallest id of those reachable by links of five-word shingles that are 0.8 alike, over all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        for c in "\t\n\x0b\x0c\r":
+            words = words.replace(c, " ")
+        words = [w for w in words.split(" ") if w]
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+    by_set = {}
+    for i in sorted(sets):
+        by_set.setdefault(sets[i], []).append(i)
+    left, root = sorted(by_set, key=lambda s: by_set[s][0]), {}
+    while left:
+        todo, left = [left[0]], left[1:]
+        first = by_set[todo[0]][0]
+        while todo:
+            a = todo.pop()
+            root |= dict.fromkeys(by_set[a], first)
+            near = [b for b in left if len(a & b) >= least * len(a | b)]
+            left = [b for b in left if b not in set(near)]
+            todo += near
+    return root
+
+
 def test_stages_match_plain_versions(spark, sf_dir):
     docs = corpus_pipeline.table(spark, sf_dir, "documents")
     labels = corpus_pipeline.table(spark, sf_dir, "labels")
@@ -16,12 +40,7 @@ def test_stages_match_plain_versions(spark, sf_dir):
     clean = {i: t for i, t in texts.items() if score[i] < 0.7}
     one = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == set(clean)
-    fps = {i: plain_fingerprint(t) for i, t in clean.items()}
-    roots = plain_groups(set(fps.values()))
-    first = {}
-    for i in clean:
-        first[roots[fps[i]]] = min(i, first.get(roots[fps[i]], i))
-    single = {i: clean[i] for i in first.values()}
+    single = {i: clean[i] for i in set(plain_groups(clean).values())}
     two = corpus_pipeline.drop_near_duplicates(spark, one, sf_dir)
     assert two.columns == docs.columns and sorted(r.doc_id for r in two.collect()) == sorted(single)
     items = [(r.item_id, r.text) for r in corpus_pipeline.table(spark, sf_dir, "benchmark").collect()]
