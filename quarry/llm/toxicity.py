@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -50,73 +51,82 @@ PRIOR = np.array([-2.5, 2.5, -0.1, 0.3, 1.0])
 STRENGTH = np.array([1.0, 4.0, 10.0, 4.0, 1.0])
 
 
-class Automaton:
-    """Levenshtein automata of all terms at once: their trie, with up to ``edits(term)`` edits, determinised lazily.
+class _Side:
+    """Levenshtein automata of entries read in one direction: their trie, determinised lazily.
 
-    Stems are accepted as beginnings of a token, with up to ``stem_edits(stem)`` edits.
+    An entry is (word, term, edits, length of its first half, whether it is a stem).  Inside the first half a state may
+    hold half of the edits only, so that most tokens leave the trie after some letters.
     """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float] | None = None):
+    def __init__(self, entries: list[tuple[str, str, int, int, bool]]):
         self.nodes: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[str, int, bool]]] = [[]]
-        self.most: list[int] = [0]  # edits that some term below a node allows
-        entries = [(t, edits(t), False) for t in terms] + [(t, stem_edits(t), True) for t in stems or ()]
-        for term, allowed, stem in sorted(entries):
-            if not allowed:
-                continue
+        self.most: list[int] = [0]  # edits that some term below a node allows there
+        for word, term, allowed, half, stem in sorted(entries):
             at = 0
-            self.most[0] = max(self.most[0], allowed)
-            for ch in term:
+            for depth, ch in enumerate(word):
+                self.most[at] = max(self.most[at], allowed // 2 if depth < half else allowed)
                 if ch not in self.nodes[at]:
                     self.nodes[at][ch] = len(self.nodes)
                     self.nodes.append({})
                     self.ends.append([])
                     self.most.append(0)
                 at = self.nodes[at][ch]
-                self.most[at] = max(self.most[at], allowed)
+            self.most[at] = max(self.most[at], allowed)
             self.ends[at].append((term, allowed, stem))
+        # edits that a node or a child allows: a state that has as many goes on by the letter itself only
+        self.open = [max([m, *(self.most[c] for c in after.values())]) for m, after in zip(self.most, self.nodes)]
         self.forget()
 
     def forget(self) -> None:
-        self.states: dict[frozenset, int] = {}
-        self.members: list[frozenset] = []
+        self.states: dict[tuple, int] = {}
+        self.members: list[tuple] = []  # (node << 2 | edits), sorted
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[int, str] | None] = []
         self.begun: list[tuple[int, str] | None] = []  # stems that end here
-        self._state({(0, 0)})  # state 0
+        self._state([0])  # state 0
 
-    def _state(self, pairs: set[tuple[int, int]]) -> int:
-        least: dict[int, int] = {}
-        todo = list(pairs)
+    def _state(self, todo: list[int]) -> int:
+        nodes, most, open_, least = self.nodes, self.most, self.open, {}
         while todo:  # letters of a term that the token leaves out
-            node, e = todo.pop()
-            if e > self.most[node] or e >= least.get(node, 99):
+            pair = todo.pop()
+            node, e = pair >> 2, pair & 3
+            if e > most[node] or e >= least.get(node, 4):
                 continue
             least[node] = e
-            todo += [(child, e + 1) for child in self.nodes[node].values()]
-        key = frozenset(least.items())
-        if key not in self.states:
-            self.states[key] = len(self.members)
+            if e < open_[node]:
+                todo += [child << 2 | e + 1 for child in nodes[node].values() if e < most[child]]
+        key = tuple(sorted([node << 2 | e for node, e in least.items()]))
+        at = self.states.get(key)
+        if at is None:
+            at = self.states[key] = len(self.members)
             self.members.append(key)
             self.steps.append({})
-            ends = [(e, term, stem) for n, e in key for term, allowed, stem in self.ends[n] if e <= allowed]
-            self.accepts.append(min(((e, t) for e, t, stem in ends if not stem), default=None))
-            self.begun.append(min(((e, t) for e, t, stem in ends if stem), default=None))
-        return self.states[key]
+            ends = [(e, end) for node, e in least.items() if self.ends[node] for end in self.ends[node] if e <= end[1]]
+            self.accepts.append(min(((e, t) for e, (t, _, stem) in ends if not stem), default=None) if ends else None)
+            self.begun.append(min(((e, t) for e, (t, _, stem) in ends if stem), default=None) if ends else None)
+        return at
+
+    def _step(self, state: int, ch: str) -> int:
+        nodes, most, open_, reached = self.nodes, self.most, self.open, []
+        for pair in self.members[state]:
+            node, e = pair >> 2, pair & 3
+            after = nodes[node]
+            if (same := after.get(ch)) is not None:
+                reached.append(same << 2 | e)
+            if e < open_[node]:
+                reached.append(node << 2 | e + 1)
+                reached += [child << 2 | e + 1 for child in after.values() if e < most[child]]
+        # fewest edits last: they are taken first, and the others of their nodes fall out
+        reached.sort(key=lambda pair: -(pair & 3))
+        after = self.steps[state][ch] = self._state(reached)
+        return after
 
     def match(self, token: str) -> tuple[int, str] | None:
-        """(edits, term) of the closest term, or stem that the token begins with, within its edits, or None."""
         state, begun = 0, None
         for ch in token:
             after = self.steps[state].get(ch)
-            if after is None:
-                reached = set()
-                for node, e in self.members[state]:
-                    reached.add((node, e + 1))
-                    for letter, child in self.nodes[node].items():
-                        reached.add((child, e if letter == ch else e + 1))
-                after = self.steps[state][ch] = self._state(reached)
-            state = after
+            state = self._step(state, ch) if after is None else after
             if not self.members[state]:
                 return begun
             found = self.begun[state]
@@ -126,6 +136,34 @@ class Automaton:
         return begun if accepted is None else accepted if begun is None else min(accepted, begun)
 
 
+class Automaton:
+    """Levenshtein automata of all terms at once, with up to ``edits(term)`` edits, on a trie of the terms and on one of
+    the terms read backwards: of all edits of a match at most half lie in the one half of the term or in the other, so
+    one of both directions finds it with half of the edits in the half it reads first.
+
+    Stems are accepted as beginnings of a token, with up to ``stem_edits(stem)`` edits anywhere, forwards.
+    """
+
+    def __init__(self, terms: dict[str, float], stems: dict[str, float] | None = None):
+        some = [(t, edits(t)) for t in terms if edits(t)]
+        begins = [(t, t, stem_edits(t), 0, True) for t in stems or () if stem_edits(t)]
+        self.forwards = _Side([(t, t, k, len(t) // 2, False) for t, k in some] + begins)
+        self.backwards = _Side([(t[::-1], t, k, len(t) - len(t) // 2, False) for t, k in some])
+
+    def __len__(self) -> int:
+        """States made so far."""
+        return len(self.forwards.members) + len(self.backwards.members)
+
+    def forget(self) -> None:
+        self.forwards.forget()
+        self.backwards.forget()
+
+    def match(self, token: str) -> tuple[int, str] | None:
+        """(edits, term) of the closest term, or stem that the token begins with, within its edits, or None."""
+        one, other = self.forwards.match(token), self.backwards.match(token[::-1])
+        return one if other is None else other if one is None else min(one, other)
+
+
 def edits(term: str) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
 
@@ -166,7 +204,7 @@ class Lexicon:
         tokens = WORD.findall(low)
         if len(self.memory) > 300_000:
             self.memory.clear()
-        if len(self.automaton.members) > 50_000:
+        if len(self.automaton) > 150_000:
             self.automaton.forget()
         memory = self.memory
         found = [(i, m) for i, m in enumerate(map(memory.__getitem__, tokens)) if m is not None]
@@ -335,17 +373,28 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {"terms": terms[0][0], "stems": terms[0][1], "known": known, "weights": fit(x, y).tolist()}
 
 
+_ready: dict[str, tuple[Lexicon, np.ndarray]] = {}
+
+
+def _scorer(model: dict) -> tuple[Lexicon, np.ndarray]:
+    """Lexicon and weights of a shipped model; a worker process keeps the last one, so its next tasks know the tokens met so far."""
+    key = model["key"]
+    if key not in _ready:
+        _ready.clear()
+        _ready[key] = Lexicon(model["terms"], model["stems"], set(model["known"])), np.array(model["weights"])
+    return _ready[key]
+
+
 HITS = "array<struct<start:int,end:int,kind:string,term:string,score:double>>"
 
 
 def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, score, hits): hits are the matches, with their places in the lower-cased text, kinds and scores."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # terms of the bounded sample and the words close to them
+    shipped = docs.sparkSession.sparkContext.broadcast({**model, "key": uuid.uuid4().hex})  # terms of the bounded sample and the words close to them
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("term", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        lexicon, weights = Lexicon(m["terms"], m["stems"], set(m["known"])), np.array(m["weights"])
+        lexicon, weights = _scorer(shipped.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -360,12 +409,11 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
 def reject_toxic(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The documents whose score is below ``threshold``; columns as they are, no shuffle."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast({**model, "key": uuid.uuid4().hex})
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        lexicon, weights = Lexicon(m["terms"], m["stems"], set(m["known"])), np.array(m["weights"])
+        lexicon, weights = _scorer(shipped.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
