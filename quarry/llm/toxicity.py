@@ -3,10 +3,12 @@
 Learning, on at most ``train_rows`` labelled documents (a bounded sample by hash of the id):
 
 * words and word beginnings whose documents are toxic far more often than chance allows become the lexicon; all that
-  are significant do.  Near copies count once, by three min-hashes of their words, so that one copied text makes no
-  terms of its words;
+  are significant do.  Near copies count once: texts that share a band of min-hashes of their five-word shingles, and
+  those reached over them, are one group, of whose toxic and clean texts one each counts (that of the smallest hash), so
+  that a copied and edited text makes no terms of its words;
 * words of clean documents that lie close to a term are kept as known words, which are not taken for misspellings;
-* a logistic model weighs what is found.  Each fold of the sample is scored with the lexicon of the other folds.
+* a logistic model weighs what is found.  Each fold of the sample is scored with the lexicon of the other folds; a group
+  of near copies is in one fold.
 
 Scoring: terms and stems form a trie; it is intersected with Levenshtein automata (one edit from four letters on, two
 from eight on; a stem of six letters and more may begin a token with one edit) and the product is made deterministic
@@ -15,7 +17,8 @@ matches between quotation marks, however far apart in their line, count as quota
 count more.
 
 Defined results: an empty or null text has no match and gets the model's base score; a null id is kept; repeated rows
-are scored each; labels are joined by id, the largest of several counts, null labels none; without both classes the
+are scored each; labels are joined by id, the largest of several counts, null labels none; of several texts of one id
+that of the smallest hash is learnt from (so the sample is bounded whatever an id holds); without both classes the
 prior model is used; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -33,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import id_and_text, materialise
+from .shingle_dedup import band_keys, shingles
 
 WORD = re.compile(r"\w+")
 #: Quotations of any length within a line, and quoted lines; each mark is looked at once.
@@ -41,8 +45,6 @@ STEM_LENGTHS = range(4, 9)
 WINDOW = 5  # tokens on either side
 #: Least log odds of a term, and the share of the bar that a word must reach.
 ODDS, WEAK = 2.5, 0.65
-#: Min-hashes of a document's words that near copies share; unrelated texts hardly do.
-SIGNATURE = 3
 FOLDS = 4
 
 #: Prior of the logistic model: base, all matches but quoted ones, misspelled matches, quoted matches, matches per token.
@@ -296,6 +298,45 @@ def significance(tried: int) -> float:
     return 2 * math.log(max(tried, 10))
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, toxic, rep, text) -> (hash, toxic, rep, keys): the bands of min-hashes that near copies share."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            keys = [band_keys(shingles(t.as_py())) for t in part.column(3).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.list_(pa.int64()))], ["hash", "toxic", "rep", "keys"])
+
+
+def copies(bands: pa.Table) -> pa.Table:
+    """(hash, toxic, sig, rep): the group of a text and the id of the row that counts for the group's texts of that label."""
+    bands = bands.sort_by([("hash", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    n, toxic, rep = bands.num_rows, bands.column("toxic").to_numpy(), bands.column("rep").to_numpy()
+    keys = np.array([k.values.to_numpy() for k in bands.column("keys")], np.int64) if n else np.empty((0, 1), np.int64)
+    sig = copy_groups(keys)
+    _, first, of = np.unique(np.stack([sig, toxic.astype(np.int64)]), axis=1, return_index=True, return_inverse=True)
+    return pa.table({"hash": bands.column("hash"), "toxic": bands.column("toxic"), "sig": pa.array(sig, pa.int64()), "rep": pa.array(rep[first][of.ravel()], pa.int64())})
+
+
+def copy_groups(keys: np.ndarray) -> np.ndarray:
+    """For each row of band keys the number of the first row that it shares a key with, or reaches over others."""
+    n, bands = keys.shape
+    root = np.arange(n)
+    if not n:
+        return root
+    flat, row = keys.ravel(), np.repeat(np.arange(n), bands)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    sizes = np.diff(np.append(starts, len(flat)))
+    while True:
+        after = root.copy()
+        np.minimum.at(after, row, np.repeat(np.minimum.reduceat(root[row], starts), sizes))
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000) -> dict:
     """The model: terms, stems, known words and weights.  Only rows for which :func:`in_training` holds are learnt from."""
     empty = {"terms": {}, "stems": {}, "known": [], "weights": PRIOR.tolist()}
@@ -312,17 +353,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bit = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20))
     sample = marked.where(bit < part)  # about train_rows at most: small enough to broadcast at any size of the corpus
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "id")
-    words = F.array_remove(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}_]+")), "")
-    bags = materialise(texts.select("id", "toxic", "text", words.alias("words"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).alias("fold")), "toxicity-sample")
-    low = [F.array_min(F.transform("words", lambda w, seed=seed: F.xxhash64(w, F.lit(seed)))) for seed in range(SIGNATURE)]
-    signed = bags.select("toxic", "fold", "words", F.xxhash64(*low).alias("sig"))
-    totals = {(r.fold, r.toxic): r.n for r in signed.groupBy("fold", "toxic").agg(F.countDistinct("sig").alias("n")).collect()}
-    each = signed.select("sig", "toxic", "fold", F.explode("words").alias("word")).where(F.length("word") >= 3).distinct()
+    texts = texts.withColumn("hash", F.xxhash64("text")).groupBy("id", "toxic").agg(F.min(F.struct("hash", "text")).alias("t"))
+    words = F.array_remove(F.array_distinct(F.split(F.lower("t.text"), r"[^\p{L}\p{M}\p{N}_]+")), "")
+    sample = materialise(texts.select("id", "toxic", "t.hash", "t.text", words.alias("words")), "toxicity-sample")
+    # of the sample, which train_rows bounds, the driver gets the bands
+    once = sample.groupBy("hash", "toxic").agg(F.min("id").alias("rep"), F.first("text").alias("text"))
+    found = copies(once.mapInArrow(_bands, "hash long, toxic int, rep long, keys array<long>").toArrow())
+    grouped = sample.join(F.broadcast(docs.sparkSession.createDataFrame(found)), ["hash", "toxic"])
+    bags = grouped.withColumn("fold", F.pmod(F.xxhash64("sig", F.lit(5)), F.lit(FOLDS)))
+    single = bags.where(F.col("id") == F.col("rep")).select("toxic", "fold", "words")
+    totals = {(r.fold, r.toxic): r.n for r in single.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     tally = [F.sum(F.when((F.col("fold") == h) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"n{h}{t}") for h in range(FOLDS) for t in (0, 1)]
+    each = single.select("toxic", "fold", F.explode("words").alias("word")).where(F.length("word") >= 3)
     vocabulary = materialise(each.groupBy("word").agg(*tally), "toxicity-words")
-    sums = [F.sum(f"n{h}{t}").alias(f"n{h}{t}") for h in range(FOLDS) for t in (0, 1)]
-    starts = vocabulary.select("*", F.explode(F.array(*[F.lit(n) for n in STEM_LENGTHS])).alias("k")).where(F.col("k") < F.length("word"))
-    stems = starts.groupBy(F.expr("left(word, k)").alias("word")).agg(*sums)
+    # a beginning counts once in a text, however many words begin so
+    begin = lambda n: F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.left(w, F.lit(n)))
+    starts = single.select("toxic", "fold", F.explode(F.array_distinct(F.concat(*[begin(n) for n in STEM_LENGTHS]))).alias("word"))
+    stems = starts.groupBy("word").agg(*tally)
     toxic, clean = (sum((F.col(f"n{h}{t}") for h in range(1, FOLDS)), F.col(f"n0{t}")) for t in (1, 0))
     both = materialise(
         vocabulary.select("*", F.lit(False).alias("stem")).unionByName(stems.select("*", F.lit(True).alias("stem"))).where(toxic + clean >= 3), "toxicity-candidates"

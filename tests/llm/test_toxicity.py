@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.toxicity import Automaton, Lexicon, choose_terms, edits, in_training, learn, score_documents
+from quarry.llm.toxicity import Automaton, Lexicon, choose_terms, copy_groups, edits, in_training, learn, score_documents
 from pyspark.sql import functions as F
 
 TERMS = {"moron": 4.0, "idiot": 4.0, "worthless": 4.0, "scum": 3.0}
@@ -97,3 +98,34 @@ def test_all_significant_terms_are_taken():
     counts = [(f"bad{i}", False, 40.0, 0.0) for i in range(6000)] + [("zark", True, 60.0, 0.0), ("zarkan", False, 30.0, 0.0), ("zarkit", False, 30.0, 0.0)]
     terms, stems = choose_terms(counts, 100.0, 900.0, 20_000)
     assert len(terms) == 6002 and set(stems) == {"zark"} and terms["zarkan"] == stems["zark"]
+
+
+def test_edited_copies_make_no_terms(spark):
+    docs, labels = make(spark)
+    rng = random.Random(2)
+    rare = [f"only{chr(97 + i // 26)}{chr(97 + i % 26)}here" for i in range(300)]
+    for i in range(60):  # copies of one toxic text, two words of each changed
+        words = list(rare)
+        for _ in range(2):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+        docs.append((8000 + i, " ".join([*words, "idiot moron"]), 0.0))
+        labels.append((8000 + i, 1))
+    docs += [(9000, f"version {n} of one id", 0.0) for n in range(50)]
+    labels.append((9000, 0))
+    model = learn(spark.createDataFrame(docs, "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"idiot", "worthless", "moron"} <= set(model["terms"])
+    assert not [t for t in [*model["terms"], *model["stems"]] if t.startswith("only")]
+
+
+@given(st.lists(st.lists(st.integers(0, 12), min_size=3, max_size=3), max_size=12))
+def test_copy_groups_are_the_components_of_shared_keys(rows):
+    left, want = list(range(len(rows))), [0] * len(rows)
+    while left:
+        first, todo = left[0], [left.pop(0)]
+        while todo:
+            a = todo.pop()
+            want[a] = first
+            near = [b for b in left if set(rows[a]) & set(rows[b])]
+            left = [b for b in left if b not in near]
+            todo += near
+    assert copy_groups(np.array(rows, np.int64).reshape(-1, 3)).tolist() == want
