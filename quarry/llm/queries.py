@@ -10,6 +10,7 @@ from .decontamination import op3_benchmark_decontamination
 from .html_extract import op5_html_extraction
 from .language_model import op9_lm_scoring
 from .packing import op1_best_fit_packing
+from .periodic_runs import op13_periodic_runs
 from .sharding import op2_rendezvous_sharding
 from .simhash_dedup import op4_simhash_dedup
 from .toxicity import op8_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
