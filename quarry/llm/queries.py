@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from . import importance_resampling
 from .ann import op7_inverted_multi_index
 from .chat_format import op6_chat_format
 from .decontamination import op3_benchmark_decontamination
@@ -27,9 +28,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op12_importance_resampling": importance_resampling.op12_importance_resampling,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
-#: None of these can be expressed in SQL (hashes, tokenizers, models, fixed points); tests/llm compares them with plain versions.
-ORACLE: dict[str, str] = {}
+#: The others can't be expressed in SQL (hashes, tokenizers, models, fixed points); tests/llm compares them with plain versions.
+ORACLE: dict[str, str] = {"op12_importance_resampling": importance_resampling.ORACLE}
