@@ -9,6 +9,7 @@ from .ann import op7_inverted_multi_index
 from .chat_format import op6_chat_format
 from .decontamination import op3_benchmark_decontamination
 from .html_extract import op5_html_extraction
+from .language_id import op11_language_id
 from .language_model import op9_lm_scoring
 from .packing import op1_best_fit_packing
 from .periodic_runs import op13_periodic_runs
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_language_id": op11_language_id,
     "op12_importance_resampling": importance_resampling.op12_importance_resampling,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
