@@ -6,8 +6,11 @@ the components of the links.  Candidates meet by min-hashes: ``BANDS`` keys of `
 below ``least`` is linked.
 
 Texts of one set are compared once.  In lists of at most ``max_list`` sets all pairs are candidates.  Longer lists first
-link all sets to one of them, another in each list, which joins nearly all of a large group; then the pairs of a list
-that are still in different groups are compared.
+compare all sets with ``hubs`` of them, others in each list, which joins nearly all of a large group.  Where a list is still
+of several groups, the sets outside its largest group are compared with those of all such lists by a prefix filter:
+sets of a similarity of ``least`` share one of their 1 - ``least`` rarest shingles, whichever order of rarity is taken.
+The order is by counts of the shingles' upper bits, so a bounded table; edited copies have rare shingles of their own and
+meet few.  No list is gathered, and no step makes all pairs of a long one.
 
 Defined results: those of ``simhash_dedup``; blank and null texts are one group; a text of fewer words is one shingle.
 """
@@ -72,49 +75,25 @@ def _rows(shingle: int, seed: int):
     return run
 
 
-def _meet(max_list: int):
-    """Over postings sorted by key: candidates (a, b); rows (a, null, key) are the members of lists that are too long."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, vs, last, source = np.empty(0, np.int64), np.empty(0, np.int64), False, iter(batches)
-        while not last:
-            batch = next(source, None)
-            last = batch is None
-            if batch is not None:
-                keys = np.concatenate((keys, batch.column(0).to_numpy()))
-                vs = np.concatenate((vs, batch.column(1).to_numpy()))
-            bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, int)
-            done = bounds if last else bounds[:-1]
-            a, b, of = [], [], []
-            for i in np.flatnonzero(np.diff(done) > 1):
-                found, key = vs[done[i] : done[i + 1]], keys[done[i]]
-                if len(found) <= max_list:
-                    x, y = np.triu_indices(len(found), 1)
-                    a.append(np.minimum(found[x], found[y]))
-                    b.append(np.maximum(found[x], found[y]))
-                    of.append(np.zeros(len(x), np.int64))
-                else:
-                    hub = found[((found ^ key).view(np.uint64) * MIX).argmin()]
-                    others = found[found != hub]
-                    a += [np.minimum(others, hub), found]
-                    b += [np.maximum(others, hub), found]  # a = b: a mark
-                    of += [np.zeros(len(others), np.int64), np.full(len(found), key)]
-            keys, vs = keys[done[-1] :].copy(), vs[done[-1] :].copy()
-            if a:
-                x, y, z = map(np.concatenate, (a, b, of))
-                for at in range(0, len(x), 50_000):
-                    p, q, r = x[at : at + 50_000], y[at : at + 50_000], z[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q, mask=p == q), pa.array(r)], ["a", "b", "key"])
-
-    return run
-
-
-def _similar(pairs: DataFrame, reps: DataFrame, rows: DataFrame, least: float, shingle: int, seed: int, broadcast_rows: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of ``least`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(reps, "v").select("v", F.col("rep.hash").alias("hash"))
+def _candidates(reps: DataFrame, max_list: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that share a key, for long lists only those with a hub; and the members (key, v) of long lists."""
+    postings = reps.select(F.explode("keys").alias("key"), "v")
+    hub = [F.min(F.struct(F.xxhash64("v", "key", F.lit(i)).alias("h"), "v"))["v"] for i in range(hubs)]
+    lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.array(*hub).alias("hubs")).where("n > 1")
+    met = materialise(postings.join(lists, "key"), "shingle-met")
+    few = met.where(F.col("n") <= max_list).groupBy("key").agg(F.collect_list("v").alias("vs"))
+    few = few.select(F.explode("vs").alias("a"), "vs").select("a", F.explode("vs").alias("b")).where("a < b")
+    long = met.where(F.col("n") > max_list)
+    far = long.select("v", F.explode("hubs").alias("hub")).where("v <> hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b"))
+    return materialise(few.unionByName(far).distinct(), "shingle-pairs"), long.select("key", "v")
+
+
+def _sets(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, seed: int, broadcast_rows: int) -> DataFrame:
+    """(v, s): the shingles of each text set that is in a pair."""
+    wanted = pairs.select("a").union(pairs.select("b")).select(F.col("a").alias("v")).distinct().join(reps, "v").select("v", F.col("rep.hash").alias("hash"))
     wanted = materialise(wanted, "shingle-wanted")
     small = wanted.count() <= broadcast_rows
-    texts = rows.join(F.broadcast(wanted) if small else wanted, "hash").select("v", "text")
+    found = texts.join(F.broadcast(wanted) if small else wanted, "hash").select("v", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +102,11 @@ def _similar(pairs: DataFrame, reps: DataFrame, rows: DataFrame, least: float, s
                 sets = [shingles(t.as_py(), shingle, seed).view(np.int64) for t in part.column(1).cast(pa.large_binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["v", "s"])
 
-    sets = materialise(texts.mapInArrow(run, "v long, s array<long>").groupBy("v").agg(F.first("s").alias("s")), "shingle-sets")
+    return materialise(found.mapInArrow(run, "v long, s array<long>").groupBy("v").agg(F.first("s").alias("s")), "shingle-sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of ``least`` or more."""
     one = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
     # sizes alone rule out some
@@ -134,29 +117,78 @@ def _similar(pairs: DataFrame, reps: DataFrame, rows: DataFrame, least: float, s
     )
 
 
+def prefix_length(n: int, least: float) -> int:
+    """How many shingles of a set of n to look at: sets at ``least`` or more share one of so many first ones."""
+    return n - int(np.ceil(least * n - 1e-9)) + 1
+
+
+def _prefixes(sets: DataFrame, least: float, bits: int = 18) -> DataFrame:
+    """(v, n, token): the rarest shingles of each set, by counts of their upper ``bits``, then by themselves.
+
+    At most 2^bits counts come to the driver and go to the tasks."""
+    counted = sets.select(F.explode("s").alias("s")).select(F.shiftrightunsigned("s", 64 - bits).cast("int").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(1 << bits, np.int64)
+    counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                vs, ns, tokens = [], [], []
+                for v, s in zip(part.column(0).to_pylist(), part.column(1)):
+                    own = s.values.to_numpy()
+                    many = prefix_length(len(own), least)
+                    order = np.lexsort((own, often[(own.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)]))[:many]
+                    tokens.append(own[order])
+                    vs.append(np.full(many, v))
+                    ns.append(np.full(many, len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (vs, ns, tokens)], ["v", "n", "token"])
+
+    return sets.mapInArrow(run, "v long, n long, token long")
+
+
+def _apart(long: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame | None:
+    """Pairs (a, b) of different groups that share a long list and a rare shingle, without those compared before."""
+    members = materialise(long.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root")), "shingle-members")
+    groups = members.groupBy("key", "root").agg(F.count("*").alias("many"))
+    lists = groups.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("many", "root"))["root"].alias("largest")).where("groups > 1")
+    split = materialise(members.join(lists.select("key", "largest"), "key"), "shingle-split")
+    if split.isEmpty():
+        return None
+    within = split.select("v", "root").distinct()
+    outside = split.where("root <> largest").select("v").distinct()
+    near = materialise(_prefixes(sets.join(within, "v", "left_semi"), least).join(within, "v"), "shingle-prefixes")
+    few = near.join(outside, "v", "left_semi").select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("root").alias("its"))
+    alike = (F.col("root") != F.col("its")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))
+    met = near.join(few, "token").where(alike).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+    return materialise(met.join(pairs, ["a", "b"], "left_anti"), "shingle-apart")
+
+
 def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, seed: int = 42, max_list: int = 32, broadcast_rows: int = 1_000_000
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    least: float = 0.8,
+    seed: int = 42,
+    max_list: int = 8,
+    hubs: int = 2,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per document: (id, hash, component, keep), as ``simhash_dedup.near_duplicates`` gives them."""
     texts = id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     rows = materialise(texts.mapInArrow(_rows(shingle, seed), "id long, hash long, v long, keys array<long>"), "shingle-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash"))
     reps = materialise(rows.groupBy("v").agg(first.alias("rep"), F.first("keys").alias("keys")), "shingle-reps")
-    postings = reps.select(F.explode("keys").alias("key"), "v")
-    met = materialise(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(max_list), "a long, b long, key long"), "shingle-met")
-    pairs = materialise(met.where("b is not null").select("a", "b").distinct(), "shingle-pairs")
-    links = _similar(pairs, reps, texts, least, shingle, seed, broadcast_rows)
+    pairs, long = _candidates(reps, max_list, hubs)
+    sets = _sets(pairs, reps, texts, shingle, seed, broadcast_rows)
+    links = _similar(pairs, sets, least)
     roots = components(links)
-    members = met.where("b is null").select("key", F.col("a").alias("v"))
-    if not members.isEmpty():
-        members = materialise(members.join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root")), "shingle-members")
-        split = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        left = materialise(members.join(split, "key"), "shingle-left")
-        other = left.select("key", F.col("v").alias("w"), F.col("root").alias("its"))
-        cross = left.join(other, "key").where("root < its").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-        cross = materialise(cross.join(pairs, ["a", "b"], "left_anti"), "shingle-cross")
-        if not cross.isEmpty():
-            roots = components(links.unionByName(_similar(cross, reps, texts, least, shingle, seed, broadcast_rows)))
+    apart = _apart(long, roots, sets, pairs, least)
+    if apart is not None and not apart.isEmpty():
+        roots = components(links.unionByName(_similar(apart, sets, least)))
     rooted = reps.join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("kept"))
     classes = rooted.join(smallest, "root").select("v", "kept")

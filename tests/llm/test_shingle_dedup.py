@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from quarry.llm.shingle_dedup import similar_groups
+from quarry.llm.shingle_dedup import prefix_length, similar_groups
 
 
 def plain_set(text):
@@ -26,8 +26,8 @@ def plain_kept(texts):
     return kept
 
 
-@pytest.mark.parametrize("max_list", [32, 2])
-def test_groups_match_brute_force(spark, max_list):
+@pytest.mark.parametrize(("max_list", "hubs"), [(32, 1), (8, 2), (2, 1), (1, 2)])
+def test_groups_match_brute_force(spark, max_list, hubs):
     rng, texts = random.Random(5), ["", None, " \n", "one two", "One  two", "one two three"]
     vocab = ["w%d" % i for i in range(500)]
     for n in (8, 40, 120, 300):
@@ -47,7 +47,7 @@ def test_groups_match_brute_force(spark, max_list):
     rng.shuffle(texts)
     rows = dict(enumerate(texts))
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    found = similar_groups(df, max_list=max_list).collect()
+    found = similar_groups(df, max_list=max_list, hubs=hubs).collect()
     assert len(found) == len(rows) and {r.id for r in found if r.keep} == plain_kept(rows)
 
 
@@ -58,3 +58,12 @@ def test_stage_drops_every_pair_at_eight_tenths(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "/root/testdata/sf0.001").collect()}
     a, b = plain_set(texts[1]), plain_set(texts[177])
     assert len(a & b) >= 0.8 * len(a | b) and kept == plain_kept(texts) and 177 not in kept
+
+
+def test_prefixes_of_alike_sets_meet():
+    for n in range(1, 200):
+        for m in range(n, int(n / 0.8) + 2):
+            for both in range(1, n + 1):
+                if both >= 0.8 * (n + m - both):
+                    # even if all that is not shared comes first, a shared one is in both prefixes
+                    assert n - both < prefix_length(n, 0.8) and m - both < prefix_length(m, 0.8)
