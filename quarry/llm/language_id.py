@@ -170,8 +170,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_lang
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("key", F.xxhash64("text"))
     distinct = rows.groupBy("lang", "key").agg(F.min("id").alias("least"))
-    frequent = F.broadcast(distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang"))
-    chosen = distinct.join(frequent, "lang").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    frequent = F.broadcast(distinct.groupBy("lang").agg(F.count("*").alias("many")).orderBy(F.desc("many"), "lang").limit(languages))
+    # a share of each label that holds some four times what is wanted, so that no task orders all texts of one
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    likely = distinct.join(frequent, "lang").withColumn("share", share).where(F.col("share") * F.col("many") < 4 * per_language)
+    chosen = likely.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("share", "key")))
     chosen = F.broadcast(chosen.where(F.col("nth") <= per_language).select(F.col("lang").alias("of"), F.col("key").alias("its"), "least"))
     found = rows.join(chosen, (F.col("lang") == F.col("of")) & (F.col("key") == F.col("its")) & F.col("id").eqNullSafe(F.col("least")))
     raw = F.col("text").cast("binary")
