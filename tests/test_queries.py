@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarry.plans import checks, more, search, stream, tables, text
+from quarry.plans import checks, laws, more, search, stream, tables, text
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {k: v for m in (text, tables, search, stream, checks, more) for k, v in m.QUERIES.items()}
-ORACLE = {k: v for m in (text, tables, search, stream, checks, more) for k, v in m.ORACLE.items()}
+MODULES = (text, tables, search, stream, checks, more, laws)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 
 
 def plain(x):
