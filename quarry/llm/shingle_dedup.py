@@ -8,7 +8,8 @@ below ``least`` is linked.
 Texts of one set are compared once.  In lists of at most ``max_list`` sets all pairs are candidates.  Longer lists first
 compare all sets with ``hubs`` of them, others in each list, which joins nearly all of a large group.  Where a list is still
 of several groups, the sets outside its largest group are compared with those of all such lists by a prefix filter:
-sets of a similarity of ``least`` share one of their 1 - ``least`` rarest shingles, whichever order of rarity is taken.
+sets of a similarity of ``least`` share one of their 1 - ``least`` rarest shingles, whichever order of rarity is taken, and
+the first that they share leaves enough behind it in both.
 The order is by counts of the shingles' upper bits, so a bounded table; edited copies have rare shingles of their own and
 meet few.  No list is gathered, and no step makes all pairs of a long one.
 
@@ -78,13 +79,16 @@ def _rows(shingle: int, seed: int):
 def _candidates(reps: DataFrame, max_list: int, hubs: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that share a key, for long lists only those with a hub; and the members (key, v) of long lists."""
     postings = reps.select(F.explode("keys").alias("key"), "v")
-    hub = [F.min(F.struct(F.xxhash64("v", "key", F.lit(i)).alias("h"), "v"))["v"] for i in range(hubs)]
-    lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.array(*hub).alias("hubs")).where("n > 1")
+    lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialise(postings.join(lists, "key"), "shingle-met")
     few = met.where(F.col("n") <= max_list).groupBy("key").agg(F.collect_list("v").alias("vs"))
     few = few.select(F.explode("vs").alias("a"), "vs").select("a", F.explode("vs").alias("b")).where("a < b")
     long = met.where(F.col("n") > max_list)
-    far = long.select("v", F.explode("hubs").alias("hub")).where("v <> hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b"))
+    # the first hub is the set in the most company, which is what the copies are copies of; others are any
+    company = long.groupBy("v").agg(F.sum("n").alias("company"))
+    hub = [F.max(F.struct("company", "v"))["v"]] + [F.min(F.struct(F.xxhash64("v", "key", F.lit(i)).alias("h"), "v"))["v"] for i in range(1, hubs)]
+    chosen = long.join(company, "v").groupBy("key").agg(F.array(*hub).alias("hubs"))
+    far = long.join(chosen, "key").select("v", F.explode("hubs").alias("hub")).where("v <> hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b"))
     return materialise(few.unionByName(far).distinct(), "shingle-pairs"), long.select("key", "v")
 
 
@@ -123,7 +127,7 @@ def prefix_length(n: int, least: float) -> int:
 
 
 def _prefixes(sets: DataFrame, least: float, bits: int = 18) -> DataFrame:
-    """(v, n, token): the rarest shingles of each set, by counts of their upper ``bits``, then by themselves.
+    """(v, n, at, token): the rarest shingles of each set and their places, by counts of their upper ``bits``, then by themselves.
 
     At most 2^bits counts come to the driver and go to the tasks."""
     counted = sets.select(F.explode("s").alias("s")).select(F.shiftrightunsigned("s", 64 - bits).cast("int").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toArrow()
@@ -136,7 +140,7 @@ def _prefixes(sets: DataFrame, least: float, bits: int = 18) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                vs, ns, tokens = [], [], []
+                vs, ns, places, tokens = [], [], [], []
                 for v, s in zip(part.column(0).to_pylist(), part.column(1)):
                     own = s.values.to_numpy()
                     many = prefix_length(len(own), least)
@@ -144,9 +148,10 @@ def _prefixes(sets: DataFrame, least: float, bits: int = 18) -> DataFrame:
                     tokens.append(own[order])
                     vs.append(np.full(many, v))
                     ns.append(np.full(many, len(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (vs, ns, tokens)], ["v", "n", "token"])
+                    places.append(np.arange(many))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (vs, ns, places, tokens)], ["v", "n", "at", "token"])
 
-    return sets.mapInArrow(run, "v long, n long, token long")
+    return sets.mapInArrow(run, "v long, n long, at long, token long")
 
 
 def _apart(long: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame | None:
@@ -160,8 +165,9 @@ def _apart(long: DataFrame, roots: DataFrame, sets: DataFrame, pairs: DataFrame,
     within = split.select("v", "root").distinct()
     outside = split.where("root <> largest").select("v").distinct()
     near = materialise(_prefixes(sets.join(within, "v", "left_semi"), least).join(within, "v"), "shingle-prefixes")
-    few = near.join(outside, "v", "left_semi").select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("root").alias("its"))
-    alike = (F.col("root") != F.col("its")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))
+    few = near.join(outside, "v", "left_semi").select("token", F.col("v").alias("w"), F.col("n").alias("m"), F.col("at").alias("its_at"), F.col("root").alias("its"))
+    need = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9)
+    alike = (F.col("root") != F.col("its")) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("its_at")) >= need)
     met = near.join(few, "token").where(alike).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
     return materialise(met.join(pairs, ["a", "b"], "left_anti"), "shingle-apart")
 

@@ -67,3 +67,26 @@ def test_prefixes_of_alike_sets_meet():
                 if both >= 0.8 * (n + m - both):
                     # even if all that is not shared comes first, a shared one is in both prefixes
                     assert n - both < prefix_length(n, 0.8) and m - both < prefix_length(m, 0.8)
+
+
+def test_a_family_of_copies_makes_few_pairs(spark):
+    from quarry.llm import shingle_dedup as S
+
+    rng = random.Random(9)
+    base = ["b%d" % i for i in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(1200):
+        copy = list(base)
+        for i in rng.sample(range(150), rng.choice([1, 2, 4, 6, 8])):
+            copy[i] = "e%d" % rng.randrange(10**6)
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+    similar, apart = S._similar, S._apart
+    try:
+        S._similar = lambda pairs, *a: (made.append(pairs.count()), similar(pairs, *a))[1]
+        found = similar_groups(df).collect()
+    finally:
+        S._similar, S._apart = similar, apart
+    assert {r.id for r in found if r.keep} == plain_kept(dict(enumerate(texts)))
+    assert sum(made) < 25 * len(texts)  # all pairs are 600 a text
