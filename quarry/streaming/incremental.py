@@ -1,13 +1,12 @@
 """Incremental runs with file streams: upserts into snapshots, windowed totals, done markers.
 
-A snapshot is a folder per version, named by the batch that wrote it; a batch that is run again writes the same version
-again, so a restart leaves what one run would have left.
+Snapshots are bucketed tables that know the last batch they took; a batch that is run again changes nothing, so a restart
+leaves what one run would have left.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import tempfile
 import uuid
 
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import versions
+from ..sources.store import BucketedTable
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -32,24 +32,9 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def latest(spark: SparkSession, root: str) -> str | None:
-    """The folder of the last complete version."""
-    fs, p = _fs(spark, f"{root}/versions")
-    if not fs.exists(p):
-        return None
-    found = []
-    for s in fs.listStatus(p):
-        m = re.fullmatch(r"v(\d+)", s.getPath().getName())
-        if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            found.append((int(m[1]), s.getPath().toString()))
-    return max(found)[1] if found else None
-
-
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    path = latest(spark, root)
-    if path is None:
-        raise ValueError("no version has been written")
-    return spark.read.parquet(path)
+    """The rows as of the last complete version."""
+    return BucketedTable.open(spark, root).read()
 
 
 def file_stream(spark: SparkSession, source: str, per_batch: int | None = None) -> DataFrame:
@@ -63,35 +48,34 @@ def file_stream(spark: SparkSession, source: str, per_batch: int | None = None)
     return reader.parquet(source)
 
 
-def run_upserts(spark: SparkSession, source: str, root: str, key: list[str], order: list[str], per_batch: int = 4) -> None:
-    """Read the files that are new since the last run; the last row of each key by ``order`` wins."""
-    schema = spark.read.parquet(source).schema
-
-    def write(batch: DataFrame, number: int) -> None:
-        before = [f"{root}/versions/v{n}" for n in range(number) if _fs(spark, f"{root}/versions/v{n}")[0].exists(_fs(spark, f"{root}/versions/v{n}/_SUCCESS")[1])]
-        rows = versions.last_per_key(batch, key, order)
-        if before:
-            rows = versions.last_per_key(spark.read.schema(schema).parquet(before[-1]).unionByName(rows), key, order)
-        rows.write.mode("overwrite").parquet(f"{root}/versions/v{number}")
-
-    stream = file_stream(spark, source, per_batch)
+def _each_batch(stream: DataFrame, root: str, write) -> None:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
 
 
-def windowed_totals(spark: SparkSession, source: str, root: str, width: str, late: str = "7 days") -> DataFrame:
-    """Counts and sums by kind and window: each batch writes the totals that it changed, the last of each counts.
+def run_upserts(spark: SparkSession, source: str, root: str, key: list[str], order: list[str], per_batch: int = 4, buckets: int = 16) -> None:
+    """Read the files that are new since the last run; the last row of each key by ``order`` wins.
 
-    State is kept for ``late`` after a window's end; rows that come later than that are left out.
+    A batch reads and writes the buckets of its keys only; a batch that is run again changes nothing.
     """
-    stream = file_stream(spark, source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    totals = stream.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    stream = file_stream(spark, source, per_batch)
+    kept = BucketedTable(spark, root, key, {"rows": [x for x in stream.columns if x not in key]}, buckets)
+    last = lambda old, new: versions.last_per_key(old.unionByName(new), key, order)
+    _each_batch(stream, root, lambda batch, number: kept.upsert(versions.last_per_key(batch, key, order), number, last))
+
+
+def windowed_totals(spark: SparkSession, source: str, root: str, width: str, buckets: int = 4) -> DataFrame:
+    """Counts and sums by kind and window.  Each batch adds to the totals of its windows, however late its rows come."""
+    stream = file_stream(spark, source).withColumn("ts", F.col("ts").cast("timestamp"))
+    key = ["event_type", "day"]
+    kept = BucketedTable(spark, root, key, {"totals": ["n", "total"]}, buckets)
+    add = lambda old, new: old.unionByName(new).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
     def write(batch: DataFrame, number: int) -> None:
-        changed = batch.select("event_type", F.col("w.start").alias("day"), "n", "total")
-        changed.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
+        rows = batch.where("event_type is not null AND ts is not null").groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        kept.upsert(rows.select("event_type", F.col("w.start").alias("day"), "n", "total"), number, add)
 
-    totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    return versions.last_per_key(spark.read.parquet(f"{root}/changes"), ["event_type", "day"], ["batch"]).drop("batch")
+    _each_batch(stream, root, write)
+    return kept.read().select("event_type", "day", "n", "total")
 
 
 def mark_done(spark: SparkSession, root: str, stage: str, config: str, rows: int) -> None:
