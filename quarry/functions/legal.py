@@ -13,7 +13,7 @@ from . import text as T
 MONTHS = "january february march april may june july august september october november december".split()
 HEBREW_MONTHS = "ינואר פברואר מרץ אפריל מאי יוני יולי אוגוסט ספטמבר אוקטובר נובמבר דצמבר".split()
 OPENERS = {"yes": ("yes", "כן"), "no": ("no", "לא")}
-CONNECTIVES = ("and", "or", "to", "ו", "או", "עד")
+CONNECTIVES = ("או", "עד", "ו", "ב", "ל", "מ", "ה", "ש", "כ")
 
 
 # ---- shapes of rows
@@ -123,8 +123,9 @@ def name_starts(name: Column, key: Column) -> Column:
 
 
 def join_spaced_numbers(c: Column) -> Column:
-    """``116 b 12`` as ``116b12``, unless what stands between is a connective."""
-    return F.regexp_replace(c, rf"(?<![0-9])([0-9]+) (?!(?:{'|'.join(CONNECTIVES)}) )([A-Za-zא-ת]{{1,2}}) ([0-9]+)(?![0-9])", "$1$2$3")
+    """``116 יז 12`` as ``116יז12``: a section's number, its Hebrew letters and the number after them, unless the letters are a connective."""
+    letters = rf"(?!(?:{'|'.join(CONNECTIVES)}) )([א-ת]{{1,2}})"
+    return F.regexp_replace(c, rf"(?<![\p{{L}}\p{{N}}_])(\d{{2,4}}) {letters} (\d{{1,2}})(?=[.(\s,;:\"״]|$)", "$1$2$3")
 
 
 def first_numbers(items: Column) -> Column:

@@ -63,7 +63,7 @@ SHARD_BM25 = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS}) AS t
 
 @P.add(f"WITH {SHARD_BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc) WHERE rank <= 10")
 def bm25_shards(spark, sf_dir):
-    found = retrieval.shard_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), c("doc_id") % 3, 3, "doc_id", "text", "item_id", "text", 10)
+    found = retrieval.shard_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), c("doc_id") % 3, "doc_id", "text", "item_id", "text", 10)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import evaluation, joins, ranking
+from ..operators import evaluation, joins, keyword_index, ranking
 from ._base import Plans, table
 
 P = Plans()
@@ -40,6 +40,44 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
+def _stored_search(spark, sf_dir, terms, groups):
+    """The documents as two segments of a stored index, asked by the benchmark."""
+    from ..streaming.incremental import work_dir
+
+    index = keyword_index.KeywordIndex(spark, work_dir(spark, "keywords"), terms, groups)
+    docs = table(spark, sf_dir, "documents")
+    index.add(docs.where("doc_id % 3 > 0"), "doc_id", "text")
+    index.add(docs, "doc_id", "text")
+    return index.search(table(spark, sf_dir, "benchmark"), "item_id", "text", 10).withColumn("score", F.round("score", 6))
+
+
+@P.add(f"WITH {BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM bm WHERE rank <= 10")
+def stored_keyword_topk(spark, sf_dir):
+    from ..functions import text as T
+
+    return _stored_search(spark, sf_dir, T.index_terms, keyword_index.one_form_groups)
+
+
+#: Word groups with some prefixes and stop words of the given languages.
+PREFIXES, STOP = ("re", "th", "de", "an", "ver", "ción"), ("the", "of", "and", "les")
+FORMS = f"""list_filter(list_distinct([w, {', '.join(f"CASE WHEN starts_with(w, '{p}') AND length(w) - {len(p)} >= 3 THEN substr(w, {len(p) + 1}) END" for p in PREFIXES)}]), lambda x: x IS NOT NULL AND x NOT IN {STOP})"""
+WORDS = rf"""list_filter(regexp_extract_all(lower(translate(text, '"''׳״‘’“”', '')), '\d+(?:[.,]\d+)*|\p{{L}}+'), lambda w: w NOT IN {STOP})"""
+
+
+@P.add(
+    rf"""WITH dw AS (SELECT doc_id AS id, unnest({WORDS}) AS w FROM documents), dt AS (SELECT id, unnest(CASE WHEN regexp_matches(w, '^\d') THEN [w] ELSE {FORMS} END) AS term FROM dw),
+    l AS (SELECT id, count(*) AS length FROM dt GROUP BY id), s AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM dt) / (SELECT count(*) FROM documents) AS average),
+    qw AS (SELECT DISTINCT item_id AS query_id, w FROM (SELECT item_id, unnest({WORDS}) AS w FROM benchmark)), qt AS (SELECT query_id, w, unnest(CASE WHEN regexp_matches(w, '^\d') THEN [w] ELSE {FORMS} END) AS term FROM qw),
+    tf AS (SELECT term, id, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM qt) GROUP BY term, id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    wt AS (SELECT tf.term, tf.id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average)) AS v FROM tf JOIN df ON tf.term = df.term JOIN l ON l.id = tf.id, s),
+    g AS (SELECT query_id, qt.w, id, max(v) AS v FROM wt JOIN qt ON wt.term = qt.term GROUP BY query_id, qt.w, id), sc AS (SELECT query_id, id, sum(v) AS score FROM g GROUP BY query_id, id)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc) WHERE rank <= 10"""
+)
+def bm25_groups(spark, sf_dir):
+    options = {"prefixes": PREFIXES, "stop": STOP}
+    return _stored_search(spark, sf_dir, lambda t: keyword_index.index_terms(t, **options), lambda t: keyword_index.query_groups(t, **options))
+
+
 @P.add(f"WITH t AS (SELECT doc_id AS id, unnest({TERMS}) AS term FROM documents) SELECT term, count(DISTINCT id) AS df, count(*) AS occurrences FROM t GROUP BY term")
 def posting_statistics(spark, sf_dir):
     from ..functions import text as T

@@ -57,7 +57,7 @@ def test_amendment_rows(spark):
 @pytest.mark.parametrize(
     "column, want",
     [
-        (lambda: legal.join_spaced_numbers(F.lit("see 116 b 12 and 3 and 4")), "see 116b12 and 3 and 4"),
+        (lambda: legal.join_spaced_numbers(F.lit("בסעיף 116 יז 12(ג) ובסעיף 116 יז 10; 3 of 10, 15 ב 12, 62 עד 64")), "בסעיף 116יז12(ג) ובסעיף 116יז10; 3 of 10, 15 ב 12, 62 עד 64"),
         (lambda: legal.unwrap_math(F.lit("of $54 %$ or $x+1$")), "of 54% or $x+1$"),
         (lambda: legal.normalise_citation(F.lit("ע״א  12–3")), 'ע"א 12-3'),
         (lambda: legal.clean_url(F.lit("https://h.il\\a//b.PDF"), ["h.il"]), "https://h.il/a/b.PDF"),
