@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import law_pages
+from ..operators import law_pages, tree_chunks
 from ..sources import wikitext
 from ._base import Plans, table
 
@@ -64,3 +64,19 @@ def law_page_records(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     odd = F.element_at("unknown", 1)["n"]
     return law_pages.law_records(pages, wikitext.law_lines(pages)).select("page", "title", F.when(c("unknown").isNotNull(), odd).alias("odd"), "parsed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@P.add()
+def law_chunks(spark, sf_dir):
+    """Chunks of the law pages; tests/test_tree_chunks.py holds them against the sections they come from."""
+    pages = _pages(spark, sf_dir)
+    blocks = law_pages.sections(law_pages.placed_lines(wikitext.law_lines(pages)))
+    return tree_chunks.law_chunks(pages.select(c("page_id").alias("page"), "title"), blocks, 120, 20)
+
+
+@P.add()
+def case_chunks(spark, sf_dir):
+    """Documents as case files of several pages; the same test compares them with a plain version."""
+    d = table(spark, sf_dir, "documents")
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 20 == 19, F.concat(x, F.lit("\f"))).otherwise(x)), "\n")
+    return tree_chunks.case_chunks(d.select(c("doc_id").cast("string").alias("path"), c("source").alias("matter"), F.when(c("doc_id") % 4 == 0, "email").otherwise("document").alias("kind"), F.lit(None).cast("date").alias("date"), c("lang").alias("title"), text.alias("text")), 200, 30)
