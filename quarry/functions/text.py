@@ -216,26 +216,40 @@ def numbered_items(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?:^|\s)\d{1,3}[.)]\s+"), lambda x: F.regexp_replace(x, r"^[\s,;.:]+|[\s,;.:]+$", "")), lambda x: x != "")
 
 
+def _read_number(run: Column) -> Column:
+    """The number that a run of digits, commas and points begins with: groups of three after commas as long as they go on, else digits and a fraction."""
+    parts = F.split(run, ",")
+    first = F.get(parts, 0)
+    start = F.struct(first.alias("digits"), first.rlike(r"^\d{1,3}$").alias("open"), F.lit(False).alias("grouped"))
+
+    def take(state: Column, part: Column) -> Column:
+        fits = state["open"] & part.rlike(r"^\d{3}(?:\.|$)")
+        more = F.concat(state["digits"], F.left(part, F.lit(3)))
+        return F.struct(F.when(fits, more).otherwise(state["digits"]).alias("digits"), (fits & (F.length(part) == 3)).alias("open"), (state["grouped"] | fits).alias("grouped"))
+
+    grouped = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, take)
+    return F.when(grouped["grouped"], grouped["digits"]).otherwise(F.regexp_extract(first, r"^\d+(?:\.\d+)?", 0))
+
+
 def numbers(c: Column) -> Column:
     """Distinct numbers as written, without the commas of thousands."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<![\d.,])(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?)(?!\d)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit(""))))
+    runs = F.regexp_extract_all(c, F.lit(r"[\d.,]+"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(runs, _read_number), lambda n: n != ""))
 
 
 SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "אלף": 1e3, "אלפים": 1e3, "מיליון": 1e6, "מיליארד": 1e9}  # fixed values
 
 
 def number_values(c: Column) -> Column:
-    """Values of the numbers, and of numbers with a scale word the scaled value too."""
-    plain = F.transform(numbers(c), lambda n: n.cast("double"))
-    out = plain
+    """Values of the numbers, and the scaled values of numbers that a scale word follows."""
+    out = F.transform(numbers(c), lambda n: n.cast("double"))
 
     def scaled_by(factor: float):
-        return lambda n: F.replace(n, F.lit(","), F.lit("")).cast("double") * factor
+        return lambda run: F.when(_read_number(run) == F.replace(run, F.lit(","), F.lit("")), _read_number(run).cast("double") * factor)
 
     for word, factor in SCALES.items():
-        scaled = F.regexp_extract_all(c, F.lit(rf"(?<![\d.,])(\d{{1,3}}(?:,\d{{3}})+|\d+(?:\.\d+)?)\s*{word}"), F.lit(1))
-        out = F.concat(out, F.transform(scaled, scaled_by(factor)))
+        before = F.regexp_extract_all(c, F.lit(rf"([\d.,]*\d)\s*{word}"), F.lit(1))
+        out = F.concat(out, F.array_compact(F.transform(before, scaled_by(factor))))
     return F.array_distinct(out)
 
 
