@@ -115,17 +115,29 @@ def _bare(line: str) -> str:
 def operative_start(text: str, start: int, headings: frozenset[str]) -> int:
     """Where the operative part begins: the last line that is one of ``headings``, else the last that opens with one; else the end."""
     whole = opening = len(text) + 1
-    for m in re.compile(r"^.*\S.*$", re.M).finditer(text, start):
+    begins = tuple(headings)
+    for m in re.compile(r"^.*\S.*$", re.M).finditer(text, start) if begins else ():
         bare = _bare(m[0])
         if bare in headings:
             whole = m.start()
-        elif any(bare.startswith(h) for h in headings):
+        elif bare.startswith(begins):
             opening = m.start()
     return whole if whole <= len(text) else opening
 
 
-def body_units(text: str, start: int, most: int, headings: frozenset[str], holding: frozenset[str]) -> list[Unit]:
+class Counted:
+    """A text whose tokens are found once; spans that cut no token are counted by a search in their starts."""
+
+    def __init__(self, text: str, start: int = 0):
+        self.starts = [m.start() for m in TOKEN.finditer(text, start)]
+
+    def __call__(self, a: int, b: int) -> int:
+        return bisect_left(self.starts, b) - bisect_left(self.starts, a)
+
+
+def body_units(text: str, start: int, most: int, headings: frozenset[str], holding: frozenset[str], count: Counted | None = None) -> list[Unit]:
     """Sentences of the paragraphs, numbered items and headings from ``start`` on, with their places; long ones cut at words."""
+    count = count or Counted(text, start)
     operative = operative_start(text, start, holding)
     lines = [(m.start(), m.end()) for m in re.compile(r"^.*\S.*$", re.M).finditer(text, start)]
     titled = [b - a <= 60 and len(bare := _bare(text[a:b])) <= 40 and bare in headings | holding for a, b in lines]
@@ -138,16 +150,18 @@ def body_units(text: str, start: int, most: int, headings: frozenset[str], holdi
     out = []
     for i, after in zip(firsts, [*firsts[1:], len(lines)]):
         a, b = lines[i][0], lines[after - 1][1]
-        spans = [s for m in JUDGMENT_SENTENCE.finditer(text, a, b) for s in _word_groups(text, *m.span(), most)]
+        spans = [s for m in JUDGMENT_SENTENCE.finditer(text, a, b) for s in _word_groups(text, m.start(), m.start() + len(m[0].rstrip()), most, count)]
         for n, (c, d) in enumerate(spans):
-            out.append(Unit(c, d, tokens(text[c:d]), n == 0, titled[i] or a == operative and n == 0, a >= operative))
+            out.append(Unit(c, d, count(c, d), n == 0, titled[i] or a == operative and n == 0, a >= operative))
     return out
 
 
-def _word_groups(text: str, a: int, b: int, most: int) -> list[tuple[int, int]]:
+def _word_groups(text: str, a: int, b: int, most: int, count: Counted) -> list[tuple[int, int]]:
     """Spans of equal numbers of words that all fit, a word being the least; group sizes come from sums of the words' tokens."""
+    if count(a, b) <= most:
+        return [(a, b)]
     words = [m.span() for m in re.compile(r"\S+").finditer(text, a, b)]
-    sums = _sums([tokens(text[c:d]) for c, d in words])
+    sums = _sums([count(c, d) for c, d in words])
 
     def parts(lo: int, hi: int) -> Iterator[tuple[int, int]]:
         size = sums[hi] - sums[lo]
@@ -188,10 +202,10 @@ def pack_units(units: list[Unit], least: int, most: int, overlap: int, heading_l
 
 def chunk_judgment(text: str, least: int = 400, most: int = 600, overlap: int = 80, headings: frozenset[str] = frozenset(), holding: frozenset[str] = frozenset(), start: int = 0) -> list[tuple[int, int, int, bool, str]]:
     """(char_start, char_end, tokens, is_holding, text) of each chunk of a document's body."""
-    out = []
-    for chunk in pack_units(body_units(text, start, most, headings, holding), least, most, overlap):
+    out, count = [], Counted(text, start)
+    for chunk in pack_units(body_units(text, start, most, headings, holding, count), least, most, overlap):
         a, b = chunk[0].start, chunk[-1].end
-        out.append((a, b, tokens(text[a:b]), chunk[-1].holding, text[a:b]))
+        out.append((a, b, count(a, b), chunk[-1].holding, text[a:b]))
     return out
 
 
