@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import evaluation, joins, keyword_index, ranking
+from ..operators import evaluation, graph_index, joins, keyword_index, ranking
 from ._base import Plans, table
 
 P = Plans()
@@ -91,6 +91,18 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+@P.add()
+def graph_topk(spark, sf_dir):
+    """The graph index over all embeddings; tests/test_graph_index.py measures its recall against the exact search."""
+    from ..streaming.incremental import work_dir
+
+    e = table(spark, sf_dir, "embeddings")
+    index = graph_index.GraphIndex(spark, work_dir(spark, "graph"), 64)
+    index.add(e)
+    asked = e.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), "embedding")
+    return index.search(asked, 10, beam=300).select("query_id", "rank", "id", "score")
+
+
 @P.add(
     f"""WITH {BM25}, kw AS (SELECT query_id, id, rank FROM bm), sh AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM bm),
     f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM sh) GROUP BY query_id, id)
