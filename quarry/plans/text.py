@@ -88,7 +88,10 @@ def split_counts(spark, sf_dir):
     return d.select("doc_id", F.size(T.paragraphs(c("text"))).cast("long").alias("paragraphs"), F.size(T.lines(c("text"))).cast("long").alias("lines"))
 
 
-@P.add()  # what may stand before and after a number is beyond DuckDB's patterns; the tests read all texts by a plain scan
+@P.add(
+    r"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[\d.,]+'), lambda r: CASE WHEN regexp_matches(r, '^\d{1,3}(?:,\d{3})+(?:[^\d]|$)')
+      THEN replace(regexp_extract(r, '^(\d{1,3}(?:,\d{3})+)(?:[^\d]|$)', 1), ',', '') ELSE regexp_extract(r, '^\d+(?:\.\d+)?') END), lambda x: x <> ''))), ' '), '') AS numbers FROM documents WHERE regexp_matches(text, '\d')"""
+)
 def numbers_in_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(c("text").rlike(r"\d"))
     return d.select("doc_id", F.array_join(F.array_sort(T.numbers(c("text"))), " ").alias("numbers"))
