@@ -8,7 +8,7 @@ Long texts are cut at word boundaries into chunks of some ``chunk_chars`` charac
 follow it, and owns the features that start in it, so each feature of the text counts once.  Chunks of texts that have
 several are dealt over all partitions, and counts and gains of chunks are summed by document.
 
-What is broadcast: one gain for each bucket, and the number of documents by score.  Scores are whole thousandths of a
+What goes to all tasks: one gain for each bucket, and the number of documents by score.  Scores are whole thousandths of a
 logarithm; with counts below 10^15 and noise between -3,100 and 23,000 fewer than 100,000 values can occur, whatever the table holds.
 Ranks come from the counts by score (in two steps, so no task sees all of them) and the order within one score.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,37 +62,29 @@ def chunks(docs: DataFrame, n: int, chunk_chars: int = 65_536, id_col: str = "do
     return short.unionByName(cut.repartition("id", "key", "chunk"))
 
 
-def features(rows: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Rows (id, key, size, first, words, bucket) for each feature of each chunk; one with a null bucket where a chunk has none.
-
-    ``first`` marks one row of each document, ``words`` (0 or 1) the features that are single words."""
+def with_grams(rows: DataFrame, n: int) -> DataFrame:
+    """Chunks with the words they own and, as ``grams``, the features that start in them."""
     rows = rows.withColumn("words", words_of(F.col("owned")))
     if n == 1:
-        rows = rows.select("id", "key", "size", "chunk", F.posexplode_outer("words").alias("at", "gram")).withColumn("long", F.lit(1))
-    else:
-        rows = rows.withColumn("all", F.concat("words", F.slice(words_of(F.col("carried")), F.lit(1), F.lit(n - 1))))
-        rows = rows.withColumn("starts", F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"))).otherwise(F.array().cast("array<int>")))
-
-        def grams(size: int) -> Column:
-            fit = F.filter("starts", lambda i: i + size - 1 <= F.size("all"))
-            return F.transform(fit, lambda i: F.struct(F.array_join(F.slice("all", i, size), " ").alias("gram"), F.lit(size).alias("long")))
-
-        rows = rows.select("id", "key", "size", "chunk", F.posexplode_outer(F.concat(*[grams(s) for s in range(1, n + 1)])).alias("at", "f"))
-        rows = rows.select("id", "key", "size", "chunk", "at", "f.gram", "f.long")
-    return rows.select(
-        "id",
-        "key",
-        "size",
-        ((F.col("chunk") == 0) & (F.coalesce("at", F.lit(0)) == 0)).cast("int").alias("first"),
-        (F.col("gram").isNotNull() & (F.col("long") == 1)).cast("int").alias("words"),
-        (F.crc32(F.col("gram").cast("binary")) % buckets).cast("int").alias("bucket"),
-    )
+        return rows.withColumn("grams", F.col("words"))
+    rows = rows.withColumn("all", F.concat("words", F.slice(words_of(F.col("carried")), F.lit(1), F.lit(n - 1))))
+    rows = rows.withColumn("starts", F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"))).otherwise(F.array().cast("array<int>")))
+
+    def of_size(size: int) -> Column:
+        fit = F.filter("starts", lambda i: i + size - 1 <= F.size("all"))
+        return F.transform(fit, lambda i: F.array_join(F.slice("all", i, size), " "))
+
+    return rows.withColumn("grams", F.concat(*[of_size(s) for s in range(1, n + 1)]))
+
+
+def bucket_of(gram: Column, buckets: int) -> Column:
+    return (F.crc32(gram.cast("binary")) % buckets).cast("int")
 
 
 def bucket_counts(docs: DataFrame, n: int, buckets: int, chunk_chars: int, id_col: str, text_col: str) -> dict[int, int]:
     """Features by bucket: at most ``buckets`` rows, whatever the table holds."""
-    rows = features(chunks(docs, n, chunk_chars, id_col, text_col), n, buckets)
-    return {r.bucket: r.n for r in rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    rows = with_grams(chunks(docs, n, chunk_chars, id_col, text_col), n).select(F.explode("grams").alias("gram"))
+    return {r.bucket: r.n for r in rows.groupBy(bucket_of(F.col("gram"), buckets).alias("bucket")).agg(F.count("*").alias("n")).collect()}
 
 
 def gains(source: dict[int, int], target: dict[int, int], buckets: int) -> list[int]:
@@ -113,14 +106,12 @@ def noise(id_: Column, seed: int) -> Column:
 
 def weighed(docs: DataFrame, of_bucket: list[int], n: int, seed: int, chunk_chars: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, key, size, copies, n_features, n_words, weight, score): one for each id and text, with its number of rows."""
-    spark = docs.sparkSession
-    rows = features(chunks(docs, n, chunk_chars, id_col, text_col), n, len(of_bucket))
-    known = spark.createDataFrame(list(enumerate(of_bucket)), "bucket int, gain long")
-    known = F.broadcast(known) if len(of_bucket) <= 1 << 20 else known
-    summed = (
-        rows.join(known, "bucket", "left")
-        .groupBy("id", "key", "size")
-        .agg(F.sum("first").alias("copies"), F.count("bucket").alias("features"), F.sum("words").alias("words"), F.coalesce(F.sum("gain"), F.lit(0)).alias("gain"))
+    known = F.lit(np.array(of_bucket, np.int64))  # one number a bucket, in the plan itself
+    rows = with_grams(chunks(docs, n, chunk_chars, id_col, text_col), n)
+    gain = F.aggregate("grams", F.lit(0).cast("long"), lambda s, g: s + F.get(known, bucket_of(g, len(of_bucket))))
+    rows = rows.select("id", "key", "size", (F.col("chunk") == 0).cast("int").alias("first"), F.size("grams").alias("features"), F.size("words").alias("words"), gain.alias("gain"))
+    summed = rows.groupBy("id", "key", "size").agg(
+        F.sum("first").alias("copies"), F.sum("features").alias("features"), F.sum("words").alias("words"), F.sum("gain").alias("gain")
     )
     one = lambda c: F.expr(f"{c} div copies")
     summed = summed.select("id", "key", "size", "copies", one("features").alias("n_features"), one("words").alias("n_words"), one("gain").alias("gain"))
