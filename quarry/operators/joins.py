@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .matching import phrase_matches
+
 
 def unique_lookup(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """(key, id) for keys that name exactly one id."""
@@ -29,18 +31,21 @@ def two_step_join(df: DataFrame, registry: DataFrame, id_col: str, reg_id: str,
 
 
 def contains_join(named: DataFrame, titles: DataFrame, named_key: str, title_key: str) -> DataFrame:
-    """Pairs of which one key holds the other (or equals it); ``exact`` marks equal keys.
+    """Pairs of which one key holds the other (or equals it), by whole words; ``exact`` marks equal keys.
 
-    A key within another shares its first word with it.  Titles are therefore indexed by each of their words and
-    named keys by their first, and the other way round, so pairs meet by an equality.
+    Different keys are looked for in one another as phrases: all of one side at once in each of the other, so that a word which
+    begins many keys brings no pairs together.
     """
-    a = named.where(F.col(named_key) != "").withColumn("__aw", F.split(named_key, " "))
-    b = titles.where(F.col(title_key) != "").withColumn("__bw", F.split(title_key, " "))
-    first = a.withColumn("__w", F.get("__aw", 0)).join(b.withColumn("__w", F.explode(F.array_distinct("__bw"))), "__w")
-    second = a.withColumn("__w", F.explode(F.array_distinct("__aw"))).join(b.withColumn("__w", F.get("__bw", 0)), "__w")
+    n = named.where(F.col(named_key) != "").withColumn("__n", F.xxhash64(named_key))
+    t = titles.where(F.col(title_key) != "").withColumn("__t", F.xxhash64(title_key))
+    of_n, of_t = n.select("__n", F.col(named_key).alias("__k")).distinct(), t.select("__t", F.col(title_key).alias("__k")).distinct()
+    words = F.split("__k", " ")
+    held = phrase_matches(of_t, of_n, "__t", words, "__n", words).select(F.col("phrase").alias("__n"), F.col("id").alias("__t"))
+    holds = phrase_matches(of_n, of_t, "__n", words, "__t", words).select(F.col("id").alias("__n"), F.col("phrase").alias("__t"))
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    both = first.where(F.contains(padded(title_key), padded(named_key))).unionByName(second.where(F.contains(padded(named_key), padded(title_key))))
-    return both.drop("__w", "__aw", "__bw").distinct().withColumn("exact", F.col(named_key) == F.col(title_key))
+    both = n.join(held.union(holds).distinct(), "__n").join(t, "__t")
+    sure = F.contains(padded(title_key), padded(named_key)) | F.contains(padded(named_key), padded(title_key))
+    return both.where(sure).drop("__n", "__t").distinct().withColumn("exact", F.col(named_key) == F.col(title_key))
 
 
 def exact_else_contains(pairs: DataFrame, by: str) -> DataFrame:
