@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarry.plans import checks, folders, gazette, laws, matching, more, review, search, stream, tables, text
+from quarry.plans import checks, folders, gazette, laws, matching, more, review, search, stream, tables, text, texts
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODULES = (text, tables, search, stream, checks, more, laws, folders, matching, gazette, review)
+MODULES = (text, tables, search, stream, checks, more, laws, folders, matching, gazette, review, texts)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 
