@@ -111,3 +111,17 @@ def row_counts(spark, paths: dict[str, str]) -> DataFrame:
         one = spark.read.parquet(path).select().agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def case_search(rankings: list[DataFrame], chunks: DataFrame, k: int, budget: int) -> DataFrame:
+    """(query_id, place, id, file, index, hit): excerpts of case files for several rankings of (query_id, rank, id).
+
+    The rankings are fused, the best ``k`` that fit the budget are hits, each with the chunks before and after it in its file, and all
+    stand in the order of the files.  ``chunks``: id, file, index, size.
+    """
+    fused = ranking.fuse(rankings, k).join(chunks, "id")
+    hits = ranking.greedy_budget(fused, "query_id", "rank", "size", budget).select("query_id", "id", "file", "index")
+    beside = hits.select("query_id", "file", F.explode(F.array(F.col("index") - 1, F.col("index") + 1)).alias("index")).distinct()
+    near = beside.join(chunks.select("id", "file", "index"), ["file", "index"]).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    both = hits.withColumn("hit", F.lit(True)).unionByName(near.withColumn("hit", F.lit(False)))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("file", "index", "id")))

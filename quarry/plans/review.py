@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import review
+from ..operators import retrieval, review
 from ._base import Plans, table
+from .search import BM25, _bm25
 
 P = Plans()
 QUERIES, ORACLE = P.queries, P.oracle
@@ -79,3 +81,23 @@ def expanded_citations(spark, sf_dir):
     evidence = d.select(known.alias("source"), c("lang").alias("law"), (c("n_chars") % 50).cast("string").alias("section"), F.when(c("n_chars") % 3 == 0, "b").alias("subsection"), F.lit("1990-01-01").cast("date").alias("start"), F.when(c("doc_id") % 4 == 0, F.lit("1999-12-31").cast("date")).alias("end"), F.lit("statute").alias("kind"))
     out = review.expanded_citations(d.select("doc_id", text.alias("text")), evidence, "doc_id", "text")
     return out.select("id", F.regexp_replace("text", r'(source="src\d+)/\d+"', '$1"').alias("text"))
+
+
+@P.add(
+    f"""WITH RECURSIVE {BM25}, sh AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM bm),
+    f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM bm UNION ALL SELECT * FROM sh) GROUP BY query_id, id),
+    c AS (SELECT doc_id AS id, source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, n_chars AS size FROM documents),
+    h AS (SELECT query_id, f.id, file, i, size, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, f.id) AS rank FROM f JOIN c ON c.id = f.id), k AS (SELECT * FROM h WHERE rank <= 12),
+    g AS (SELECT query_id, 1 AS rank, size AS spent, true AS kept FROM k WHERE rank = 1
+      UNION ALL SELECT k.query_id, k.rank, CASE WHEN g.spent + k.size <= 15000 THEN g.spent + k.size ELSE g.spent END, g.spent + k.size <= 15000 FROM g JOIN k ON k.query_id = g.query_id AND k.rank = g.rank + 1),
+    hit AS (SELECT k.query_id, k.id, file, i FROM k JOIN g ON g.query_id = k.query_id AND g.rank = k.rank WHERE kept),
+    near AS (SELECT DISTINCT hit.query_id, c.id, c.file, c.i FROM hit JOIN c ON c.file = hit.file AND c.i IN (hit.i - 1, hit.i + 1) WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.query_id = hit.query_id AND o.id = c.id)),
+    b AS (SELECT *, true AS hit FROM hit UNION ALL SELECT *, false FROM near)
+    SELECT query_id, id, file, CAST(i AS INTEGER) AS index, hit, CAST(row_number() OVER (PARTITION BY query_id ORDER BY file, i, id) AS INTEGER) AS place FROM b"""
+)
+def case_search(spark, sf_dir):
+    bm = _bm25(spark, sf_dir)
+    by_id = bm.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
+    index = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    chunks = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), c("source").alias("file"), index.alias("index"), c("n_chars").alias("size"))
+    return retrieval.case_search([bm, by_id], chunks, 12, 15_000)
