@@ -134,3 +134,41 @@ def trace_report(log: DataFrame) -> DataFrame:
 def append_log(df: DataFrame, path: str, ts: str) -> None:
     """One JSON line an entry, a folder a day."""
     df.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").json(path)
+
+
+def text_quality(pages: DataFrame, id_col: str, text_col: str, failed: Column | None = None, least: int = 200) -> DataFrame:
+    """(id, pages, characters, quality, notes) of documents by their pages: low for pages without text, few characters a page or a failure."""
+    text = T.strip(F.coalesce(F.col(text_col), F.lit("")))
+    rows = pages.select(F.col(id_col).alias("id"), text.alias("text"), (failed if failed is not None else F.lit(None).cast("string")).alias("failed"))
+    letters = lambda p: F.sum(T.count_of(F.col("text"), p))
+    sums = rows.groupBy("id").agg(
+        F.count("*").alias("pages"), F.count_if(F.col("text") == "").alias("scanned"), F.sum(F.length("text")).alias("characters"),
+        letters(T.HEBREW).alias("hebrew"), letters(r"\p{L}").alias("letters"), F.max("failed").alias("failed"),
+    )
+    few = F.col("characters") / F.col("pages") < least
+    notes = F.array_compact(
+        F.array(
+            F.when(F.col("failed").isNotNull(), F.concat(F.lit("reading failed: "), F.col("failed"))),
+            F.when(F.col("scanned") > 0, F.format_string("%d pages without text", F.col("scanned"))),
+            F.when(few, F.format_string("only %d characters a page", F.floor(F.col("characters") / F.col("pages")))),
+            F.when((F.col("characters") > least) & (F.col("hebrew") < 0.3 * F.col("letters")), F.lit("little Hebrew")),
+        )
+    )
+    low = F.col("failed").isNotNull() | (F.col("scanned") > 0) | few
+    return sums.select("id", "pages", "characters", F.when(low, "low").otherwise("ok").alias("quality"), notes.alias("notes"))
+
+
+def case_records(rows: DataFrame, prefix: str = "supreme_court") -> DataFrame:
+    """Records of raw case rows with (text, case_number, alternative_number, case_name, document_hash, dates): an id by the given hash or the text's, a title of
+    number and name, the first of the dates that is one; what is blank is null."""
+    some = lambda *cols: F.coalesce(*[F.nullif(F.trim(F.col(x)), F.lit("")) for x in cols])
+    digest = F.coalesce(some("document_hash"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    day = F.get(F.filter(F.transform("dates", lambda d: F.try_to_date(F.substring(d, 1, 10), "yyyy-MM-dd")), lambda d: d.isNotNull()), 0)
+    number, name = some("case_number", "alternative_number"), some("case_name")
+    title = F.coalesce(F.nullif(F.concat_ws(" ", number, name), F.lit("")), F.substring(digest, 1, 16))
+    return rows.select(F.concat(F.lit(f"{prefix}:"), digest).alias("id"), title.alias("title"), number.alias("case_number"), name.alias("case_name"), day.alias("decision_date"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def lexical_export(chunks: DataFrame, path: str, by: str = "category") -> None:
+    """Chunk id, record id and lexical text as JSON lines, a folder for each category."""
+    chunks.select(by, "chunk_id", "record_id", "lexical_text").write.mode("overwrite").partitionBy(by).json(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import retrieval, review
+from ..operators import records, retrieval, review
 from ._base import Plans, table
 from .search import BM25, _bm25
 
@@ -101,3 +101,30 @@ def case_search(spark, sf_dir):
     index = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     chunks = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), c("source").alias("file"), index.alias("index"), c("n_chars").alias("size"))
     return retrieval.case_search([bm, by_id], chunks, 12, 15_000)
+
+
+@P.add(
+    r"""WITH p AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '[^\P{Z}\n]|[\x00-\x09\x0B-\x1F\x7F-\x9F]', ' ', 'g'), chr(10))), chr(10) || ' ') AS page FROM documents),
+    s AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (page = '') AS scanned, sum(length(page))::BIGINT AS characters FROM p GROUP BY doc_id)
+    SELECT doc_id AS id, pages, characters, CASE WHEN scanned > 0 OR characters / pages < 200 THEN 'low' ELSE 'ok' END AS quality,
+      array_to_string(list_filter([CASE WHEN scanned > 0 THEN scanned || ' pages without text' END, CASE WHEN characters / pages < 200 THEN 'only ' || (characters // pages) || ' characters a page' END, CASE WHEN characters > 200 THEN 'little Hebrew' END], lambda x: x IS NOT NULL), '; ') AS notes FROM s"""
+)
+def page_text_quality(spark, sf_dir):
+    """Lines as pages, all white space in them as spaces."""
+    plain = F.regexp_replace("text", r"[\p{Z}&&[^\n]]|[\x00-\x09\x0B-\x1F\x7F-\x9F]", " ")
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(plain, "\n")).alias("page"))
+    return records.text_quality(pages, "doc_id", "page").withColumn("notes", F.array_join("notes", "; "))
+
+
+@P.add(
+    """SELECT 'supreme_court:' || CASE WHEN doc_id % 3 = 0 THEN 'h' || doc_id ELSE sha256(text) END AS id, CASE WHEN doc_id % 5 = 0 THEN source WHEN doc_id % 5 = 1 THEN 'n' || doc_id ELSE 'n' || doc_id || ' ' || source END AS title,
+    CASE WHEN doc_id % 5 > 0 THEN 'n' || doc_id END AS case_number, CASE WHEN doc_id % 5 <> 1 THEN source END AS case_name, CASE WHEN doc_id % 4 = 0 THEN '2001-02-03' WHEN doc_id % 4 = 1 THEN '1999-12-31' END AS decision_date, sha256(text) AS text_sha256 FROM documents"""
+)
+def case_records(spark, sf_dir):
+    n, k = c("doc_id").cast("string"), c("doc_id") % 5
+    rows = table(spark, sf_dir, "documents").select(
+        "text", F.when(k > 1, F.concat(F.lit(" n"), n)).otherwise(" ").alias("case_number"), F.when(k == 1, F.concat(F.lit("n"), n)).alias("alternative_number"), F.when(k != 1, F.concat("source", F.lit(" "))).alias("case_name"),
+        F.when(c("doc_id") % 3 == 0, F.concat(F.lit("h"), n)).otherwise("").alias("document_hash"),
+        F.when(c("doc_id") % 4 == 0, F.array(F.lit("2001-02-03T10:00:00"), F.lit("1990-01-01"))).when(c("doc_id") % 4 == 1, F.array(F.lit("soon"), F.lit("1999-12-31"))).otherwise(F.array(F.lit(""), F.lit(None).cast("string"))).alias("dates"),
+    )
+    return records.case_records(rows).withColumn("decision_date", c("decision_date").cast("string")).drop("text")

@@ -41,3 +41,15 @@ def test_failures_splits_overrides_and_first_rows(spark):
     rows = spark.createDataFrame([(1, True, ["x"], ["h"]), (2, True, ["x"], []), (3, False, ["x"], ["h"])], "id int, ok boolean, judges array<string>, header array<string>")
     assert [r.judges for r in R.header_overrides(rows, F.col("ok"), {"judges": "header"}).orderBy("id").collect()] == [["h"], ["x"], ["x"]]
     assert [r.id for r in R.first_kept(gold, ["id"], 2).collect()] == [1, 2]
+
+
+def test_text_quality_and_lexical_export(spark, tmp_path):
+    from quarry.operators import records
+
+    pages = spark.createDataFrame([(1, "א" * 300, None), (1, "", None), (2, "x" * 250, None), (3, "", "broken"), (4, "א" * 250, None)], "d int, t string, f string")
+    got = {r.id: (r.quality, r.notes) for r in records.text_quality(pages, "d", "t", F.col("f")).collect()}
+    assert got[1] == ("low", ["1 pages without text", "only 150 characters a page"]) and got[2] == ("ok", ["little Hebrew"]) and got[4] == ("ok", [])
+    assert got[3][0] == "low" and got[3][1][0] == "reading failed: broken"
+    chunks = spark.createDataFrame([("laws", "c1", "r1", "t"), ("court", "c2", "r2", "u")], "category string, chunk_id string, record_id string, lexical_text string")
+    records.lexical_export(chunks, str(tmp_path / "x"))
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "x")).select("category", "chunk_id", "lexical_text").collect()) == [("court", "c2", "u"), ("laws", "c1", "t")]
