@@ -6,7 +6,8 @@ depends on the id alone and taking the largest sums draws documents without repl
 
 Long texts are cut at word boundaries into chunks of some ``chunk_chars`` characters.  A chunk carries the n - 1 words that
 follow it, and owns the features that start in it, so each feature of the text counts once.  Chunks of texts that have
-several are dealt over all partitions, and counts and gains of chunks are summed by document.
+several are dealt over all partitions, and counts and gains of chunks are summed by document.  Chunks are cut in DataFrame
+operations; their words are counted in Arrow batches, on the bytes of the text.
 
 What goes to all tasks: one gain for each bucket, and the number of documents by score.  Scores are whole thousandths of a
 logarithm; with counts below 10^15 and noise between -3,100 and 23,000 fewer than 100,000 values can occur, whatever the table holds.
@@ -21,8 +22,12 @@ empty result; texts of any length count whole; other columns are not looked at.
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,13 +37,12 @@ from ._common import id_and_text, materialise, table
 #: Characters (ASCII) between words; all other characters are of words.
 BETWEEN = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same for the bytes of a text in lower case.
+WORD = re.compile(rb"[0-9a-z\x80-\xFF]+")
+TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 TARGET_SEED = 2024
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^{BETWEEN}]+"), F.lit(0))
-
-
 def pieces_of(text: Column, chunk_chars: int) -> Column:
     """The text from word to word in pieces of at least ``chunk_chars`` characters, each to the end of its last word."""
     return F.regexp_extract_all(text, F.lit(f"(?s)[^{BETWEEN}].{{0,{chunk_chars - 1}}}[^{BETWEEN}]*+"), F.lit(0))
@@ -47,9 +51,9 @@ def pieces_of(text: Column, chunk_chars: int) -> Column:
 def chunks(docs: DataFrame, n: int, chunk_chars: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, key, size, chunk, owned, carried): the words that a chunk owns and up to n - 1 that follow them."""
     rows = id_and_text(docs, id_col, text_col)
-    rows = rows.select("id", F.xxhash64("text").alias("key"), F.length("text").alias("size"), F.translate("text", UPPER, LOWER).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("key"), F.length("text").alias("size"), "text")
     short = rows.where(F.col("size") <= chunk_chars).select("id", "key", "size", F.lit(0).alias("chunk"), F.col("text").alias("owned"), F.lit("").alias("carried"))
-    cut = rows.where(F.col("size") > chunk_chars).withColumn("pieces", pieces_of(F.col("text"), chunk_chars))
+    cut = rows.where(F.col("size") > chunk_chars).withColumn("pieces", pieces_of(F.translate("text", UPPER, LOWER), chunk_chars))
     if n > 1:
         # a piece may hold fewer words than are carried, so the starts of the n - 1 next ones are joined
         start = f"^(?:[^{BETWEEN}]++[{BETWEEN}]*+){{1,{n - 1}}}"
@@ -62,29 +66,45 @@ def chunks(docs: DataFrame, n: int, chunk_chars: int = 65_536, id_col: str = "do
     return short.unionByName(cut.repartition("id", "key", "chunk"))
 
 
-def with_grams(rows: DataFrame, n: int) -> DataFrame:
-    """Chunks with the words they own and, as ``grams``, the features that start in them."""
-    rows = rows.withColumn("words", words_of(F.col("owned")))
+def grams_of(owned: bytes, carried: bytes, n: int) -> tuple[int, list[bytes]]:
+    """The number of a chunk's own words, and the features that start at them."""
+    words = WORD.findall(owned.translate(TO_LOWER))
     if n == 1:
-        return rows.withColumn("grams", F.col("words"))
-    rows = rows.withColumn("all", F.concat("words", F.slice(words_of(F.col("carried")), F.lit(1), F.lit(n - 1))))
-    rows = rows.withColumn("starts", F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"))).otherwise(F.array().cast("array<int>")))
+        return len(words), words
+    every = words + WORD.findall(carried.translate(TO_LOWER))[: n - 1]
+    return len(words), [b" ".join(every[i : i + size]) for size in range(1, n + 1) for i in range(min(len(words), len(every) - size + 1))]
+
 
-    def of_size(size: int) -> Column:
-        fit = F.filter("starts", lambda i: i + size - 1 <= F.size("all"))
-        return F.transform(fit, lambda i: F.array_join(F.slice("all", i, size), " "))
+class Buckets(dict):
+    """gram -> bucket, kept while there is room."""
 
-    return rows.withColumn("grams", F.concat(*[of_size(s) for s in range(1, n + 1)]))
+    def __init__(self, buckets: int, most: int = 1_000_000):
+        super().__init__()
+        self.buckets, self.most = buckets, most
 
+    def __missing__(self, gram: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        at = self[gram] = zlib.crc32(gram) % self.buckets
+        return at
 
-def bucket_of(gram: Column, buckets: int) -> Column:
-    return (F.crc32(gram.cast("binary")) % buckets).cast("int")
+    def of(self, grams: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, grams), np.int64, len(grams))
 
 
 def bucket_counts(docs: DataFrame, n: int, buckets: int, chunk_chars: int, id_col: str, text_col: str) -> dict[int, int]:
-    """Features by bucket: at most ``buckets`` rows, whatever the table holds."""
-    rows = with_grams(chunks(docs, n, chunk_chars, id_col, text_col), n).select(F.explode("grams").alias("gram"))
-    return {r.bucket: r.n for r in rows.groupBy(bucket_of(F.col("gram"), buckets).alias("bucket")).agg(F.count("*").alias("n")).collect()}
+    """Features by bucket: counted by partition, then summed, so at most ``buckets`` rows come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = Buckets(buckets), np.zeros(buckets, np.int64)
+        for batch in batches:
+            for owned, carried in zip(batch.column(0), batch.column(1)):
+                total += np.bincount(known.of(grams_of(owned.as_py(), carried.as_py(), n)[1]), minlength=buckets)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], ["bucket", "n"])
+
+    rows = chunks(docs, n, chunk_chars, id_col, text_col).select(F.col("owned").cast("binary").alias("owned"), F.col("carried").cast("binary").alias("carried"))
+    return {r.bucket: r.n for r in rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
 
 
 def gains(source: dict[int, int], target: dict[int, int], buckets: int) -> list[int]:
@@ -106,10 +126,20 @@ def noise(id_: Column, seed: int) -> Column:
 
 def weighed(docs: DataFrame, of_bucket: list[int], n: int, seed: int, chunk_chars: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, key, size, copies, n_features, n_words, weight, score): one for each id and text, with its number of rows."""
-    known = F.lit(np.array(of_bucket, np.int64))  # one number a bucket, in the plan itself
-    rows = with_grams(chunks(docs, n, chunk_chars, id_col, text_col), n)
-    gain = F.aggregate("grams", F.lit(0).cast("long"), lambda s, g: s + F.get(known, bucket_of(g, len(of_bucket))))
-    rows = rows.select("id", "key", "size", (F.col("chunk") == 0).cast("int").alias("first"), F.size("grams").alias("features"), F.size("words").alias("words"), gain.alias("gain"))
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, gain = Buckets(len(of_bucket)), np.array(of_bucket, np.int64)
+        for batch in batches:
+            made = []
+            for owned, carried in zip(batch.column(4), batch.column(5)):
+                words, grams = grams_of(owned.as_py(), carried.as_py(), n)
+                made.append((words, len(grams), int(gain[known.of(grams)].sum())))
+            sums = np.array(made, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array(sums[:, i]) for i in range(3))], ["id", "key", "size", "first", "words", "features", "gain"])
+
+    rows = chunks(docs, n, chunk_chars, id_col, text_col)
+    first = (F.col("chunk") == 0).cast("int").alias("first")
+    rows = rows.select("id", "key", "size", first, F.col("owned").cast("binary").alias("owned"), F.col("carried").cast("binary").alias("carried"))
+    rows = rows.mapInArrow(weigh, "id long, key long, size int, first int, words long, features long, gain long")
     summed = rows.groupBy("id", "key", "size").agg(
         F.sum("first").alias("copies"), F.sum("features").alias("features"), F.sum("words").alias("words"), F.sum("gain").alias("gain")
     )

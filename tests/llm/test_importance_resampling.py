@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from quarry.llm.importance_resampling import BETWEEN, ORACLE, chunks, op12_importance_resampling, resample, with_grams
+from quarry.llm.importance_resampling import BETWEEN, ORACLE, chunks, grams_of, op12_importance_resampling, resample
 
 WORD = re.compile(f"[^{BETWEEN}]+")
 
@@ -63,7 +63,7 @@ def test_chunks_carry_the_words_that_follow(spark):
     got = [(r.owned, r.carried.split()) for r in chunks(docs, 3, 4).orderBy("chunk").collect()]
     assert [WORD.findall(o) for o, _ in got] == [["aa", "bb"], ["cc", "dd"], ["ee", "ff"], ["gg"]]
     assert [c[:2] for _, c in got] == [["cc", "dd"], ["ee", "ff"], ["gg"], []]
-    assert sum(len(r.grams) for r in with_grams(chunks(docs, 3, 4), 3).collect()) == 7 + 6 + 5
+    assert sum(len(grams_of(o.encode(), " ".join(c).encode(), 3)[1]) for o, c in got) == 7 + 6 + 5
 
 
 def test_draws_what_is_like_the_target(spark):
