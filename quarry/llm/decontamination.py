@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialise
+from ._common import free_names, materialise
 
 SHINGLE = 5
 
@@ -152,9 +152,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     The list of those that go is broadcast up to ``broadcast_rows`` of them and joined by a shuffle beyond.
     """
-    found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("__leak"), F.col("hash").alias("__hash")).distinct()
+    leak_id, leak_hash = free_names(docs, "__leak", "__hash")
+    found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias(leak_id), F.col("hash").alias(leak_hash)).distinct()
     gone = materialise(found, "leaks")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__leak")) & (text_hash(text_col) == F.col("__hash"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(leak_id)) & (text_hash(text_col) == F.col(leak_hash))
     return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, same, "left_anti")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_scratch, id_and_text, materialise
+from ._common import drop_scratch, free_names, id_and_text, materialise
 
 #: Shingles whose bits are summed at once; bounds the memory of a very long text.
 CHUNK = 65_536
@@ -251,10 +251,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", br
     The list of those that go is broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond.
     """
     found = materialise(groups(docs, id_col, text_col, **options), "simhash-groups")
-    gone = found.where(~F.col("keep")).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    again = found.where("keep").groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    gone_id, gone_hash = free_names(docs, "__id", "__hash")
+    gone = found.where(~F.col("keep")).select(F.col("id").alias(gone_id), F.col("hash").alias(gone_hash)).distinct()
+    again = found.where("keep").groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(gone_id), F.col("hash").alias(gone_hash))
     own_id, own_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    same = own_id.eqNullSafe(F.col("__id")) & (own_hash == F.col("__hash"))
+    same = own_id.eqNullSafe(F.col(gone_id)) & (own_hash == F.col(gone_hash))
     small = gone.count() <= broadcast_rows
     left = docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
     if again.isEmpty():

@@ -58,3 +58,18 @@ def test_repeated_and_null_rows(spark, sf_dir):
     assert kept == [(-1, "other words stand here"), (1, "a b c d e f g"), (4, None)]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_clashing_columns_and_long_texts_stay(spark, sf_dir):
+    # names that the operators use inside, as columns of the documents
+    names = ["id", "hash", "v", "key", "keep", "component", "rep", "root", "size", "n", "text_hash", "score", "__id", "__hash"]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, long), (4, long + " end"), (5, None)]
+    docs = spark.createDataFrame([(*r, *[k] * len(names)) for k, r in enumerate(rows)], ["doc_id", "text", *names]).selectExpr("CAST(doc_id AS long) AS doc_id", "text", *[f"`{n}`" for n in names])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and sorted(tuple(r)[:3] + (r.score,) for r in kept.select("doc_id", "id", "hash", "score").collect()) == [(1, 0, 0, 0), (3, 2, 2, 2), (5, 4, 4, 4)]
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_benchmark_leaks):
+        left = stage(spark, docs, sf_dir)
+        assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 2, 3, 4, 5}
+    packed = corpus_pipeline.pack(spark, kept, sf_dir).collect()
+    assert {r.doc_id for r in packed} == {1, 3, 5} and all(r.length <= 2048 for r in packed)

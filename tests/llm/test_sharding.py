@@ -27,3 +27,10 @@ def test_weights_and_tables_without_rows(spark):
     n = Counter(r.shard for r in shard_rows(df, weights=[1.0, 3.0]).collect())
     assert 2.6 < n[1] / n[0] < 3.4
     assert shard_rows(df.limit(0)).count() == 0
+
+
+def test_one_id_with_many_texts(spark):
+    rows = [(5, f"text {i}", i) for i in range(5000)] + [(5, "x" * 200_000, 0)]
+    got = shard_rows(spark.createDataFrame(rows, "doc_id long, text string, slot int")).collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(5001))
+    assert sorted(r.size for r in got)[-1] == 200_001
