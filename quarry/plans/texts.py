@@ -53,8 +53,7 @@ def text_amounts(spark, sf_dir):
 def anonymised_texts(spark, sf_dir):
     """The first two different words of a text, as the names of its parties, in all of it."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.index_terms(c("text")).alias("w"))
-    names = F.array(F.get("w", 0), F.get(F.filter("w", lambda x: x != F.get("w", 0)), 0))
-    d = d.withColumn("names", names).where(F.get("names", 1).isNotNull())
+    d = d.withColumn("names", F.slice(F.array_distinct("w"), 1, 2)).where(F.size("names") == 2)
     return d.select("doc_id", F.md5(legal.anonymise(F.array_join("w", " "), c("names"))).alias("text"))
 
 
