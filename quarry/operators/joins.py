@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .matching import phrase_matches
@@ -85,9 +91,36 @@ def changed_records(old: DataFrame, new: DataFrame, key: str, hash_col: str) ->
     )
 
 
-def similar_pairs(vectors: DataFrame, by: list[str], id_col: str, vector: str, low: float, high: float) -> DataFrame:
-    """Pairs i < j within a key (a law version: a bounded number of rows) whose dot product is within [low, high]."""
-    a = vectors.select(*by, F.col(id_col).alias("a"), F.col(vector).alias("__u"))
-    b = vectors.select(*by, F.col(id_col).alias("b"), F.col(vector).alias("__v"))
-    dot = F.aggregate(F.zip_with("__u", "__v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, by).where("a < b").withColumn("similarity", dot).where(F.col("similarity").between(low, high)).select(*by, "a", "b", "similarity")
+def similar_pairs(vectors: DataFrame, by: list[str], id_col: str, vector: str, low: float, high: float, block: int = 512) -> DataFrame:
+    """Pairs i < j within a key (a law version) whose dot product is within [low, high].
+
+    Vectors stand in blocks of some ``block`` by hash; blocks of a key meet each other and are multiplied, so a key of n vectors
+    makes (n / block)^2 / 2 rows, not n^2, and tasks of a bounded size whatever the key holds.  Null vectors are left out.
+    """
+    rows = vectors.select(*by, F.col(id_col).alias("__id"), F.col(vector).cast("array<double>").alias("__v")).where("__v is not null")
+    many = rows.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("__many"))
+    packs = rows.join(many, by).groupBy(*by, F.pmod(F.xxhash64("__id"), F.col("__many")).cast("int").alias("__b")).agg(F.collect_list("__id").alias("ids"), F.collect_list("__v").alias("vs"))
+    other = packs.select(*by, F.col("__b").alias("__c"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2"))
+    met = packs.join(other, by).where("__b <= __c").select(*by, "ids", "vs", "ids2", "vs2", (F.col("__b") == F.col("__c")).alias("same"))
+    fields = {f.name: f for f in met.schema.fields}
+    id_type = fields["ids"].dataType.elementType
+    schema = StructType([fields[k] for k in by] + [StructField("a", id_type), StructField("b", id_type), StructField("similarity", DoubleType())])
+    names = [*by, "a", "b", "similarity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                left, right = (at[n][r].values for n in ("ids", "ids2"))
+                x, y = (at[n][r].values.flatten().to_numpy(zero_copy_only=False).reshape(len(at[n][r]), -1) for n in ("vs", "vs2"))
+                s = x @ y.T
+                i, j = np.nonzero((s >= low) & (s <= high))
+                if at["same"][r].as_py():
+                    i, j = i[i < j], j[i < j]
+                a, b = left.take(pa.array(i)), right.take(pa.array(j))
+                turned = pc.greater(a, b)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.repeat(at[k][r], len(i)) for k in by), pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(s[i, j])], names
+                )
+
+    return met.mapInArrow(run, schema)

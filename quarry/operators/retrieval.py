@@ -94,13 +94,16 @@ def coverage(cited: DataFrame, held: DataFrame, law: str, section: str, question
     return each.groupBy(law).agg(F.coalesce(F.max("__law"), F.lit(False)).alias("found"), F.count_distinct(question).alias("questions"), missing.alias("missing"))
 
 
-def merge_parts(spark, paths: list[str], out: str, rows: int = 2000) -> int:
-    """One file of all parts in their order, in row groups of ``rows``; returns the rows."""
+def merge_parts(spark, paths: list[str], out: str, rows: int = 2000, file_rows: int = 5_000_000) -> int:
+    """All parts in their order, in files of some ``file_rows`` rows and row groups of ``rows``; returns the rows.
+
+    Ranges of the order go to a task each, so no task writes more than its file."""
     df = None
     for n, path in enumerate(paths):
         part = spark.read.parquet(path).withColumn("__part", F.lit(n)).withColumn("__row", F.monotonically_increasing_id())
         df = part if df is None else df.unionByName(part)
-    df.repartitionByRange(1, "__part", "__row").sortWithinPartitions("__part", "__row").drop("__part", "__row").write.mode("overwrite").option("parquet.block.row.count.limit", rows).parquet(out)
+    files = max(1, -(-spark.read.parquet(*paths).count() // file_rows))
+    df.repartitionByRange(files, "__part", "__row").sortWithinPartitions("__part", "__row").drop("__part", "__row").write.mode("overwrite").option("parquet.block.row.count.limit", rows).parquet(out)
     return spark.read.parquet(out).count()
 
 
