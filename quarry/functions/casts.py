@@ -50,7 +50,8 @@ def ymd(c: Column) -> Column:
 
 def ymd_to_iso(c: Column) -> Column:
     digits = c.cast("string")
-    return F.when(digits.rlike(r"^\d{8}$"), F.regexp_replace(digits, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise("")
+    parts = [F.substring(digits, at, size) for at, size in ((1, 4), (5, 2), (7, 2))]
+    return F.when((F.length(digits) == 8) & digits.rlike("^[0-9]+$"), F.concat_ws("-", *parts)).otherwise("")
 
 
 def last_names(names: Column) -> Column:

@@ -124,6 +124,7 @@ def name_starts(name: Column, key: Column) -> Column:
 
 def join_spaced_numbers(c: Column) -> Column:
     """``116 יז 12`` as ``116יז12``: a section's number, its Hebrew letters and the number after them, unless the letters are a connective."""
+    # fixed values: how many digits and letters such a number has, and what may follow it
     letters = rf"(?!(?:{'|'.join(CONNECTIVES)}) )([א-ת]{{1,2}})"
     return F.regexp_replace(c, rf"(?<![\p{{L}}\p{{N}}_])(\d{{2,4}}) {letters} (\d{{1,2}})(?=[.(\s,;:\"״]|$)", "$1$2$3")
 

@@ -27,7 +27,7 @@ QUOTES = "\"״"
 
 TOKEN = re.compile(r"(?P<number>\d{1,4}[א-ת]{0,3}\d{0,3})(?P<subs>(?:\([^()\s]{1,4}\))*)|(?P<word>[^\W\d_]+)|(?P<mark>[^\w\s])")
 COMPOUND = re.compile(r"(\d{1,4})([א-ת]{0,3})(\d{0,3})")
-YEAR = re.compile(r"ה?תש[^,\s]*-\s*\d{4}")
+DASHES, MARKS = "-–", str.maketrans(dict.fromkeys("\"״׳'(),.", " "))
 
 
 class Token(NamedTuple):
@@ -76,15 +76,30 @@ def number_of(text: str) -> Number | None:
     return Number(*m.groups()) if m else None
 
 
+def _year_at(text: str) -> str | None:
+    """The Hebrew and general year that a text begins with (``התשנ"ב-1992``)."""
+    word, dash, rest = text.partition("-")
+    digits = rest.lstrip()[:4]
+    if not dash or not word.startswith(("תש", "התש")) or set(word) & set(", \n\t") or len(digits) < 4 or not digits.isdigit():
+        return None
+    return text[: text.index(digits, len(word)) + 4]
+
+
 def law_key(name: str) -> str:
     """A law's name without brackets, year and marks."""
-    name = re.sub(r"\[[^\]]*\]", " ", name or "")
-    head, comma, rest = name.partition(",")
-    while comma and not rest.lstrip().startswith(("תש", "התש")):
-        more, comma, rest = rest.partition(",")
-        head += "," + more
-    head = re.sub(r"[-–]\s*(?:19|20)\d\d.*", "", head)
-    return " ".join(re.sub(r"[\"״׳'(),.]", " ", head).split())
+    text = name or ""
+    while "]" in text.partition("[")[2]:
+        head, _, rest = text.partition("[")
+        text = f"{head} {rest.partition(']')[2]}"
+    parts = text.split(",")
+    years = [i for i, x in enumerate(parts) if i and x.lstrip().startswith(("תש", "התש"))]
+    text = ",".join(parts[: years[0]] if years else parts)
+    for at, ch in enumerate(text):
+        after = text[at + 1 :].lstrip()[:4]
+        if ch in DASHES and len(after) == 4 and after.isdigit() and after[:2] in ("19", "20"):
+            text = text[:at]
+            break
+    return " ".join(text.translate(MARKS).split())
 
 
 def numbered_law(line: str, whole: bool = True) -> tuple[str, str, bool] | None:
@@ -186,9 +201,9 @@ def extract_amendment(title: str | None, text: str, laws: list[tuple[str, str, b
         name = resolve(name, number, laws)
     else:
         first, comma, rest = body.strip().partition(",")
-        year = YEAR.match(rest.lstrip())
+        year = _year_at(rest.lstrip())
         if comma and year and first.startswith(tuple(BY + w + " " for w in ("חוק", "פקודת", "תקנות"))):
-            name = f"{first[1:]}, {year.group()}"
+            name = f"{first[1:]}, {year}"
             number, temporary = next(((k, t) for n, k, t in laws if law_key(n) == law_key(name)), ("", False))
         else:
             name = None if title.startswith(AMENDING) else applied_with_changes(body)
@@ -217,13 +232,17 @@ def section_head(line: str) -> tuple[Number, str | None, str] | None:
         rest = bare[len(n.written()) :]
         if rest == "." or re.match(r"\.\s", rest):
             return n, None, rest[1:].strip()
-    digit = re.search(r"\d", line)
-    if _begins_subsection(line) or digit is None:
+    at = next((i for i, ch in enumerate(line) if ch.isdigit()), None)
+    if at is None or _begins_subsection(line):
+        return None
+    # a number in up to three pieces that a margin title surrounds
+    title, (spaced, dot, rest) = line[:at].strip(), line[at:].partition(".")
+    whole = COMPOUND.fullmatch("".join(spaced.split()))
+    if not title or set(title + rest) & set("()") or set(title) & set(QUOTES) or any(ch.isdigit() for ch in rest):
         return None
-    title, spaced = line[: digit.start()].strip(), re.fullmatch(r"(\d{1,4})\s?([א-ת]{1,3})\s?(\d{1,3})\.([^\d()]*)", line[digit.start() :])
-    if not title or set(title) & set("()" + QUOTES) or spaced is None:
+    if not dot or whole is None or not (whole[2] and whole[3]) or spaced != spaced.strip() or len(spaced.split()) > 3:
         return None
-    return Number(*spaced.groups()[:3]), " ".join(filter(None, (title, spaced[4].strip()))), ""
+    return Number(*whole.groups()), " ".join(filter(None, (title, rest.strip()))), ""
 
 
 def replaced_subsection(context: list[str], body: list[str]) -> Insertion | None:

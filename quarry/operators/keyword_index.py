@@ -28,13 +28,13 @@ BLOCK = 128
 SHARD = 65_536  # postings of a term that one task sorts
 POSTINGS = "term string, df long, shard long, block int, most long, shortest int, n long, postings array<struct<id:long, tf:long, length:int>>, bucket int"
 
-# Words that don't count, and marks that are left out of words.
+# Words that don't count, marks that are left out of words, and what is a word.
 STOP_WORDS = (
     "של", "על", "את", "או", "לא", "אם", "כי", "זה", "זו", "הוא", "היא", "לפי", "בו", "בה", "מה", "מי", "כל", "גם",
     "אשר", "עם", "יש", "אין", "אל", "כך", "הם", "הן", "אחר", "אחרי", "לרבות", "חוק", "סעיף", "סעיפים", "קטן",
 )
 POINTS, QUOTES, MAQAF = r"[֑-ׇ]", "\"'׳״‘’“”", "־"
-#: A number with letters after it, a number with points or commas inside, or a word of letters.
+# a number with letters after it, a number with points or commas inside, or letters
 COMPOUND, NUMBER, LETTERS = r"\d+[א-ת]{1,3}\d*", r"\d+(?:[.,]\d+)*", r"\p{L}+"
 
 

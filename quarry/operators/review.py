@@ -120,8 +120,10 @@ def score_after(group: Column, verdict: Column, fabricated: Column, traps: Colum
 
 def heading_of(breadcrumb: Column, most: int = 80) -> Column:
     """The last crumb without its section label."""
-    last = F.element_at(F.split(breadcrumb, " > "), -1)
-    return F.left(F.trim(F.regexp_replace(last, r"^(?:סעיף|section)\s+\S+\s*[—-]?\s*", "")), F.lit(most))
+    words = F.split(F.trim(F.element_at(F.split(breadcrumb, " > "), -1)), r"\s+")
+    labelled = F.get(words, 0).isin("סעיף", "section") & (F.size(words) > 1)
+    bare = F.regexp_replace(F.array_join(F.slice(words, 3, F.size(words)), " "), "^[—-] *", "")
+    return F.left(F.when(labelled, bare).otherwise(F.array_join(words, " ")), F.lit(most))
 
 
 def contents(chunks: DataFrame, record: str, number: str, breadcrumb: str, order: str, most: int = 300) -> DataFrame:
