@@ -191,12 +191,20 @@ def opener(c: Column) -> Column:
 
 
 def anonymise(text: Column, names: Column) -> Column:
-    """Each name as ``[party i]`` by its place in the list, whole words, longest first; names of two words the other way round too."""
+    """Each name as ``[party i]`` by its place in the list, whole words, longest first; names of two words the other way round too.
+
+    What is put in is not looked at again, so a name may be ``party`` or a number: texts and labels stand in turn, and only texts are cut."""
     numbered = F.transform(names, lambda n, i: F.struct(F.length(n).alias("size"), n.alias("name"), (i + 1).alias("i")))
     turned = F.transform(F.filter(numbered, lambda x: F.size(F.split(x["name"], " ")) == 2), lambda x: F.struct(x["size"].alias("size"), F.array_join(F.reverse(F.split(x["name"], " ")), " ").alias("name"), x["i"].alias("i")))
     longest = F.sort_array(F.filter(F.concat(numbered, turned), lambda x: x["size"] > 0), asc=False)
     quoted = lambda n: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n, F.lit(r"\E(?![\p{L}\p{N}])"))
-    return F.aggregate(longest, text, lambda acc, x: F.regexp_replace(acc, quoted(x["name"]), F.format_string("[party %d]", x["i"])))
+
+    def cut(parts, x):
+        label = F.format_string("[party %d]", x["i"])
+        between = lambda s: F.flatten(F.transform(F.split(s, quoted(x["name"]), -1), lambda y, k: F.when(k > 0, F.array(label, y)).otherwise(F.array(y))))
+        return F.flatten(F.transform(parts, lambda s, j: F.when(j % 2 == 0, between(s)).otherwise(F.array(s))))
+
+    return F.array_join(F.aggregate(longest, F.array(text), cut), "")
 
 
 def glossary(df, key: str, value: str, order: str, most: int):

@@ -74,6 +74,7 @@ def test_amendment_rows(spark):
         (lambda: legal.sentences_with(F.lit("Pay now. Or wait. He pays."), ["pay"]), ["Pay now."]),
         (lambda: legal.opener(F.lit("כן, מותר")).getField("label"), "yes"),
         (lambda: legal.anonymise(F.lit("Dan Levi sued Levi Dan and Levi"), F.array(F.lit("Dan Levi"), F.lit("Levi"))), "[party 1] sued [party 1] and [party 2]"),
+        (lambda: legal.anonymise(F.lit("sued party 1, party 2 and sued"), F.array(F.lit("sued"), F.lit("party"), F.lit("1"))), "[party 1] [party 2] [party 3], [party 2] 2 and [party 1]"),
     ],
 )
 def test_expressions(spark, column, want):
