@@ -95,9 +95,9 @@ def similar_pairs(vectors: DataFrame, by: list[str], id_col: str, vector: str, l
     """Pairs i < j within a key (a law version) whose dot product is within [low, high].
 
     Vectors stand in blocks of some ``block`` by hash; blocks of a key meet each other and are multiplied, so a key of n vectors
-    makes (n / block)^2 / 2 rows, not n^2, and tasks of a bounded size whatever the key holds.  Null vectors are left out.
+    makes (n / block)^2 / 2 rows, not n^2, and tasks of a bounded size whatever the key holds.  Null vectors and ids are left out, and rows of one id are no pair.
     """
-    rows = vectors.select(*by, F.col(id_col).alias("__id"), F.col(vector).cast("array<double>").alias("__v")).where("__v is not null")
+    rows = vectors.select(*by, F.col(id_col).alias("__id"), F.col(vector).cast("array<double>").alias("__v")).where("__id is not null and __v is not null")
     many = rows.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("__many"))
     packs = rows.join(many, by).groupBy(*by, F.pmod(F.xxhash64("__id"), F.col("__many")).cast("int").alias("__b")).agg(F.collect_list("__id").alias("ids"), F.collect_list("__v").alias("vs"))
     other = packs.select(*by, F.col("__b").alias("__c"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2"))
@@ -118,9 +118,8 @@ def similar_pairs(vectors: DataFrame, by: list[str], id_col: str, vector: str, l
                 if at["same"][r].as_py():
                     i, j = i[i < j], j[i < j]
                 a, b = left.take(pa.array(i)), right.take(pa.array(j))
-                turned = pc.greater(a, b)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.repeat(at[k][r], len(i)) for k in by), pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(s[i, j])], names
-                )
+                apart, turned = pc.not_equal(a, b), pc.greater(a, b)
+                columns = [*(pa.repeat(at[k][r], len(i)) for k in by), pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(s[i, j])]
+                yield pa.RecordBatch.from_arrays([x.filter(apart) for x in columns], names)
 
     return met.mapInArrow(run, schema)

@@ -13,6 +13,13 @@ def test_similar_pairs_by_blocks(spark, block):
     assert len(got) == len(want) and all(abs(want[r.k, r.a, r.b] - r.similarity) < 1e-9 for r in got)
 
 
+def test_rows_of_one_id_are_no_similar_pair(spark):
+    rows = [("k", 1, [1.0, 0.0]), ("k", 1, [0.6, 0.8]), ("k", 2, [0.6, 0.8]), ("k", None, [1.0, 0.0])]
+    for block in (512, 1):
+        got = joins.similar_pairs(spark.createDataFrame(rows, "k string, id long, v array<double>"), ["k"], "id", "v", 0.5, 2.0, block).collect()
+        assert sorted((r.a, r.b, round(r.similarity, 6)) for r in got) == [(1, 2, 0.6), (1, 2, 1.0)]
+
+
 def test_parts_merge_in_order(spark, tmp_path):
     for n in range(3):
         spark.range(n * 10, n * 10 + 10).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
