@@ -25,20 +25,10 @@ def first_distinct(ranked: DataFrame, by: str, order: str, value: str, n: int) -
 
 
 def shard_search(docs: DataFrame, queries: DataFrame, shard: Column, id_col: str, text_col: str, query_id: str, query_text: str, k: int, tokens=T.index_terms) -> DataFrame:
-    """BM25 with each shard's own statistics, ``k`` a shard, merged by score and cut to ``k``: one pass keyed by shard and term."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    sized = docs.select(F.col(id_col).alias("id"), shard.alias("shard"), tokens(F.col(text_col)).alias("terms"))
-    stats = sized.groupBy("shard").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("average"))
-    each = sized.select("id", "shard", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = each.groupBy("shard", "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = tf.groupBy("shard", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = ranking.K1 * (1 - ranking.B + ranking.B * F.col("length") / F.col("average"))
-    weighted = tf.join(df, ["shard", "term"]).join(stats, "shard").select("term", "id", "shard", (idf * F.col("tf") * (ranking.K1 + 1) / (F.col("tf") + norm)).alias("w"))
-    scores = weighted.join(asked, "term").groupBy("query_id", "shard", "id").agg(F.sum("w").alias("score"))
-    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "id"))
-    found = scores.withColumn("rank", order("query_id", "shard")).where(F.col("rank") <= k)
-    return found.withColumn("rank", order("query_id")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    """BM25 with each shard's own statistics, ``k`` a shard, merged by score and cut to ``k``.
+
+    The best ``k`` of all are among the best ``k`` of their shards, so they are taken at once."""
+    return ranking.bm25_search(docs, queries, id_col, text_col, query_id, query_text, k, tokens, shard)
 
 
 def peek(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:

@@ -159,3 +159,17 @@ def test_the_library_stands_without_the_llm_folder():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "quarry.llm" not in p.read_text() and "import llm" not in p.read_text() and ".llm" not in p.read_text(), p
+
+
+def test_bm25_shuffles_no_postings(spark):
+    docs = spark.createDataFrame([(i, i % 2, f"alpha beta w{i}" if i % 3 else "beta") for i in range(60)] + [(7, 1, "gamma gamma"), (90, 0, None), (91, 1, "")], "id long, sh int, t string")
+    asked = spark.createDataFrame([(1, "Alpha alpha w7"), (2, "beta gamma"), (3, "nowhere"), (4, None)], "q long, t string")
+    whole = ranking.bm25_search(docs, asked, "id", "t", "q", "t", 5)
+    # nothing is joined after the texts are scored, and the passes of single queries give what one pass gives
+    assert "Join" not in whole.filter("rank > 0")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    rows = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in df.collect())
+    assert rows(whole) == rows(ranking.bm25_search(docs, asked, "id", "t", "q", "t", 5, pack=1))
+    # both rows of id 7 are one document, as in a grouping by id
+    assert [i for q, _, i, _ in rows(whole) if q == 2][0] == 7 and {q for q, *_ in rows(whole)} == {1, 2}
+    by_shard = ranking.bm25_search(docs, asked, "id", "t", "q", "t", 5, shard=docs["sh"])
+    assert rows(by_shard) != rows(whole) and {r.query_id for r in by_shard.collect()} == {1, 2}
