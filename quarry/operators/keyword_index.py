@@ -13,7 +13,11 @@ reaches it.  A document with a posting in a block left out is below the threshol
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +31,9 @@ c = F.col
 BLOCK = 128
 SHARD = 65_536  # postings of a term that one task sorts
 POSTINGS = "term string, df long, shard long, block int, most long, shortest int, n long, postings array<struct<id:long, tf:long, length:int>>, bucket int"
+COUNTS = "term string, postings array<struct<id:long, tf:long, length:int>>"
+TOKENS = 2_000_000  # words that are counted at a time
+SLOTS = 8  # tasks that may write one bucket
 
 # Words that don't count, marks that are left out of words, and what is a word.
 STOP_WORDS = (
@@ -73,6 +80,29 @@ def _weight(tf: Column, length: Column, idf: Column, average: float) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average or 1.0)))
 
 
+def _count_terms():
+    """(id, length, terms) -> postings by term of some documents at a time; those of the term null are the documents with their lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                many = max(1, int(np.searchsorted(ends, before + TOKENS, "right")) - start)
+                part, start = batch.slice(start, many), start + many
+                words = part.column(2).flatten().dictionary_encode()
+                row = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy())
+                cell, tf = np.unique(words.indices.to_numpy().astype(np.int64) * part.num_rows + row, return_counts=True)
+                code, row = np.divmod(cell, part.num_rows)
+                row, tf = np.concatenate([np.arange(part.num_rows), row]), np.concatenate([np.zeros(part.num_rows, np.int64), tf])
+                offsets = np.concatenate([[0], part.num_rows + np.searchsorted(code, np.arange(len(words.dictionary) + 1))]).astype(np.int32)
+                each = pa.StructArray.from_arrays([part.column(0).take(pa.array(row)), pa.array(tf), part.column(1).take(pa.array(row))], ["id", "tf", "length"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.cast(pa.string())]), pa.ListArray.from_arrays(pa.array(offsets), each)], ["term", "postings"])
+
+    return run
+
+
 class KeywordIndex:
     """An index below ``root``.  ``terms`` gives the index terms of a text column, ``groups`` the word groups of a query's."""
 
@@ -94,24 +124,40 @@ class KeywordIndex:
             old = self.spark.read.parquet(*[f"{s['path']}/documents" for s in known]).select("id")
             rows = rows.join(old, "id", "left_anti")
         path = f"{self.root}/segments/s{len(known):06d}"
-        sized = rows.select("id", self.terms(c("text")).alias("terms"))
-        counted = sized.select("id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).groupBy("id", "term").agg(F.count("term").alias("tf"), F.first("length").alias("length"))
-        # a document's counts once, also for those without terms, so that texts are read and cut into words once
-        counted.write.mode("overwrite").parquet(f"{path}/counts")
-        counted = self.spark.read.parquet(f"{path}/counts")
-        counted.groupBy("id").agg(F.first("length").alias("length")).write.mode("overwrite").parquet(f"{path}/documents")
+        sized = rows.select("id", self.terms(c("text")).alias("terms")).select("id", F.size("terms").alias("length"), "terms")
+        repeated = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(c("id").alias("__id"))
+        if not repeated.isEmpty():  # rows of one id are one document
+            again = c("id").eqNullSafe(c("__id"))
+            merged = sized.join(repeated, again, "left_semi").groupBy("id").agg(F.first("length").alias("length"), F.flatten(F.collect_list("terms")).alias("terms"))
+            sized = sized.join(repeated, again, "left_anti").unionByName(merged)
+        # texts are read and cut into words once, and counted where they stand
+        sized.mapInArrow(_count_terms(), COUNTS).write.mode("overwrite").parquet(f"{path}/counts")
+        counted = self.spark.read.schema(COUNTS).parquet(f"{path}/counts")
+        counted.where("term IS NULL").select(F.explode("postings").alias("p")).select("p.id", "p.length").write.mode("overwrite").parquet(f"{path}/documents")
         about = self.spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first()
         average = about.total / about.n if about.n else 0.0
-        tf = counted.where("term IS NOT NULL")
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        dealt = tf.join(df, "term").withColumn("shard", F.pmod(F.xxhash64("id"), F.ceil(c("df") / SHARD)))
-        impact = _weight(c("tf"), c("length"), F.lit(1.0), average)
-        nth = F.row_number().over(Window.partitionBy("term", "shard").orderBy(impact.desc(), "id"))
-        blocks = dealt.withColumn("block", F.floor((nth - 1) / BLOCK).cast("int")).groupBy("term", "df", "shard", "block").agg(
-            F.max("tf").alias("most"), F.min("length").alias("shortest"), F.count("*").alias("n"), F.collect_list(F.struct("id", "tf", "length")).alias("postings")
-        )
-        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "shard", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        lists = counted.where("term IS NOT NULL")
+        # only the few terms that are dealt over shards need their count before their postings meet
+        hot = lists.groupBy("term").agg(F.sum(F.size("postings")).alias("__df")).where(c("__df") > SHARD)
+        lists = lists.join(F.broadcast(hot), "term", "left").withColumn("shards", F.coalesce(F.ceil(c("__df") / SHARD), F.lit(1)))
+        lists = lists.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), c("shards") - 1)))
+        mine = F.filter("postings", lambda p: F.pmod(F.xxhash64(p["id"]), c("shards")) == c("shard"))
+        lists = lists.withColumn("postings", F.when(c("shards") > 1, mine).otherwise(c("postings")))
+        lists = lists.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).withColumn("slot", F.pmod(F.xxhash64("term", F.lit(SLOTS)), F.lit(SLOTS)))
+        # one shuffle: the lists of a term and shard meet in the task that writes them
+        keys = ["bucket", "slot", "shard", "term"]
+        whole = lists.repartition("bucket", "slot", "shard").groupBy(*keys).agg(F.flatten(F.collect_list("postings")).alias("postings"), F.max("__df").alias("__df"))
+        impact = lambda p: _weight(p["tf"], p["length"], F.lit(1.0), average)
+        ordered = F.sort_array(F.transform("postings", lambda p: F.struct((-impact(p)).alias("less"), p["id"].alias("id"), p["tf"].alias("tf"), p["length"].alias("length"))))
+        plain = F.transform("ordered", lambda p: F.struct(p["id"].alias("id"), p["tf"].alias("tf"), p["length"].alias("length")))
+        whole = whole.withColumn("df", F.coalesce("__df", F.size("postings").cast("long"))).withColumn("ordered", ordered).withColumn("postings", plain)
+        starts = F.sequence(F.lit(0), F.floor((F.size("postings") - 1) / BLOCK).cast("int"))
+        # cut in place: a list is not repeated for its blocks
+        parts = F.transform(starts, lambda at: F.slice("postings", at * BLOCK + 1, BLOCK))
+        cut = whole.where(F.size("postings") > 0).select("term", "df", "shard", "bucket", F.posexplode(parts).alias("block", "postings"))
+        most, shortest = F.array_max(F.transform("postings", lambda p: p["tf"])), F.array_min(F.transform("postings", lambda p: p["length"]))
+        blocks = cut.select("term", "df", "shard", "block", most.alias("most"), shortest.alias("shortest"), F.size("postings").cast("long").alias("n"), "postings", "bucket")
+        blocks.sortWithinPartitions("bucket", "term", "shard", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         what = {"n": about.n, "total": about.total}
         self.spark.createDataFrame([(json.dumps(what),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
         return what
@@ -134,16 +180,17 @@ class KeywordIndex:
             parts = part if parts is None else parts.unionByName(part)
         if parts is None:
             raise ValueError("the index has no segment")
-        mine = parts.join(wanted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")), ["term", "bucket"])
+        mine = parts.join(F.broadcast(wanted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))), ["term", "bucket"])
         # df over all segments: from the first block of each shard, one a segment
         df = mine.groupBy("term", "segment").agg(F.max("df").alias("df")).groupBy("term").agg(F.sum("df").alias("__df"))
         idf = df.select("term", F.log(1 + (n - c("__df") + 0.5) / (c("__df") + 0.5)).alias("idf"))
-        blocks = mine.join(idf, "term").withColumn("bound", _weight(c("most"), c("shortest"), c("idf"), average))
-        asked_blocks = blocks.join(asked, "term")
+        blocks = mine.join(F.broadcast(idf), "term").withColumn("bound", _weight(c("most"), c("shortest"), c("idf"), average))
+        asked_blocks = blocks.join(F.broadcast(asked), "term")
 
         def scores(of: DataFrame) -> DataFrame:
             each = of.select("query_id", "word", "idf", F.explode("postings").alias("p")).select("query_id", "word", c("p.id").alias("id"), _weight(c("p.tf"), c("p.length"), c("idf"), average).alias("w"))
-            best = each.groupBy("query_id", "id", "word").agg(F.max("w").alias("w"))
+            # one shuffle serves both sums
+            best = each.repartition("query_id", "id").groupBy("query_id", "id", "word").agg(F.max("w").alias("w"))
             return best.groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
         if not full:
@@ -154,7 +201,7 @@ class KeywordIndex:
             every = best.groupBy("query_id").agg(F.sum("best").alias("all"))
             limits = best.join(every, "query_id").join(least, "query_id", "left")
             rest = c("all") - c("best")
-            asked_blocks = asked_blocks.join(limits, ["query_id", "word"]).where(c("least").isNull() | (c("bound") + rest >= c("least") - F.lit(1e-9) * c("all")))
+            asked_blocks = asked_blocks.join(F.broadcast(limits), ["query_id", "word"]).where(c("least").isNull() | (c("bound") + rest >= c("least") - F.lit(1e-9) * c("all")))
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
         ranked = scores(asked_blocks).withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
         return ranked.select("query_id", "rank", "id", "score"), asked_blocks

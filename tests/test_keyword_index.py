@@ -85,3 +85,19 @@ def test_an_index_without_segments(spark, tmp_path):
     index = K.KeywordIndex(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError, match="no segment"):
         index.search(spark.createDataFrame([(1, "a")], "q long, text string"), "q", "text", 3)
+
+
+def test_counts_of_few_words_at_a_time_and_repeated_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "SHARD", 40)
+    monkeypatch.setattr(K, "BLOCK", 8)
+    monkeypatch.setattr(K, "TOKENS", 50)
+    docs = [(i, " ".join(["common"] * (1 + i % 5) + [f"w{chr(97 + i % 26)}"] * (i % 3))) for i in range(200)] + [(500, None), (501, ""), (502, "rare rare"), (503, "word " * 200 + "rare")]
+    index = K.KeywordIndex(spark, str(tmp_path / "k"), K.T.index_terms, K.one_form_groups, 4)
+    assert index.add(spark.createDataFrame([*docs, (502, "rare")], "id long, text string"), "id", "text")["n"] == 204
+    asked = spark.createDataFrame([(1, "common wc"), (2, "rare")], "q long, text string")
+    got = sorted((r.query_id, r.rank, r.id, round(r.score, 6)) for r in index.search(asked, "q", "text", 6).collect())
+    assert [i for q, _, i, _ in got if q == 2] == [502, 503]
+    # the documents' postings are all there, each in one block, and no row carries the list that blocks are cut from
+    blocks = spark.read.schema(K.POSTINGS).parquet(index.segments()[0]["path"] + "/postings").where("term = 'common'").collect()
+    assert sorted(p.id for b in blocks for p in b.postings) == list(range(200)) and {b.df for b in blocks} == {200} and max(len(b.postings) for b in blocks) == 8
+    assert len({b.shard for b in blocks}) == 5 and all(b.n == len(b.postings) and b.most == max(p.tf for p in b.postings) for b in blocks)
