@@ -1,9 +1,13 @@
-"""Near-duplicate groups by the exact Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicate groups by SimHash candidates and the exact Jaccard similarity of word shingles, for the pipeline.
 
 Two texts are linked when the sets of their ``shingle``-word shingles have a similarity of ``least`` or more; groups are
-the components of the links.  Candidates meet by min-hashes: ``BANDS`` keys of ``ROWS`` min-hashes each, of which a pair at
-0.8 shares none with a probability of 5e-8 (less above).  All that meet are compared with their whole sets, so nothing
-below ``least`` is linked.
+the components of the links.  Candidates are the links of ``simhash_dedup``'s index (positional bytes, count filtering) over
+fingerprints of the same shingles, within ``radius`` bits.  All that meet are compared with their whole sets, so nothing below
+``least`` is linked, and the components of what holds are the first groups.
+
+A pair at ``least`` may lie beyond any radius that the index can guarantee, so a second search goes on from these groups:
+``BANDS`` keys of ``ROWS`` min-hashes each, of which a pair at 0.8 shares none with a probability of 5e-8 (less above).  It
+compares sets of different groups only.
 
 Texts of one set are compared once.  In lists of at most ``max_list`` sets all pairs are candidates.  Longer lists first
 compare all sets with ``hubs`` of them, others in each list, which joins nearly all of a large group.  Where a list is still
@@ -25,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from ._common import id_and_text, materialise
 from .simhash_dedup import components
 
@@ -34,8 +39,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 8192
 
 
-def shingles(raw: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of one UTF-8 text."""
+def shingle_hashes(raw: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Hashes of the shingles of one UTF-8 text in their order, repeats included."""
     import xxhash
 
     words = raw.lower().split()  # bytes: only A-Z, only ASCII white space
@@ -45,7 +50,12 @@ def shingles(raw: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     first, last = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(first)))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(first))
+
+
+def shingles(raw: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of one UTF-8 text."""
+    return np.unique(shingle_hashes(raw, shingle, seed))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -61,40 +71,65 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _rows(shingle: int, seed: int):
-    """(id, text, hash) -> (id, hash, v, keys): v is a hash of the set of shingles."""
+    """(id, text, hash) -> (id, hash, v, fp, keys): v is a hash of the set of shingles, fp its text's fingerprint."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sets = [shingles(t.as_py(), shingle, seed) for t in part.column(1).cast(pa.large_binary())]
+                sets, fps = [], []
+                for t in part.column(1).cast(pa.large_binary()):
+                    hashes = shingle_hashes(t.as_py(), shingle, seed)
+                    fps.append(simhash_dedup.fingerprint_of(hashes))
+                    sets.append(np.unique(hashes))
                 v = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
                 keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(v), keys], ["id", "hash", "v", "keys"])
+                fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(v), fp, keys], ["id", "hash", "v", "fp", "keys"])
 
     return run
 
 
-def _candidates(reps: DataFrame, max_list: int, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that share a key, for long lists only those with a hub; and the members (key, v) of long lists."""
+def _fingerprint_pairs(reps: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of sets: those of one fingerprint with one of them, and one of each of two fingerprints that the index links."""
+    firsts = materialise(reps.groupBy("fp").agg(F.min("v").alias("first")), "shingle-fingerprints")
+    links = simhash_dedup.fingerprint_links(firsts, radius)
+    ends = links.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("one")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("two")), "b")
+    same = reps.join(firsts, "fp").where("v <> first").select(F.col("first").alias("one"), F.col("v").alias("two"))
+    pairs = ends.select("one", "two").unionByName(same)
+    return materialise(pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "shingle-near")
+
+
+def _lists(reps: DataFrame) -> DataFrame:
+    """(key, v, n): the sets that share a key with others."""
     postings = reps.select(F.explode("keys").alias("key"), "v")
     lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(postings.join(lists, "key"), "shingle-met")
-    few = met.where(F.col("n") <= max_list).groupBy("key").agg(F.collect_list("v").alias("vs"))
-    few = few.select(F.explode("vs").alias("a"), "vs").select("a", F.explode("vs").alias("b")).where("a < b")
+    return materialise(postings.join(lists, "key"), "shingle-met")
+
+
+def _candidates(met: DataFrame, roots: DataFrame, max_list: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different groups that share a key, for long lists only those with a hub; and the members (key, v) of long lists."""
+    met = met.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    groups = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    met = materialise(met.join(groups, "key"), "shingle-apart-lists")
+    few = met.where(F.col("n") <= max_list).groupBy("key").agg(F.collect_list(F.struct("v", "root")).alias("vs"))
+    few = few.select(F.explode("vs").alias("x"), "vs").select("x", F.explode("vs").alias("y")).where("x.v < y.v AND x.root <> y.root")
+    few = few.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
     long = met.where(F.col("n") > max_list)
     # the first hub is the set in the most company, which is what the copies are copies of; others are any
     company = long.groupBy("v").agg(F.sum("n").alias("company"))
-    hub = [F.max(F.struct("company", "v"))["v"]] + [F.min(F.struct(F.xxhash64("v", "key", F.lit(i)).alias("h"), "v"))["v"] for i in range(1, hubs)]
+    own = F.struct("v", "root")
+    hub = [F.max_by(own, F.struct("company", "v"))] + [F.min_by(own, F.struct(F.xxhash64("v", "key", F.lit(i)).alias("h"), "v")) for i in range(1, hubs)]
     chosen = long.join(company, "v").groupBy("key").agg(F.array(*hub).alias("hubs"))
-    far = long.join(chosen, "key").select("v", F.explode("hubs").alias("hub")).where("v <> hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b"))
+    far = long.join(chosen, "key").select("v", "root", F.explode("hubs").alias("hub")).where("root <> hub.root")
+    far = far.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b"))
     return materialise(few.unionByName(far).distinct(), "shingle-pairs"), long.select("key", "v")
 
 
-def _sets(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, seed: int, broadcast_rows: int) -> DataFrame:
-    """(v, s): the shingles of each text set that is in a pair."""
-    wanted = pairs.select("a").union(pairs.select("b")).select(F.col("a").alias("v")).distinct().join(reps, "v").select("v", F.col("rep.hash").alias("hash"))
+def _sets(wanted: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, seed: int, broadcast_rows: int) -> DataFrame:
+    """(v, s): the shingles of each text set wanted."""
+    wanted = wanted.distinct().join(reps, "v").select("v", F.col("rep.hash").alias("hash"))
     wanted = materialise(wanted, "shingle-wanted")
     small = wanted.count() <= broadcast_rows
     found = texts.join(F.broadcast(wanted) if small else wanted, "hash").select("v", "text")
@@ -181,16 +216,20 @@ def similar_groups(
     seed: int = 42,
     max_list: int = 8,
     hubs: int = 2,
+    radius: int = 4,
     broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per document: (id, hash, component, keep), as ``simhash_dedup.near_duplicates`` gives them."""
     texts = id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
-    rows = materialise(texts.mapInArrow(_rows(shingle, seed), "id long, hash long, v long, keys array<long>"), "shingle-rows")
+    rows = materialise(texts.mapInArrow(_rows(shingle, seed), "id long, hash long, v long, fp long, keys array<long>"), "shingle-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash"))
-    reps = materialise(rows.groupBy("v").agg(first.alias("rep"), F.first("keys").alias("keys")), "shingle-reps")
-    pairs, long = _candidates(reps, max_list, hubs)
-    sets = _sets(pairs, reps, texts, shingle, seed, broadcast_rows)
-    links = _similar(pairs, sets, least)
+    reps = materialise(rows.groupBy("v").agg(first.alias("rep"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "shingle-reps")
+    near, met = _fingerprint_pairs(reps, radius), _lists(reps)
+    wanted = near.select(F.explode(F.array("a", "b")).alias("v")).unionByName(met.select("v"))
+    sets = _sets(wanted, reps, texts, shingle, seed, broadcast_rows)
+    groups = components(_similar(near, sets, least))
+    pairs, long = _candidates(met, groups, max_list, hubs)
+    links = groups.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(_similar(pairs, sets, least))
     roots = components(links)
     apart = _apart(long, roots, sets, pairs, least)
     if apart is not None and not apart.isEmpty():

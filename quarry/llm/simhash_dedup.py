@@ -47,7 +47,11 @@ def fingerprint_bytes(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     first, last = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(first))
+    return fingerprint_of(np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(first)))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of the shingles' hashes, repeats included: a bit is set if it is in more than half of them."""
     sums = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)

@@ -90,3 +90,22 @@ def test_a_family_of_copies_makes_few_pairs(spark):
         S._similar, S._apart = similar, apart
     assert {r.id for r in found if r.keep} == plain_kept(dict(enumerate(texts)))
     assert sum(made) < 25 * len(texts)  # all pairs are 600 a text
+
+
+def test_the_simhash_index_finds_candidates_and_similarity_decides(spark, monkeypatch):
+    import numpy as np
+
+    from quarry.llm import shingle_dedup as S
+    from quarry.llm import simhash_dedup
+
+    # no two texts share a min-hash key here: what is found is found by the index of fingerprints
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(S, "band_keys", lambda hashes: rng.integers(-(2**63), 2**63, S.BANDS))
+    base = [f"b{i}" for i in range(300)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["end"]), " ".join([*base, *base[:40]]), "a b c d e f", "other words stand here now"]
+    asked, index = [], simhash_dedup.fingerprint_links
+    monkeypatch.setattr(simhash_dedup, "fingerprint_links", lambda fps, radius: (asked.append(radius), index(fps, radius))[1])
+    found = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), radius=6).collect()
+    a, b = (simhash_dedup.fingerprint_of(S.shingle_hashes(texts[i].encode())) for i in (0, 1))
+    assert asked == [6] and (a ^ b).bit_count() <= 6
+    assert {r.id for r in found if r.keep} == plain_kept(dict(enumerate(texts))) and 1 not in {r.id for r in found if r.keep}
