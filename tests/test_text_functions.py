@@ -120,3 +120,13 @@ def test_hashes(spark):
     assert a != b and len(a) == 64
     assert hashing.config_hash({"a": 1, "b": 2}) == hashing.config_hash({"b": 2, "a": 1})
     assert one(spark, hashing.signature(b"k"), "text") != one(spark, hashing.signature(b"j"), "text")
+
+
+def test_characters_of_a_class_are_counted_without_a_list_of_them(spark):
+    odd = ["", None, "אב גd 12", "a\nb\r\n𐐷é^-]", "no-digits", "Ã¤Â", "שלום " * 50]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    for pattern in (r"\p{L}", T.HEBREW, "[A-Za-z]", T.SUSPECT, "[؀-ۿ]", "[^\x00-ɏ]", r"[\p{L}0-9]"):
+        slow = F.regexp_count("x", F.lit(pattern))
+        assert all(r[0] == r[1] for r in df.select(T.count_of(F.col("x"), pattern), slow).collect()), pattern
+    assert "regexp_count" not in str(T.letter_count(F.col("x"))) + str(T.hebrew_ratio(F.col("x"))) + str(T.language_by_letters(F.col("x")))
+    assert [r[0] for r in df.select(T.hebrew_ratio(F.col("x"))).collect()] == [0.0, 0.0, 0.75, 0.0, 0.0, 0.0, 1.0]
