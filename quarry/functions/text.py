@@ -96,7 +96,7 @@ def language_by_letters(c: Column, first: int = 5000) -> Column:
     """``he`` or ``en`` by which letters prevail at the beginning; ``unknown`` without either."""
     head = F.substring(c, 1, first)
     he, en = count_of(head, HEBREW), count_of(head, "[A-Za-z]")
-    return F.when((he == 0) & (en == 0), "unknown").when(he >= en, "he").otherwise("en")
+    return F.when(en > he, "en").when(he > 0, "he").when(he == 0, "unknown").otherwise("en")
 
 
 def dominant_rtl(c: Column) -> Column:
@@ -113,13 +113,18 @@ def ascii_quotes(c: Column) -> Column:
     return F.translate(c, *ASCII_QUOTES)
 
 
+def _translated(c: Column, of: str, to: str) -> Column:
+    """``F.translate``, which takes a text character by character, only where there is something to translate."""
+    return F.when(c.rlike(f"[{of}]"), F.translate(c, of, to)).otherwise(c)
+
+
 def normalize_for_index(c: Column) -> Column:
-    text = F.translate(F.translate(ascii_quotes(strip_points(c)), "־", "-"), *FINALS)
-    return strip(F.regexp_replace(text, r"[ \t]+", " "))
+    text = _translated(strip_points(c), ASCII_QUOTES[0] + "־" + FINALS[0], ASCII_QUOTES[1] + "-" + FINALS[1])
+    return strip(F.regexp_replace(text, r"\t[ \t]*+| [ \t]++", " "))  # single spaces stay as they are
 
 
 def normalize_for_embedding(c: Column, fold_finals: bool = False) -> Column:
-    text = F.replace(F.translate(strip_points(c), "“”„″‘’′", "\"\"\"\"'''"), F.lit('"'), F.lit("״"))
+    text = F.replace(_translated(strip_points(c), "“”„″‘’′", "\"\"\"\"'''"), F.lit('"'), F.lit("״"))
     return F.translate(text, *FINALS) if fold_finals else text
 
 

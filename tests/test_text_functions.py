@@ -130,3 +130,14 @@ def test_characters_of_a_class_are_counted_without_a_list_of_them(spark):
         assert all(r[0] == r[1] for r in df.select(T.count_of(F.col("x"), pattern), slow).collect()), pattern
     assert "regexp_count" not in str(T.letter_count(F.col("x"))) + str(T.hebrew_ratio(F.col("x"))) + str(T.language_by_letters(F.col("x")))
     assert [r[0] for r in df.select(T.hebrew_ratio(F.col("x"))).collect()] == [0.0, 0.0, 0.75, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_normal_forms_translate_once(spark):
+    odd = ["", None, " a  b\tc \t d ", "“שלום”  ׳ץ׳ ־ ף", "plain text, nothing to do", "\t\tx\t", "''׳׳ ״", "ךםןףץ„″‘’′"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    c = F.col("x")
+    slow = F.translate(F.translate(T.ascii_quotes(T.strip_points(c)), "־", "-"), *T.FINALS)
+    was = T.strip(F.regexp_replace(slow, r"[ \t]+", " "))
+    shown = F.replace(F.translate(T.strip_points(c), "“”„″‘’′", "\"\"\"\"'''"), F.lit('"'), F.lit("״"))
+    assert all(r[0] == r[1] and r[2] == r[3] for r in df.select(T.normalize_for_index(c), was, T.normalize_for_embedding(c), shown).collect())
+    assert str(T.normalize_for_index(c)).count("translate(") == 1
