@@ -37,6 +37,16 @@ def _pages(spark, sf_dir):
     return docs.select(c("doc_id").alias("page_id"), F.concat(F.lit("doc "), c("doc_id").cast("string")).alias("title"), text.alias("text"))
 
 
+def _lines(spark, pages):
+    """The parsed lines, written out and read back: several steps read them, and each would parse the pages anew."""
+    from ..streaming.incremental import work_dir
+
+    path = work_dir(spark, "law-lines")
+    lines = wikitext.law_lines(pages)
+    lines.write.parquet(path)
+    return spark.read.schema(lines.schema).parquet(path)
+
+
 LINES = r"""l AS (SELECT doc_id AS page, unnest(ls) AS x, unnest(range(len(ls)))::INTEGER AS i FROM (SELECT doc_id,
       list_filter(list_transform(string_split(regexp_replace(text, '[^\p{L}\p{N}.,;:!? \n-]', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents)),
     t AS (SELECT page, i, i // 7 AS k, i % 7 AS r, x, CASE i % 7 WHEN 3 THEN x || ' see' || chr(10) || (i + 1) WHEN 4 THEN '(' || (i + 1) || ') ' || x WHEN 5 THEN '(' || (i + 1) || ') ' || x ELSE x END AS shown FROM l),
@@ -47,7 +57,7 @@ LINES = r"""l AS (SELECT doc_id AS page, unnest(ls) AS x, unnest(range(len(ls)))
 
 @P.add(f"WITH {LINES} SELECT page, row_number() OVER (PARTITION BY page ORDER BY k, part) AS block, kind, number, title, chapter, text FROM s")
 def law_page_sections(spark, sf_dir):
-    lines = wikitext.law_lines(_pages(spark, sf_dir))
+    lines = _lines(spark, _pages(spark, sf_dir))
     return law_pages.sections(law_pages.placed_lines(lines)).select("page", "block", "kind", "number", "title", "chapter", "text")
 
 
@@ -63,14 +73,14 @@ def law_page_sections(spark, sf_dir):
 def law_page_records(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     odd = F.element_at("unknown", 1)["n"]
-    return law_pages.law_records(pages, wikitext.law_lines(pages)).select("page", "title", F.when(c("unknown").isNotNull(), odd).alias("odd"), "parsed", F.sha2("text", 256).alias("text_sha256"))
+    return law_pages.law_records(pages, _lines(spark, pages)).select("page", "title", F.when(c("unknown").isNotNull(), odd).alias("odd"), "parsed", F.sha2("text", 256).alias("text_sha256"))
 
 
 @P.add()
 def law_chunks(spark, sf_dir):
     """Chunks of the law pages; tests/test_tree_chunks.py holds them against the sections they come from."""
     pages = _pages(spark, sf_dir)
-    blocks = law_pages.sections(law_pages.placed_lines(wikitext.law_lines(pages)))
+    blocks = law_pages.sections(law_pages.placed_lines(_lines(spark, pages)))
     return tree_chunks.law_chunks(pages.select(c("page_id").alias("page"), "title"), blocks, 120, 20)
 
 

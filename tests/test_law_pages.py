@@ -233,3 +233,19 @@ def test_a_page_with_everything(spark):
     assert (done.id, done.law_id, done.law_id_source, done.status, done.effective_date) == ("wikisource:7", 2000292, "id", "repealed", "1973-05-01")
     done = law_pages.corpus_records(law_pages.law_records(pages, law_lines(pages)), registry.where("law_id = 5")).first()
     assert (done.law_id, done.effective_date, done.notes) == (None, "1973-01-01", ["effective_date is the year in the title"])
+
+
+def test_pages_are_parsed_once_and_small_pages_share_batches(spark, sf_dir):
+    from quarry.plans import laws
+    from quarry.sources import wikitext
+
+    for name in ("law_page_sections", "law_page_records", "law_chunks"):
+        plan = laws.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan  # the lines were written before
+    pages = spark.createDataFrame([(i, f"{{{{ח:סעיף|{i}.|t}}}} one\ntwo\n\nthree") for i in range(500)] + [(500, None), (501, "")], "page_id long, text string").coalesce(1)
+    lines = wikitext.law_lines(pages)
+    sizes = lines.mapInArrow(lambda batches: (b.select(["line"]).slice(0, 1) for b in batches), "line int").count()
+    got = {}
+    for r in lines.collect():
+        got.setdefault(r.page, []).append((r.line, r.kind, r.text))
+    assert got == {i: [(0, "section", "one"), (1, "text", "two"), (2, "text", "three")] for i in range(500)} and sizes < 500
