@@ -48,11 +48,13 @@ def derive_sidecar(path: Column, text: Column, modified: Column) -> Column:
 
 
 def with_sidecar(sources: DataFrame, sidecars: DataFrame, path: str, text: str, modified: str) -> DataFrame:
-    """Sources with the values of their sidecar, or derived ones."""
-    own = derive_sidecar(F.col(path), F.col(text), F.col(modified))
-    s = sidecars.select(F.col(path).alias("__path"), *[F.col(c).alias(f"__{c}") for c in ("law_id", "law_name", "start", "kind", "language")])
-    joined = sources.withColumn("__own", own).join(s, F.col(path) == F.col("__path"), "left")
-    return joined.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(f"__own.{c}")) for c in ("law_id", "law_name", "start", "kind", "language")}).drop("__own", "__path", *[f"__{c}" for c in ("law_id", "law_name", "start", "kind", "language")])
+    """Sources with the values of their sidecar, or derived ones; a text is looked at only where its sidecar leaves a value open."""
+    fields = ["law_id", "law_name", "start", "kind", "language"]
+    s = sidecars.select(F.col(path).alias("__path"), *[F.col(c).alias(f"__{c}") for c in fields])
+    joined = sources.join(s, F.col(path) == F.col("__path"), "left")
+    open_ = F.greatest(*[F.col(f"__{c}").isNull().cast("int") for c in fields]) == 1
+    joined = joined.withColumn("__own", F.when(open_, derive_sidecar(F.col(path), F.col(text), F.col(modified))))
+    return joined.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(f"__own.{c}")) for c in fields}).drop("__own", "__path", *[f"__{c}" for c in fields])
 
 
 def is_case_file(path: Column, suffixes: list[str]) -> Column:

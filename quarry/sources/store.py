@@ -100,7 +100,8 @@ class BucketedTable:
         for family, rows in family_rows.items():
             target = f"{self.root}/{family}/v={version}"
             rows = rows.select(*self.key, *self.families[family])
-            rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(target)
+            # a large bucket is written by several tasks, small ones are not split
+            rows.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").mode("overwrite").parquet(target)
             fs, p = _path(self.spark, target)
             written = {int(n[7:]) for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("bucket=")}
             kept = {b: v for b, v in m["files"].get(family, {}).items() if int(b) not in touched}
@@ -111,9 +112,11 @@ class BucketedTable:
     def _applied(self, m: dict, batch: int | None) -> bool:
         return batch is not None and m["batch"] is not None and m["batch"] >= batch
 
-    def upsert(self, rows: DataFrame, batch: int | None = None, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> set[int]:
+    def upsert(self, rows: DataFrame, batch: int | None = None, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None, leaving: DataFrame | None = None) -> set[int]:
         """New rows replace those of their key, or ``merge(old, new)`` says what becomes of the touched buckets' rows.
 
+        The rows of the keys ``leaving`` go from all families in the same change, which writes a bucket once.
+
         ``rows`` holds the columns of all families, or of some: then keys that the table hasn't got are left out.  A ``batch`` that was applied
         before changes nothing.  Keys of ``rows`` must be distinct unless ``merge`` makes them so.  Returns the buckets written.
         """
@@ -125,7 +128,13 @@ class BucketedTable:
             raise ValueError("rows have the columns of no family")
         if merge is not None and len(self.families) > 1:
             raise ValueError("merge needs a table of one family")
+        if leaving is not None and (merge is not None or len(named) < len(self.families)):
+            raise ValueError("rows leave with a change of all families only")
         rows, touched = self._checked(rows)
+        gone = rows.select(*self.key)
+        if leaving is not None:
+            leaving, more = self._checked(leaving.select(*self.key))
+            gone, touched = gone.unionByName(leaving), touched | more
         if len(named) < len(self.families):
             there = self._family(m, next(f for f in self.families if f not in named), touched)
             rows = rows.limit(0) if there is None else rows.join(there.select(*self.key), self.key, "left_semi")
@@ -136,7 +145,7 @@ class BucketedTable:
             if merge is not None:
                 new = merge(old if old is not None else new.limit(0), new)
             elif old is not None:
-                new = old.join(rows.select(*self.key), self.key, "left_anti").unionByName(new)
+                new = old.join(gone, self.key, "left_anti").unionByName(new)
             changed[family] = new
         self._commit(m, changed, touched, batch)
         return touched

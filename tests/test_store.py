@@ -111,3 +111,41 @@ def test_uploads_and_review(spark, tmp_path):
     said = spark.createDataFrame([("p", "3", "approved", "me", ""), ("p", "1", "approved", "me", ""), ("z", "9", "approved", "me", "")], "path string, sha string, status string, reviewer string, reason string")
     assert {r.path + r.sha for r in folders.review(staged, said).collect()} == {"p1", "z9"}
     assert status() == {("p", "1"): "rejected", ("p", "3"): "approved", ("q", "2"): "pending"}
+
+
+def test_rows_leave_with_a_change(spark, tmp_path):
+    t = BucketedTable(spark, str(tmp_path / "t"), ["k"], {"a": ["x"], "b": ["y"]}, 2)
+    rows = lambda *r: spark.createDataFrame(r, "k long, x long, y long")
+    t.upsert(rows(*[(i, i, i) for i in range(8)]))
+    t.upsert(rows((7, 70, 70), (9, 90, 90)), leaving=rows((0, 0, 0), (7, 0, 0), (99, 0, 0)))
+    assert {tuple(r) for r in t.read().collect()} == {(i, i, i) for i in range(1, 7)} | {(7, 70, 70), (9, 90, 90)}
+    assert t.manifest()["version"] == 2  # each bucket was written once
+
+
+def test_pieces_need_no_shuffle(spark):
+    texts = ["a" * 999 + "\nb\n\nc", "x" * 2500 + "\ny", "\n" * 1500 + "z", "  \n ", "", None, "\n".join(str(i) for i in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = folders.pieces(rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for i, text in enumerate(texts):
+        start, parts = 0, {}
+        for line in [] if text is None else text.split("\n"):
+            parts.setdefault(start // 1000, []).append(line)
+            start += len(line) + 1
+        want |= {(i, n, "\n".join(p)) for n, p in parts.items() if "\n".join(p).strip(" ")}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_folder_texts_are_asked_for_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        asked.add(1)
+        return text
+
+    df = listed(spark, [law(str(i), f"text {i}", "law", 2000 + i) for i in range(5)]).withColumn("text", seen.asNondeterministic()("text"))
+    index = folders.FolderIndex(spark, str(tmp_path / "i"), 2)
+    assert index.run(df).count() == 5 and asked.value == 5
+    assert {r.text for r in index.chunks.read().collect()} == {f"text {i}" for i in range(5)}
