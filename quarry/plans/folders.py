@@ -49,9 +49,11 @@ def folder_actions(spark, sf_dir):
     CASE WHEN k = 1 THEN text || chr(10) || 'changed' ELSE text END AS text FROM f WHERE k <> 0 AND (trim(text) <> '' OR k = 1) WINDOW w AS (PARTITION BY law_id ORDER BY start)"""
 )
 def folder_versions(spark, sf_dir):
-    rows = _indexed(spark, sf_dir)[0].chunks.read()
+    chunks = _indexed(spark, sf_dir)[0].chunks
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n")
-    return rows.groupBy("law_id", "start", "end", "status").agg(whole.alias("text")).select("law_id", c("start").cast("string").alias("start"), c("end").cast("string").alias("end"), "status", "text")
+    texts = chunks.read(["text"]).groupBy("law_id", "start").agg(whole.alias("text"))
+    # all chunks of a version have its end and status
+    return texts.join(chunks.read(["meta"]).select("law_id", "start", "end", "status").distinct(), ["law_id", "start"]).select("law_id", c("start").cast("string").alias("start"), c("end").cast("string").alias("end"), "status", "text")
 
 
 @P.add(
