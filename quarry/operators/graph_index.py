@@ -47,19 +47,18 @@ def neighbour_graph(x: np.ndarray, degree: int, sample: int, seed: int, block: i
 
 def best_first(x: np.ndarray, links: list[np.ndarray], entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, scores, visited): the ``beam`` best rows found for each query (-1 where fewer), and how many rows each looked at."""
-    n, many, widest = len(x), len(queries), max((len(v) for v in links), default=1) or 1
-    table = np.full((n, widest), -1, np.int32)
-    for i, v in enumerate(links):
-        table[i, : len(v)] = v
+    n, many, width = len(x), len(queries), max(beam, 1)
+    degree = np.array([len(v) for v in links], np.int64)
+    first, ends = np.cumsum(degree) - degree, np.concatenate([np.empty(0, np.int32), *links]).astype(np.int64)
     seen = np.zeros((many, n), bool)
     seen[:, entries] = True
     scores = queries @ x[entries].T
-    width = max(beam, 1)
     places = np.full((many, width), -1, np.int64)
     best = np.full((many, width), -np.inf, np.float32)
     order = np.argsort(-scores, axis=1)[:, :width]
     places[:, : order.shape[1]] = entries[order]
     best[:, : order.shape[1]] = np.take_along_axis(scores, order, 1)
+    worst = best.min(1)
     done = places < 0  # expanded, or nothing there
     active = np.arange(many)
     while len(active):
@@ -69,15 +68,33 @@ def best_first(x: np.ndarray, links: list[np.ndarray], entries: np.ndarray, quer
             break
         at = np.where(~done[active], best[active], -np.inf).argmax(1)
         done[active, at] = True
-        to = table[places[active, at]]
-        fresh = (to >= 0) & ~seen[active[:, None], np.maximum(to, 0)]
-        seen[np.repeat(active, widest)[fresh.reshape(-1)], to[fresh]] = True
-        found = np.where(fresh, np.einsum("ad,agd->ag", queries[active], x[np.maximum(to, 0)]), -np.inf)
-        both = np.concatenate([best[active], found], 1)
+        # links side by side, however many each row has; only rows not yet looked at are scored
+        node = places[active, at]
+        each = degree[node]
+        query = np.repeat(active, each)
+        to = ends[np.arange(each.sum()) + np.repeat(first[node] - np.cumsum(each) + each, each)]
+        fresh = ~seen.reshape(-1)[query * n + to]
+        query, to = query[fresh], to[fresh]
+        seen.reshape(-1)[query * n + to] = True
+        found = np.empty(len(to), np.float32)
+        for i in range(0, len(to), 1 << 16):  # what is gathered at once is bounded
+            found[i : i + (1 << 16)] = np.einsum("gd,gd->g", queries[query[i : i + (1 << 16)]], x[to[i : i + (1 << 16)]])
+        better = found > worst[query]
+        query, to, found = query[better], to[better], found[better]
+        if not len(query):
+            continue
+        own, count = np.unique(query, return_counts=True)
+        row = np.repeat(np.arange(len(own)), count)
+        column = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
+        more = np.full((len(own), count.max()), -np.inf, np.float32)
+        places_more = np.full(more.shape, -1, np.int64)
+        more[row, column], places_more[row, column] = found, to
+        both = np.concatenate([best[own], more], 1)
         keep = np.argpartition(-both, width - 1, axis=1)[:, :width]
-        best[active] = np.take_along_axis(both, keep, 1)
-        places[active] = np.take_along_axis(np.concatenate([places[active], np.where(fresh, to, -1)], 1), keep, 1)
-        done[active] = np.take_along_axis(np.concatenate([done[active], ~fresh], 1), keep, 1)
+        best[own] = np.take_along_axis(both, keep, 1)
+        places[own] = np.take_along_axis(np.concatenate([places[own], places_more], 1), keep, 1)
+        done[own] = np.take_along_axis(np.concatenate([done[own], places_more < 0], 1), keep, 1)
+        worst[own] = best[own].min(1)
     return places, best, seen.sum(1)
 
 

@@ -54,3 +54,19 @@ def test_query_recall_on_the_given_vectors(spark, sf_dir):
     got = {(r.query_id, r.id) for r in search.graph_topk(spark, sf_dir).collect()}
     want = {(r.query_id, r.id) for r in search._dense(spark, sf_dir).where(F.col("rank") <= 10).collect()}
     assert len(got & want) >= 0.95 * len(want)
+
+
+def test_links_are_not_padded_to_the_widest():
+    import tracemalloc
+
+    x = unit(clustered(4000, 6))
+    links = [np.array([j for j in (i - 1, i + 1) if 0 <= j < 2000], np.int32) for i in range(2000)]
+    links += [np.arange(2001, 4000, dtype=np.int32)] + [np.array([2000], np.int32)] * 1999  # a hub that the search doesn't reach
+    q = unit(clustered(100, 7))
+    tracemalloc.start()
+    places, scores, visited = best_first(x, links, np.array([0, 1000]), q, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6 and places.max() < 2000
+    assert np.allclose(np.einsum("ad,abd->ab", q, x[places])[places >= 0], scores[places >= 0], atol=1e-5)
+    assert best_first(x, [np.empty(0, np.int32)] * 4000, np.array([5]), q, 3)[0].max() == 5
