@@ -101,7 +101,8 @@ def similar_pairs(vectors: DataFrame, by: list[str], id_col: str, vector: str, l
     many = rows.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("__many"))
     packs = rows.join(many, by).groupBy(*by, F.pmod(F.xxhash64("__id"), F.col("__many")).cast("int").alias("__b")).agg(F.collect_list("__id").alias("ids"), F.collect_list("__v").alias("vs"))
     other = packs.select(*by, F.col("__b").alias("__c"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2"))
-    met = packs.join(other, by).where("__b <= __c").select(*by, "ids", "vs", "ids2", "vs2", (F.col("__b") == F.col("__c")).alias("same"))
+    same = F.col("__b") == F.col("__c")
+    met = packs.join(other, by).where("__b <= __c").select(*by, "ids", "vs", *[F.when(~same, F.col(x)).alias(x) for x in ("ids2", "vs2")], same.alias("same"))
     fields = {f.name: f for f in met.schema.fields}
     id_type = fields["ids"].dataType.elementType
     schema = StructType([fields[k] for k in by] + [StructField("a", id_type), StructField("b", id_type), StructField("similarity", DoubleType())])
@@ -111,11 +112,13 @@ def similar_pairs(vectors: DataFrame, by: list[str], id_col: str, vector: str, l
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for r in range(batch.num_rows):
-                left, right = (at[n][r].values for n in ("ids", "ids2"))
-                x, y = (at[n][r].values.flatten().to_numpy(zero_copy_only=False).reshape(len(at[n][r]), -1) for n in ("vs", "vs2"))
+                same = at["same"][r].as_py()
+                # a block meets itself in one list: the other copy of it may stand in another order
+                left, right = (at[n][r].values for n in ("ids", "ids" if same else "ids2"))
+                x, y = (at[n][r].values.flatten().to_numpy(zero_copy_only=False).reshape(len(at[n][r]), -1) for n in ("vs", "vs" if same else "vs2"))
                 s = x @ y.T
                 i, j = np.nonzero((s >= low) & (s <= high))
-                if at["same"][r].as_py():
+                if same:
                     i, j = i[i < j], j[i < j]
                 a, b = left.take(pa.array(i)), right.take(pa.array(j))
                 apart, turned = pc.not_equal(a, b), pc.greater(a, b)

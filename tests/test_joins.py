@@ -20,6 +20,21 @@ def test_rows_of_one_id_are_no_similar_pair(spark):
         assert sorted((r.a, r.b, round(r.similarity, 6)) for r in got) == [(1, 2, 0.6), (1, 2, 1.0)]
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_similar_pairs_do_not_depend_on_the_order_of_rows(spark, block):
+    """Blocks are put together twice, as after a shuffle of several executors in different orders."""
+    vectors = np.random.default_rng(5).normal(size=(60, 4))
+    df = spark.createDataFrame([("k", i, v.tolist()) for i, v in enumerate(vectors)], "k string, id long, v array<double>").coalesce(1)
+    mixed = df.mapInPandas(lambda parts: (p.sample(frac=1, random_state=np.random.default_rng()) for p in parts), df.schema)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = joins.similar_pairs(mixed, ["k"], "id", "v", 0.5, 2.0, block).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 0.5 <= vectors[i] @ vectors[j] <= 2.0}
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
+
+
 def test_parts_merge_in_order(spark, tmp_path):
     for n in range(3):
         spark.range(n * 10, n * 10 + 10).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
