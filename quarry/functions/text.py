@@ -113,18 +113,20 @@ def ascii_quotes(c: Column) -> Column:
     return F.translate(c, *ASCII_QUOTES)
 
 
-def _translated(c: Column, of: str, to: str) -> Column:
-    """``F.translate``, which takes a text character by character, only where there is something to translate."""
-    return F.when(c.rlike(f"[{of}]"), F.translate(c, of, to)).otherwise(c)
+def _pointed_or_quoted(c: Column) -> Column:
+    """Texts with a Hebrew character or a typographic quotation mark, by two ranges; texts of single bytes have none and are not looked through."""
+    return (F.octet_length(c) > F.length(c)) & c.rlike("[\u0590-\u05ff\u2018-\u2033]")
 
 
 def normalize_for_index(c: Column) -> Column:
-    text = _translated(strip_points(c), ASCII_QUOTES[0] + "־" + FINALS[0], ASCII_QUOTES[1] + "-" + FINALS[1])
+    plain = F.translate(strip_points(c), ASCII_QUOTES[0] + "־" + FINALS[0], ASCII_QUOTES[1] + "-" + FINALS[1])
+    text = F.when(_pointed_or_quoted(c), plain).otherwise(c)
     return strip(F.regexp_replace(text, r"\t[ \t]*+| [ \t]++", " "))  # single spaces stay as they are
 
 
 def normalize_for_embedding(c: Column, fold_finals: bool = False) -> Column:
-    text = F.replace(_translated(strip_points(c), "“”„″‘’′", "\"\"\"\"'''"), F.lit('"'), F.lit("״"))
+    plain = F.when(_pointed_or_quoted(c), F.translate(strip_points(c), "“”„″‘’′", "\"\"\"\"'''")).otherwise(c)
+    text = F.replace(plain, F.lit('"'), F.lit("״"))
     return F.translate(text, *FINALS) if fold_finals else text
 
 

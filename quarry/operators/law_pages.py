@@ -65,9 +65,7 @@ def sections(placed: DataFrame) -> DataFrame:
     """(page, block, line, kind, number, title, division, chapter, subchapter, note, intro, subsections, text)."""
     first = F.when(c("kind") == "section", c("label")).when((c("kind") == "preamble") | c("under").isNull(), F.lit("preamble")).otherwise(F.coalesce(F.nullif("under.label", F.lit("")), "under.title"))
     schedule = ~c("kind").isin("section", "preamble") & c("under").isNotNull()
-    heads = placed.where("starts").select(
-        "page",
-        "block",
+    head = F.struct(
         "line",
         F.when(c("kind") == "section", "section").when(schedule, "schedule").otherwise("preamble").alias("kind"),
         first.alias("number"),
@@ -77,17 +75,21 @@ def sections(placed: DataFrame) -> DataFrame:
         F.nullif(F.concat_ws(" > ", "h3.title", "h4.title"), F.lit("")).alias("subchapter"),
         "note",
     )
-    parts = placed.where("writes AND block > 0").groupBy("page", "block", "part").agg(
-        F.array_join(F.transform(_in_order("line", "text"), lambda x: x["text"]), "\n").alias("text"),
-        F.max(F.when(c("opens_part"), c("label"))).alias("label"),
+    # a block's head is gathered with its parts: rows that stand by page need no other shuffle, as a join by page and block would
+    parts = placed.where("starts OR writes AND block > 0").groupBy("page", "block", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("writes"), F.struct("line", "text")))), lambda x: x["text"]), "\n").alias("text"),
+        F.max(F.when(c("writes") & c("opens_part"), c("label"))).alias("label"),
+        F.max("writes").alias("written"),
+        F.max(F.when(c("starts"), head)).alias("head"),
     )
     stripped = _strip(c("text"))
-    parts = parts.groupBy("page", "block").agg(
-        F.max(F.when(c("part") == 0, stripped)).alias("intro"),
-        F.transform(F.array_sort(F.collect_list(F.when(c("part") > 0, F.struct("part", "label", "text")))), lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"))).alias("subsections"),
+    out = parts.groupBy("page", "block").agg(
+        F.max("head").alias("head"),
+        F.max(F.when(c("written") & (c("part") == 0), stripped)).alias("intro"),
+        F.transform(F.array_sort(F.collect_list(F.when(c("written") & (c("part") > 0), F.struct("part", "label", "text")))), lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"))).alias("subsections"),
     )
-    out = heads.join(parts, ["page", "block"], "left")
-    out = out.withColumns({"intro": F.coalesce("intro", F.lit("")), "subsections": F.coalesce("subsections", F.array().cast("array<struct<label:string,text:string>>"))})
+    out = out.select("page", "block", "head.*", "intro", "subsections")
+    out = out.withColumn("intro", F.coalesce("intro", F.lit("")))
     every = F.concat(F.filter(F.array("intro"), lambda x: x != ""), F.transform("subsections", lambda x: x["text"]))
     return out.withColumn("text", _strip(F.array_join(every, "\n")))
 

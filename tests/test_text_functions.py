@@ -1,5 +1,7 @@
 """Text functions on small rows in the languages that the given tables lack."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,17 @@ def test_normal_forms_translate_once(spark):
     shown = F.replace(F.translate(T.strip_points(c), "“”„″‘’′", "\"\"\"\"'''"), F.lit('"'), F.lit("״"))
     assert all(r[0] == r[1] and r[2] == r[3] for r in df.select(T.normalize_for_index(c), was, T.normalize_for_embedding(c), shown).collect())
     assert str(T.normalize_for_index(c)).count("translate(") == 1
+
+
+def test_normal_forms_of_marked_and_plain_texts(spark):
+    texts = ["", " ", "a  b\t c ", "plain", " é  x ", 'שָׁלוֹם "ab" ״כ״', "“q” ‘r’ „s‟ ′t″", "מלך־ם ", "é 'x'", "\n\ny\n", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    points = re.compile(T.POINTS)
+    marks = str.maketrans(T.ASCII_QUOTES[0] + "־" + T.FINALS[0], T.ASCII_QUOTES[1] + "-" + T.FINALS[1])
+    for r in df.select("t", T.normalize_for_index(F.col("t")).alias("x"), T.normalize_for_embedding(F.col("t")).alias("e")).collect():
+        if r.t is None:
+            assert r.x is None and r.e is None
+            continue
+        bare = points.sub("", r.t)
+        assert r.x == re.sub(r"\t[ \t]*| [ \t]+", " ", bare.translate(marks)).strip()
+        assert r.e == bare.translate(str.maketrans("“”„″‘’′", "\"\"\"\"'''")).replace('"', "״")

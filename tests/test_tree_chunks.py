@@ -82,3 +82,21 @@ def test_case_chunks_against_units(spark, sf_dir):
         rows.sort(key=lambda r: r.chunk)
         assert [r.chunk for r in rows] == list(range(rows[0].chunks)) and all(r.page_start <= r.page_end for r in rows)
         assert all(a.page_start <= b.page_start for a, b in zip(rows, rows[1:])) and all(r.text.startswith("Matter: ") for r in rows)
+
+
+def test_law_chunks_shuffle_the_lines_once(spark, sf_dir):
+    """Beside the titles: blocks, their parts and the numbers of repeated ids come where a page's lines stand."""
+    plan = laws.law_chunks(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(page#\d+L, \d+\)", plan)) <= 2 and plan.count("Exchange hashpartitioning") <= 2 and "SinglePartition" not in plan
+
+
+def test_repeated_ids_of_law_chunks_are_numbered(spark):
+    rows = [(p, b, "section", n, None, "x " * size, "", []) for p in (1, 2) for b, (n, size) in enumerate([("5", 3), ("5", 200), ("6", 2), ("5", 4), ("5", 120), (None, 1)])]
+    blocks = spark.createDataFrame(rows, "page long, block long, kind string, number string, title string, text string, intro string, subsections array<struct<label:string,text:string>>")
+    blocks = blocks.withColumns({k: F.lit(None).cast("string") for k in ("division", "chapter", "subchapter")}).repartition(3)
+    got = tree_chunks.law_chunks(spark.createDataFrame([(1, "a"), (2, "b")], "page long, title string"), blocks, 100).collect()
+    for p in (1, 2):
+        ids = sorted(r.chunk_id for r in got if r.page == p and r.chunk_id)
+        assert ids == sorted([f"{p}:5", f"{p}:5~2", f"{p}:6", *[f"{p}:5#p{i}" for i in (1, 2)], *[f"{p}:5#p{i}~2" for i in (1, 2)]])
+        assert [r.part for r in got if r.page == p and r.chunk_id is None] == [1]
+        assert len(next(r for r in got if r.chunk_id == f"{p}:5~2").text.split("\n\n")[1].split()) == 4
