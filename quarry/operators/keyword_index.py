@@ -7,19 +7,21 @@ A segment holds, for each term, its postings in blocks of ``BLOCK``, largest imp
 no task sorts all of one.  A block says its largest count and its shortest document, which bound its weights whatever the
 average length becomes as segments are added.  A search reads the first block of each list, takes the k-th best score
 found as a threshold, and then reads only the blocks whose bound, with the best that the query's other words can give,
-reaches it.  A document with a posting in a block left out is below the threshold, so the result is that of a full scan.
+reaches it for one of the queries; each block is read once for all of them, and its postings are dealt by documents, so that a task adds up whole scores.  A document with a posting in a block left out is below the threshold, so the result is that of a full scan.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -33,6 +35,10 @@ SHARD = 65_536  # postings of a term that one task sorts
 POSTINGS = "term string, df long, shard long, block int, most long, shortest int, n long, postings array<struct<id:long, tf:long, length:int>>, bucket int"
 COUNTS = "term string, postings array<struct<id:long, tf:long, length:int>>"
 TOKENS = 2_000_000  # words that are counted at a time
+DEALT = "part int, codes array<int>, ids array<long>, tfs array<int>, lengths array<int>"
+NO_ID = -(2**63)  # stands for a null id
+PACK = 4096  # queries that are searched for at a time
+PART = 4_000_000  # words of the documents that one task scores
 SLOTS = 8  # tasks that may write one bucket
 
 # Words that don't count, marks that are left out of words, and what is a word.
@@ -103,6 +109,75 @@ def _count_terms():
     return run
 
 
+def _deal(vocabulary: pa.Array, parts: int):
+    """(term, postings) -> the postings by parts of the documents: terms as their numbers, a row for each part of some lists at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ids, *numbers = lists.flatten().flatten()
+            ids, numbers = pc.fill_null(ids, NO_ID).to_numpy(), [x.to_numpy(zero_copy_only=False) for x in numbers]
+            code = np.repeat(pc.index_in(batch.column(0), value_set=vocabulary).to_numpy(), lists.value_lengths().to_numpy())
+            part = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+            order, many = np.argsort(part, kind="stable"), np.bincount(part.astype(np.int64), minlength=parts)
+            some = np.flatnonzero(many)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(many[some])]).astype(np.int32))
+            columns = [code.astype(np.int32), ids, *(x.astype(np.int32) for x in numbers)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in columns)], ["part", "codes", "ids", "tfs", "lengths"])
+
+    return run
+
+
+def _best_of_part(names: pa.Array, of: np.ndarray, forms: list[np.ndarray], idf: np.ndarray, average: float, k: int):
+    """(query_id, id, score): the best ``k`` of the task's documents for each query, by all postings of these.
+
+    ``of`` is the query of each word, in order, ``forms`` its terms.  Of equal scores the ``k`` smallest ids are enough; scores too near the
+    last one for their rounding to be told are all kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [[batch.column(i).flatten().to_numpy() for i in range(1, 5)] for batch in batches if batch.num_rows]
+        if not found:
+            return
+        code, ids, tf, length = (np.concatenate(x) for x in zip(*found))
+        del found
+        order = np.argsort(code, kind="stable")
+        code, tf, length = code[order], tf[order], length[order]
+        docs, row = np.unique(ids[order], return_inverse=True)
+        weight = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+        starts = np.searchsorted(code, np.arange(len(idf) + 1))
+        of_term = [slice(a, b) for a, b in zip(starts, starts[1:])]
+        merged: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def best_form(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if len(terms) == 1:
+                return row[of_term[terms[0]]], weight[of_term[terms[0]]]
+            if (known := merged.get(terms.tobytes())) is None:
+                rows, weights = (np.concatenate([x[of_term[t]] for t in terms]) for x in (row, weight))
+                by = np.lexsort((-weights, rows))
+                first = np.concatenate([[True], rows[by][1:] != rows[by][:-1]]) if len(by) else np.zeros(0, bool)
+                known = merged[terms.tobytes()] = rows[by][first], weights[by][first]
+            return known
+
+        ends = np.searchsorted(of, np.arange(len(names) + 1))
+        for query in range(len(names)):
+            words = [best_form(forms[g]) for g in range(ends[query], ends[query + 1])]
+            score = np.bincount(np.concatenate([r for r, _ in words]), np.concatenate([w for _, w in words]), len(docs))
+            hit = np.flatnonzero(score)
+            if not len(hit):
+                continue
+            if len(hit) > k:
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k] - 2e-9]
+                hit = hit[np.argsort(-score[hit], kind="stable")]
+                change = np.concatenate([[True], score[hit][1:] != score[hit][:-1]])
+                place = np.arange(len(hit))
+                hit = hit[place - np.maximum.accumulate(np.where(change, place, 0)) < k]
+            at = pa.array(docs[hit], mask=docs[hit] == NO_ID)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(hit), query))), at, pa.array(score[hit])], ["query_id", "id", "score"])
+
+    return run
+
+
 class KeywordIndex:
     """An index below ``root``.  ``terms`` gives the index terms of a text column, ``groups`` the word groups of a query's."""
 
@@ -168,44 +243,73 @@ class KeywordIndex:
         return found
 
     def _search(self, queries: DataFrame, query_id: str, query_text: str, k: int, full: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The hits, and the blocks that each query by itself would meet."""
         known = self.segments()
         n, total = sum(s["n"] for s in known), sum(s["total"] for s in known)
         average = total / n if n else 0.0
         asked = queries.select(c(query_id).alias("query_id"), F.posexplode(self.groups(c(query_text))).alias("word", "forms"))
         asked = asked.select("query_id", "word", F.explode("forms").alias("term"))
-        wanted = asked.select("term").distinct()
-        parts = None
+        blocks = None
         for number, s in enumerate(known):
             part = self.spark.read.schema(POSTINGS).parquet(f"{s['path']}/postings").withColumn("segment", F.lit(number))
-            parts = part if parts is None else parts.unionByName(part)
-        if parts is None:
+            blocks = part if blocks is None else blocks.unionByName(part)
+        if blocks is None:
             raise ValueError("the index has no segment")
-        mine = parts.join(F.broadcast(wanted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))), ["term", "bucket"])
-        # df over all segments: from the first block of each shard, one a segment
-        df = mine.groupBy("term", "segment").agg(F.max("df").alias("df")).groupBy("term").agg(F.sum("df").alias("__df"))
-        idf = df.select("term", F.log(1 + (n - c("__df") + 0.5) / (c("__df") + 0.5)).alias("idf"))
-        blocks = mine.join(F.broadcast(idf), "term").withColumn("bound", _weight(c("most"), c("shortest"), c("idf"), average))
-        asked_blocks = blocks.join(F.broadcast(asked), "term")
-
-        def scores(of: DataFrame) -> DataFrame:
-            each = of.select("query_id", "word", "idf", F.explode("postings").alias("p")).select("query_id", "word", c("p.id").alias("id"), _weight(c("p.tf"), c("p.length"), c("idf"), average).alias("w"))
-            # one shuffle serves both sums
-            best = each.repartition("query_id", "id").groupBy("query_id", "id", "word").agg(F.max("w").alias("w"))
-            return best.groupBy("query_id", "id").agg(F.sum("w").alias("score"))
-
-        if not full:
-            first = scores(asked_blocks.where("block = 0"))
-            nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-            least = first.withColumn("nth", nth).where(c("nth") == k).select("query_id", c("score").alias("least"))
-            best = asked_blocks.groupBy("query_id", "word").agg(F.max("bound").alias("best"))
-            every = best.groupBy("query_id").agg(F.sum("best").alias("all"))
-            limits = best.join(every, "query_id").join(least, "query_id", "left")
-            rest = c("all") - c("best")
-            asked_blocks = asked_blocks.join(F.broadcast(limits), ["query_id", "word"]).where(c("least").isNull() | (c("bound") + rest >= c("least") - F.lit(1e-9) * c("all")))
+        packs = max(1, -(-queries.count() // PACK))
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+        hits, met = [], []
+        for number in range(packs):
+            pack = asked if packs == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(packs)) == number)
+            for out, df in zip((hits, met), self._search_pack(blocks, pack, n, average, parts, k, full)):
+                out.append(df)
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-        ranked = scores(asked_blocks).withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
-        return ranked.select("query_id", "rank", "id", "score"), asked_blocks
+        ranked = reduce(DataFrame.unionByName, hits).withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
+        return ranked.select("query_id", "rank", "id", "score"), reduce(DataFrame.unionByName, met)
+
+    def _search_pack(self, blocks: DataFrame, asked: DataFrame, n: int, average: float, parts: int, k: int, full: bool) -> tuple[DataFrame, DataFrame]:
+        kind = asked.schema["query_id"]
+        words = asked.toArrow().combine_chunks()
+        column = lambda name: pa.concat_arrays(words[name].chunks) if words[name].num_chunks else pa.array([], words.schema.field(name).type)
+        names, vocabulary = pc.unique(column("query_id")), pc.unique(column("term"))
+        query, term = (pc.index_in(column(x), value_set=of).to_numpy() for x, of in (("query_id", names), ("term", vocabulary)))
+        # a group is a word of a query with its forms
+        groups, group = np.unique(np.stack([query, column("word").to_numpy()]).astype(np.int64), axis=1, return_inverse=True)
+        of, group = groups[0], group.reshape(-1)
+        hashed = lambda t: t.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        table = lambda **x: self.spark.createDataFrame(pa.table({"term": vocabulary.cast(pa.string())} | x))
+        mine = blocks.join(F.broadcast(hashed(table())), ["term", "bucket"])
+        # df over all segments: from the first block of each shard, one a segment; and the largest weight of a list but for its idf
+        factor = _weight(c("most"), c("shortest"), F.lit(1.0), average)
+        heads = mine.groupBy("term", "segment").agg(F.max("df").alias("df"), F.max(factor).alias("factor")).groupBy("term").agg(F.sum("df").alias("df"), F.max("factor").alias("factor")).toArrow()
+        df, most = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+        at = pc.index_in(heads["term"], value_set=vocabulary).to_numpy()
+        df[at], most[at] = heads["df"].to_numpy(), heads["factor"].to_numpy()
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        forms = np.split(term[np.argsort(group, kind="stable")], np.cumsum(np.bincount(group, minlength=len(of)))[:-1]) if len(of) else []
+        schema = StructType([kind, StructField("id", LongType(), True), StructField("score", DoubleType(), False)])
+
+        def scores(some: DataFrame) -> DataFrame:
+            dealt = some.select("term", "postings").mapInArrow(_deal(vocabulary, parts), DEALT).repartitionById(parts, c("part"))
+            return dealt.mapInArrow(_best_of_part(names, of, [np.unique(f) for f in forms], idf, average or 1.0, k), schema)
+
+        floor = np.full(len(of), -np.inf)
+        if not full and len(of):
+            nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+            first = scores(mine.where("block = 0")).withColumn("nth", nth).where(c("nth") == k).select("query_id", "score").toArrow()
+            least = np.full(len(names), -np.inf)
+            least[pc.index_in(first["query_id"], value_set=names).to_numpy()] = first["score"].to_numpy()
+            best = np.zeros(len(of))
+            np.maximum.at(best, group, idf[term] * most[term])
+            every = np.bincount(of, best, len(names))
+            floor = least[of] - 1e-9 * every[of] - (every[of] - best)
+        lowest = np.full(len(vocabulary), np.inf)
+        np.minimum.at(lowest, term, floor[group])
+        bound = _weight(c("most"), c("shortest"), c("idf"), average)
+        # a list is read once for all queries: what one of them needs can only complete the scores of another
+        needed = mine.join(F.broadcast(table(idf=idf, floor=lowest)), "term").where(bound >= c("floor"))
+        each = self.spark.createDataFrame(pa.table({"term": column("term").cast(pa.string()), "idf": idf[term], "floor": floor[group]}))
+        return scores(needed), mine.join(F.broadcast(each), "term").where(bound >= c("floor")).select("term", "segment", "shard", "block", "n")
 
     def postings_read(self, queries: DataFrame, query_id: str, query_text: str, k: int, full: bool = False) -> int:
-        """How many postings a search meets."""
+        """How many postings the queries meet, each by itself."""
         return self._search(queries, query_id, query_text, k, full)[1].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

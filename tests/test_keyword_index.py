@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,18 @@ def test_counts_of_few_words_at_a_time_and_repeated_ids(spark, tmp_path, monkeyp
     blocks = spark.read.schema(K.POSTINGS).parquet(index.segments()[0]["path"] + "/postings").where("term = 'common'").collect()
     assert sorted(p.id for b in blocks for p in b.postings) == list(range(200)) and {b.df for b in blocks} == {200} and max(len(b.postings) for b in blocks) == 8
     assert len({b.shard for b in blocks}) == 5 and all(b.n == len(b.postings) and b.most == max(p.tf for p in b.postings) for b in blocks)
+
+
+def test_a_search_shuffles_no_row_for_each_query_and_word(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "PACK", 7)
+    docs = [(i, f"copy of many {'more' * (i % 2)}") for i in range(300)] + [(900 + i, f"w{chr(97 + i % 26)} other") for i in range(60)] + [(None, "nameless")]
+    index = K.KeywordIndex(spark, str(tmp_path / "k"), K.T.index_terms, K.one_form_groups, 4)
+    index.add(spark.createDataFrame(docs, "id long, text string"), "id", "text")
+    asked = spark.createDataFrame([(q, "copy of many" if q % 2 else "nameless other wc") for q in range(20)] + [(30, "absent")], "q long, text string")
+    found = index.search(asked, "q", "text", 4)
+    assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, id#", found._jdf.queryExecution().executedPlan().toString())
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    # of equal scores the smallest ids, from whatever task; queries of several packs
+    assert got == {q: [0, 2, 4, 6] if q % 2 else [None, 902, 928, 954] for q in range(20)}
