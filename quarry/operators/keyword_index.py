@@ -63,7 +63,9 @@ def word_groups(text: Column, prefixes=tuple(T.PREFIXES), stop=STOP_WORDS) -> Co
 
     def forms(w: Column) -> Column:
         cut = [F.when(w.startswith(p) & (F.length(w) - len(p) >= 3) & ~w.rlike(r"^\d"), F.substr(w, F.lit(len(p) + 1))) for p in prefixes]
-        return F.array_distinct(F.filter(F.array(w, *cut), lambda f: f.isNotNull() & ~f.isin(*stop)))
+        several = F.array_distinct(F.filter(F.array(w, *cut), lambda f: f.isNotNull() & ~f.isin(*stop)))
+        # most words have no prefix, and are their only form
+        return F.when(reduce(lambda a, b: a | b, map(w.startswith, prefixes)), several).otherwise(F.array(w)) if prefixes else F.array(w)
 
     return F.transform(F.filter(words(text), lambda w: ~w.isin(*stop)), forms)
 
@@ -109,6 +111,49 @@ def _count_terms():
     return run
 
 
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The sorted rows with all of a term and shard together: the last ones of a batch wait for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in filter(lambda b: b.num_rows, batches):
+        term, shard = batch.column(0), batch.column(2)
+        last = batch.num_rows - pc.sum(pc.and_(pc.equal(term, term[-1]), pc.equal(shard, shard[-1]))).as_py()
+        if last:
+            yield [*held, batch.slice(0, last)]
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield held
+
+
+def _cut(average: float, block: int):
+    """(term, df, shard, bucket, postings), sorted by bucket, term and shard -> blocks of the lists, largest impact first; ``df`` is null where it is the length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_lists(batches):
+            term, df, shard, bucket, lists = (pa.concat_arrays([b.column(i) for b in whole]) for i in range(5))
+            code, part = term.dictionary_encode().indices.to_numpy(), shard.to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (part[1:] != part[:-1])]))
+            sizes = lists.value_lengths().to_numpy()
+            many = np.add.reduceat(sizes, first).astype(np.int64)
+            of = np.repeat(np.arange(len(first)), many)
+            ids, tf, length = lists.flatten().flatten()
+            counts, lengths = tf.to_numpy(), length.to_numpy()
+            impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths / average))
+            order = np.lexsort((pc.fill_null(ids, NO_ID).to_numpy(), -impact, of))
+            place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            starts = np.flatnonzero(place % block == 0)
+            if not len(starts):
+                continue
+            at, where = pa.array(order), pa.array(first[of[starts]])
+            df = pc.coalesce(df.take(where), pa.array(many[of[starts]]))
+            postings = pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)).astype(np.int32)), pa.StructArray.from_arrays([x.take(at) for x in (ids, tf, length)], ["id", "tf", "length"]))
+            most, shortest = np.maximum.reduceat(counts[order], starts), np.minimum.reduceat(lengths[order], starts)
+            columns = [term.take(where), df, shard.take(where), pa.array((place[starts] // block).astype(np.int32)), pa.array(most), pa.array(shortest)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(np.append(starts, len(of)))), postings, bucket.take(where)], ["term", "df", "shard", "block", "most", "shortest", "n", "postings", "bucket"])
+
+    return run
+
+
 def _deal(vocabulary: pa.Array, parts: int):
     """(term, postings) -> the postings by parts of the documents: terms as their numbers, a row for each part of some lists at a time."""
 
@@ -220,18 +265,8 @@ class KeywordIndex:
         lists = lists.withColumn("postings", F.when(c("shards") > 1, mine).otherwise(c("postings")))
         lists = lists.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).withColumn("slot", F.pmod(F.xxhash64("term", F.lit(SLOTS)), F.lit(SLOTS)))
         # one shuffle: the lists of a term and shard meet in the task that writes them
-        keys = ["bucket", "slot", "shard", "term"]
-        whole = lists.repartition("bucket", "slot", "shard").groupBy(*keys).agg(F.flatten(F.collect_list("postings")).alias("postings"), F.max("__df").alias("__df"))
-        impact = lambda p: _weight(p["tf"], p["length"], F.lit(1.0), average)
-        ordered = F.sort_array(F.transform("postings", lambda p: F.struct((-impact(p)).alias("less"), p["id"].alias("id"), p["tf"].alias("tf"), p["length"].alias("length"))))
-        plain = F.transform("ordered", lambda p: F.struct(p["id"].alias("id"), p["tf"].alias("tf"), p["length"].alias("length")))
-        whole = whole.withColumn("df", F.coalesce("__df", F.size("postings").cast("long"))).withColumn("ordered", ordered).withColumn("postings", plain)
-        starts = F.sequence(F.lit(0), F.floor((F.size("postings") - 1) / BLOCK).cast("int"))
-        # cut in place: a list is not repeated for its blocks
-        parts = F.transform(starts, lambda at: F.slice("postings", at * BLOCK + 1, BLOCK))
-        cut = whole.where(F.size("postings") > 0).select("term", "df", "shard", "bucket", F.posexplode(parts).alias("block", "postings"))
-        most, shortest = F.array_max(F.transform("postings", lambda p: p["tf"])), F.array_min(F.transform("postings", lambda p: p["length"]))
-        blocks = cut.select("term", "df", "shard", "block", most.alias("most"), shortest.alias("shortest"), F.size("postings").cast("long").alias("n"), "postings", "bucket")
+        whole = lists.repartition("bucket", "slot", "shard").sortWithinPartitions("bucket", "term", "shard").select("term", c("__df").alias("df"), "shard", "bucket", "postings")
+        blocks = whole.mapInArrow(_cut(average or 1.0, BLOCK), POSTINGS)
         blocks.sortWithinPartitions("bucket", "term", "shard", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         what = {"n": about.n, "total": about.total}
         self.spark.createDataFrame([(json.dumps(what),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
